@@ -166,3 +166,18 @@ def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str) -> Da
     return keyed.join(codes.withColumnRenamed("code", out), on="_txt", how="left").drop("_txt")
 
 
+
+
+def apply_long(df: DataFrame, long: DataFrame, columns: list[str], default: DataFrame,
+               prefix: str = "te_") -> DataFrame:
+    """Apply a long ``column, key, value`` encoding table (from
+    :func:`fit_smoothed_many`) to ``df``: one left join per encoded column on its
+    text key, unseen -> the one-row ``default``."""
+    d = default.select(F.col(default.columns[0]).alias("_dflt"))
+    out = df.crossJoin(F.broadcast(d))
+    for c in columns:
+        t = long.where(F.col("column") == F.lit(c)).select(F.col("key").alias(f"_k_{c}"),
+                                                          F.col("value").alias(f"_v_{c}"))
+        out = out.join(t, F.col(c).cast("string") == F.col(f"_k_{c}"), "left")
+        out = out.withColumn(prefix + c, F.coalesce(F.col(f"_v_{c}"), F.col("_dflt"))).drop(f"_k_{c}", f"_v_{c}")
+    return out.drop("_dflt")
