@@ -259,8 +259,32 @@ def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str
 
 
 def rolling_mean(df: DataFrame, value: str, partition: list[str], order: list[str],
-                 half_width: int = 2, out: str = "rolling_mean") -> DataFrame:
-    """Centred rolling mean over 2*half_width+1 rows, partial at the edges
-    (``rolling(window, center=True, min_periods=1).mean()``)."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-half_width, half_width)
-    return df.withColumn(out, F.avg(value).over(w))
+                 half_width: int = 2, out: str = "rolling_mean", chunk_rows: int | None = 1 << 20) -> DataFrame:
+    """Centred rolling mean over ``2*half_width+1`` rows, partial at the edges
+    (``rolling(window, center=True, min_periods=1).mean()``).  ``order`` must be a
+    total order inside each partition (add a unique key).
+
+    ``chunk_rows=None`` uses a plain window partitioned by ``partition`` (one task
+    per key).  Otherwise a hot key is split: rows get a global row number, the
+    window is partitioned by (key, row-number chunk), and the ``half_width`` rows
+    on each side of a chunk edge are copied into the neighbouring chunk as halo
+    rows, so every frame still sees its true neighbours.
+    """
+    if chunk_rows is None:
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-half_width, half_width)
+        return df.withColumn(out, F.avg(value).over(w))
+    h = half_width
+    numbered = global_row_number(df, [*partition, *order], out="_grn")
+    c = F.lit(chunk_rows)
+    chunk = F.floor((F.col("_grn") - 1) / c).cast("long")
+    offset = F.pmod(F.col("_grn") - 1, c)
+    copies = F.array(
+        F.struct(chunk.alias("_chunk"), F.lit(False).alias("_halo")),
+        F.when(offset < h, F.struct((chunk - 1).alias("_chunk"), F.lit(True).alias("_halo"))),
+        F.when(offset >= chunk_rows - h, F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_halo"))),
+    )
+    exploded = numbered.withColumn("_copy", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+    exploded = exploded.withColumns({"_chunk": F.col("_copy._chunk"), "_halo": F.col("_copy._halo")}).drop("_copy")
+    w = Window.partitionBy(*partition, "_chunk").orderBy("_grn").rowsBetween(-h, h)
+    res = exploded.withColumn(out, F.avg(value).over(w)).where(~F.col("_halo"))
+    return res.drop("_chunk", "_halo", "_grn")

@@ -1,5 +1,5 @@
 """Query catalogue, one module per operator family (importing registers)."""
 
 from demandflow.plans.catalog import (  # noqa: F401
-    encoding, features, profile,
+    encoding, features, forecast, lookup, profile,
 )
