@@ -59,3 +59,21 @@ OBS_T_SQL = """obs_t AS (
 def with_obs(body: str, *extra: str) -> str:
     ctes = ",\n".join([OBS_SQL, OBS_T_SQL, *extra])
     return f"WITH {ctes}\n{body}"
+
+
+# Deterministic base predictions (pa smoothed geohash, pb road x slot, pc geohash x hour),
+# fit on the reference period, applied to the target period.
+BP_SQL = [
+    "rf AS (SELECT * FROM obs_t WHERE day <= 20)",
+    "tg AS (SELECT * FROM obs_t WHERE day > 20)",
+    "ga AS (SELECT avg(demand) AS g FROM rf)",
+    """bp AS (SELECT t.idx, t.demand, coalesce((a.m * a.n + ga.g * 10) / (a.n + 10), ga.g) AS pa,
+       coalesce(b.m, ga.g) AS pb, coalesce(c.m, ga.g) AS pc
+     FROM tg t
+     LEFT JOIN (SELECT geohash, avg(demand) AS m, count(demand) AS n FROM rf GROUP BY geohash) a ON t.geohash = a.geohash
+     LEFT JOIN (SELECT coalesce(road_type, 'MISSING') AS road, slot, avg(demand) AS m FROM rf GROUP BY 1, 2) b
+       ON coalesce(t.road_type, 'MISSING') = b.road AND t.slot = b.slot
+     LEFT JOIN (SELECT geohash, hour, avg(demand) AS m FROM rf GROUP BY geohash, hour) c
+       ON t.geohash = c.geohash AND t.hour = c.hour
+     CROSS JOIN ga)""",
+]
