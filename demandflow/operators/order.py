@@ -38,6 +38,22 @@ def _default_buckets(df: DataFrame) -> int:
     return max(16, min(65536, 4 * n))
 
 
+# Above this many distinct (group, value) pairs the bucketed plans are used;
+# below it one sort per group (or Spark's exact ``percentile`` value map) is
+# bounded by the measured size.  Set ``demandflow.order.smallDistinct``.
+SMALL_DISTINCT = 1_000_000
+
+
+def _small_limit(df: DataFrame) -> int:
+    return int(_spark(df).conf.get("demandflow.order.smallDistinct", str(SMALL_DISTINCT)))
+
+
+def distinct_estimate(df: DataFrame, cols: list[str]) -> int:
+    """HyperLogLog estimate of distinct value combinations (one cheap pass, no shuffle of rows)."""
+    key = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
+    return int(df.agg(F.approx_count_distinct(key, 0.05).alias("n")).first()["n"] or 0)
+
+
 def _window(by) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy()
 
@@ -54,6 +70,8 @@ def bucket_edges(df: DataFrame, col: str, n_buckets: int) -> list[float]:
 
 
 def _bucketize(df: DataFrame, col: str, edges: list[float], out: str) -> DataFrame:
+    if not edges:
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf")] + edges + [float("inf")]
     b = Bucketizer(splits=splits, inputCol=col, outputCol=out + "_d", handleInvalid="keep")
     return b.transform(df).withColumn(out, F.col(out + "_d").cast("int")).drop(out + "_d")
@@ -78,8 +96,10 @@ def value_positions(df: DataFrame, value: str, by: list[str] | tuple = (),
     base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     vc = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt"),
                                     *[F.sum(k).alias(k) for k in sums])
-    nb = n_buckets or _default_buckets(df)
-    edges = bucket_edges(vc, "_v", nb)
+    if n_buckets is None:
+        small = distinct_estimate(base, [*by, "_v"]) * 1.2 <= _small_limit(df)
+        n_buckets = 1 if small else _default_buckets(df)
+    edges = bucket_edges(vc, "_v", n_buckets)
     vcb = _bucketize(vc, "_v", edges, "_b")
 
     per_bucket = vcb.groupBy(*by, "_b").agg(F.sum("_cnt").alias("_bcnt"), F.min("_v").alias("_bmin"))
@@ -145,6 +165,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     Returns ``by..., q_index, q, value`` rows (one per group and probability).
     """
     by = list(by)
+    base = df.select(*by, F.col(value).cast("double").alias("_qv")).where(
+        F.col("_qv").isNotNull() & ~F.isnan("_qv"))
+    if n_buckets is None and distinct_estimate(base, [*by, "_qv"]) * 1.2 <= _small_limit(df):
+        # measured-small: Spark's exact percentile keeps one value->count map per
+        # group, bounded here by the distinct count just checked.
+        agg = F.percentile(F.col("_qv"), [float(p) for p in probs]).alias("_qs")
+        g = base.groupBy(*by).agg(agg) if by else base.agg(agg).where(F.size("_qs") > 0)
+        g = g.where(F.col("_qs").isNotNull())
+        return g.select(*by, F.posexplode("_qs").alias("q_index", value)).select(
+            *by, F.col("q_index").cast("int").alias("q_index"),
+            F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q_index") + 1).alias("q"), value)
+    by = list(by)
     pos = value_positions(df, value, by, n_buckets=n_buckets)
     groups = pos.select(*by, "n").distinct()
     qs = _spark(df).createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_index int, q double")
@@ -159,29 +191,50 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     return res.select(*by, "q_index", "q", val.alias(value))
 
 
+def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
+                   names: dict[tuple[str, int], str] | None = None) -> DataFrame:
+    """One row with an exact quantile column per (column, probability).
+
+    One HyperLogLog pass sizes every column; columns whose distinct count is
+    under the limit share a single ``percentile`` aggregate (bounded value maps),
+    the others go through the bucketed :func:`exact_quantiles`.
+    """
+    names = names or {(c, i): f"{c}__q{i}" for c in cols for i in range(len(probs))}
+    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    est = casted.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
+    limit = _small_limit(df)
+    small = [c for c in cols if (est[c] or 0) * 1.2 <= limit]
+    big = [c for c in cols if c not in small]
+    out = None
+    if small:
+        ps = [float(p) for p in probs]
+        row = casted.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), ps).alias(c) for c in small])
+        out = row.select(*[F.col(c).getItem(i).alias(names[(c, i)]) for c in small for i in range(len(probs))])
+    for c in big:
+        q = exact_quantiles(casted.select(c), c, probs, n_buckets=_default_buckets(df))
+        r = q.groupBy().pivot("q_index", list(range(len(probs)))).agg(F.first(c)) \
+             .toDF(*[names[(c, i)] for i in range(len(probs))])
+        out = r if out is None else out.crossJoin(r)
+    return out
+
+
 def quantile_row(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
     """One-row frame with one exact-quantile column per probability (global)."""
     names = names or [f"q{i}" for i in range(len(probs))]
-    q = exact_quantiles(df, value, probs)
-    return q.groupBy().pivot("q_index", list(range(len(probs)))).agg(F.first(value)).toDF(*names)
+    return quantiles_wide(df, [value], probs, {(value, i): n for i, n in enumerate(names)})
 
 
 def median_row(df: DataFrame, cols: list[str], suffix: str = "_median") -> DataFrame:
-    """One-row frame of exact medians of several columns (each through
-    :func:`exact_quantiles`, so no single-task merge of value maps)."""
-    out = None
-    for c in cols:
-        r = quantile_row(df, c, [0.5], [c + suffix])
-        out = r if out is None else out.crossJoin(r)
-    return out
+    """One-row frame of exact medians of several columns."""
+    return quantiles_wide(df, cols, [0.5], {(c, 0): c + suffix for c in cols})
 
 
 def quantile_bins(df: DataFrame, value: str, q: int = 10, out: str = "bin") -> DataFrame:
     """``pd.qcut(x, q, labels=False, duplicates='drop')`` -- exact edges, duplicate
     edges dropped, bin = number of interior edges strictly below the value."""
     probs = [i / q for i in range(q + 1)]
-    edges = exact_quantiles(df, value, probs).agg(
-        F.array_sort(F.array_distinct(F.collect_list(value))).alias("_edges"))
+    wide = quantiles_wide(df, [value], probs)
+    edges = wide.select(F.array_sort(F.array_distinct(F.array(*[F.col(c) for c in wide.columns]))).alias("_edges"))
     # <= q+1 numbers: a proven bound, safe to broadcast.
     joined = df.crossJoin(F.broadcast(edges))
     interior = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))

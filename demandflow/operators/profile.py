@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandflow.operators.order import average_rank, exact_quantiles
+from demandflow.operators.order import average_rank, quantiles_wide
 
 
 def round_dp(col, dp: int) -> Column:
@@ -69,12 +69,9 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
         F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max"))])
     base = _long(row, [(c, {k: F.col(f"{c}__{k}") for k in ("count", "mean", "std", "min", "max")}) for c in cols])
-    qs = None
-    for c in cols:
-        q = exact_quantiles(df.select(F.col(c).cast("double").alias("_x")), "_x", [0.25, 0.5, 0.75])
-        q = q.groupBy().pivot("q_index", [0, 1, 2]).agg(F.first("_x")).toDF("p25", "p50", "p75") \
-             .withColumn("column", F.lit(c))
-        qs = q if qs is None else qs.unionByName(q)
+    wide = quantiles_wide(df, cols, [0.25, 0.5, 0.75])
+    qs = _long(wide, [(c, {"p25": F.col(f"{c}__q0"), "p50": F.col(f"{c}__q1"), "p75": F.col(f"{c}__q2")})
+                      for c in cols])
     return base.join(qs, "column", "left")
 
 
@@ -141,11 +138,14 @@ def corr_long(df: DataFrame, cols: list[str], listwise: bool = True) -> DataFram
 
 
 def spearman_long(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """Spearman = Pearson of average-tie ranks (each column ranked with the
-    distributed rank operator and joined back on ``key``)."""
-    ranked = df.select(key, *cols)
+    """Spearman = Pearson of average-tie ranks.  Each column is ranked
+    independently with the distributed rank operator; the rank columns are
+    joined on ``key``."""
+    base = df.select(key, *cols)
+    ranked = None
     for c in cols:
-        ranked = average_rank(ranked, c, out=f"_r_{c}")
+        r = average_rank(base.select(key, c), c, out=f"_r_{c}").select(key, f"_r_{c}")
+        ranked = r if ranked is None else ranked.join(r, key)
     renamed = ranked.select(key, *[F.col(f"_r_{c}").alias(c) for c in cols])
     return corr_long(renamed, cols, listwise=False)
 
@@ -163,8 +163,8 @@ def target_by_category(df: DataFrame, cols: list[str], target: str) -> DataFrame
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Exact quartiles, IQR, strict outlier count and share, value range."""
-    q = exact_quantiles(df.select(F.col(col).cast("double").alias("_x")), "_x", [0.25, 0.75]) \
-        .groupBy().pivot("q_index", [0, 1]).agg(F.first("_x")).toDF("q1", "q3")
+    q = quantiles_wide(df.select(F.col(col).cast("double").alias("_x")), ["_x"], [0.25, 0.75],
+                       {("_x", 0): "q1", ("_x", 1): "q3"})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = df.select(F.col(col).cast("double").alias("_x")).crossJoin(F.broadcast(q))
     lo = F.col("q1") - F.lit(k) * F.col("iqr")
