@@ -39,6 +39,7 @@ def fold_summary(df: DataFrame, y: str, p: str, fold: str = "fold") -> DataFrame
     """M2 + A9: per-fold scores -> mean, population std, and the overall OOF score."""
     per_fold = r2_score(df, y, p, by=[fold])
     s = per_fold.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
+                     F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"),
                      F.count(F.lit(1)).alias("n_folds"))
     overall = r2_score(df, y, p).select(F.col("r2").alias("oof_r2"), F.col("score").alias("oof_score"))
     return s.crossJoin(overall)

@@ -1,5 +1,5 @@
 """Query catalogue, one module per operator family (importing registers)."""
 
 from demandflow.plans.catalog import (  # noqa: F401
-    encoding, features, forecast, lookup, order, profile, splits,
+    encoding, ensemble, features, forecast, io, lookup, metrics, order, profile, splits,
 )
