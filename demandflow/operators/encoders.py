@@ -181,3 +181,39 @@ def apply_long(df: DataFrame, long: DataFrame, columns: list[str], default: Data
         out = out.join(t, F.col(c).cast("string") == F.col(f"_k_{c}"), "left")
         out = out.withColumn(prefix + c, F.coalesce(F.col(f"_v_{c}"), F.col("_dflt"))).drop(f"_k_{c}", f"_v_{c}")
     return out.drop("_dflt")
+
+
+def _gid(all_keys: list[str], keys: list[str]) -> int:
+    n = len(all_keys)
+    return sum((0 if k in keys else 1) << (n - 1 - i) for i, k in enumerate(all_keys))
+
+
+def fit_many(df: DataFrame, key_sets: dict[str, list[str]], target: str,
+             alpha: float | None = None) -> dict[str, Fitted]:
+    """E2/E4/E5 for several key sets in ONE aggregation pass.
+
+    ``GROUPING SETS ((k1...), (k2...), ..., ())`` yields every per-key table and
+    the global mean/count together; each Fitted reads its slice by
+    ``grouping_id``.  ``alpha`` switches from plain means to smoothed means
+    ``(mean*n + g*alpha) / (n + alpha)``.  Null keys are dropped per set.
+    """
+    all_keys: list[str] = []
+    for ks in key_sets.values():
+        for k in ks:
+            if k not in all_keys:
+                all_keys.append(k)
+    sets = [[F.col(k) for k in ks] for ks in key_sets.values()] + [[]]
+    stats = df.groupingSets(sets, *all_keys).agg(
+        F.avg(target).alias("_m"), F.count(target).alias("_n"), F.grouping_id().alias("_gid"))
+    default = stats.where(F.col("_gid") == F.lit((1 << len(all_keys)) - 1)).select(F.col("_m").alias("default"))
+    out = {}
+    for name, ks in key_sets.items():
+        part = _nonnull(stats.where(F.col("_gid") == F.lit(_gid(all_keys, ks))), ks)
+        if alpha is None:
+            table = part.select(*ks, F.col("_m").alias("value"))
+        else:
+            a = F.lit(float(alpha))
+            table = part.crossJoin(F.broadcast(default)).select(
+                *ks, ((F.col("_m") * F.col("_n") + F.col("default") * a) / (F.col("_n") + a)).alias("value"))
+        out[name] = Fitted(table, default, list(ks))
+    return out

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandflow.operators.order import average_rank, quantile_map
+from demandflow.operators.order import average_rank, plan_buckets, quantile_map
 
 
 def rank_scores(scores: DataFrame, score: str, name: str, flag: str = "is_best") -> DataFrame:
@@ -135,9 +135,10 @@ def blend_rank(df: DataFrame, cols: list[str], key: str, sample: DataFrame, y: s
     """Mean of the scaled average ranks of every prediction, mapped onto the
     sorted ``sample.y`` by linear interpolation (W2 + W5)."""
     base = df.select(key, *cols)
+    nb = plan_buckets(base, cols)
     ranked = None
     for c in cols:
-        r = average_rank(base.select(key, c), c, out=f"_r_{c}", scaled=True).select(key, f"_r_{c}")
+        r = average_rank(base.select(key, c), c, out=f"_r_{c}", scaled=True, n_buckets=nb[c]).select(key, f"_r_{c}")
         ranked = r if ranked is None else ranked.join(r, key)
     mean_rank = None
     for c in cols:

@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandflow.session import ensure_checkpoint_dir
+from demandflow.session import ensure_checkpoint_dir, materialize
 
 _UNBOUNDED = Window.unboundedPreceding
 
@@ -48,6 +48,17 @@ def _small_limit(df: DataFrame) -> int:
     return int(_spark(df).conf.get("demandflow.order.smallDistinct", str(SMALL_DISTINCT)))
 
 
+def plan_buckets(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> dict[str, int]:
+    """Bucket count per column from ONE HyperLogLog pass over ``df``: 1 when the
+    distinct (group, value) count is under the limit, else the default."""
+    by = list(by)
+    def key(c):
+        return F.struct(*[F.col(b) for b in by], F.col(c)) if by else F.col(c)
+    row = df.agg(*[F.approx_count_distinct(key(c), 0.05).alias(c) for c in cols]).first()
+    limit = _small_limit(df)
+    return {c: 1 if (row[c] or 0) * 1.2 <= limit else _default_buckets(df) for c in cols}
+
+
 def distinct_estimate(df: DataFrame, cols: list[str]) -> int:
     """HyperLogLog estimate of distinct value combinations (one cheap pass, no shuffle of rows)."""
     key = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
@@ -123,14 +134,14 @@ def value_positions(df: DataFrame, value: str, by: list[str] | tuple = (),
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | tuple = (),
-                 scaled: bool = False) -> DataFrame:
+                 scaled: bool = False, n_buckets: int | None = None) -> DataFrame:
     """Average-tie rank (1-based) of ``value`` within ``by``; ``scaled`` divides by n.
 
     Null values get a null rank.  The rank table (one row per distinct value) is
     joined back on (by, value); AQE's skew-join split handles a hot value.
     """
     by = list(by)
-    pos = value_positions(df, value, by)
+    pos = value_positions(df, value, by, n_buckets=n_buckets)
     rank = F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
     if scaled:
         rank = rank / F.col("n")
@@ -252,7 +263,8 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
     ensure_checkpoint_dir(_spark(df))
     n = n_partitions or int(_spark(df).conf.get("spark.sql.shuffle.partitions", "200"))
     sorted_df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = sorted_df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    # ids are taken before the write, so they do not depend on how the files are read back
+    tagged = materialize(sorted_df.withColumn("_mid", F.monotonically_increasing_id()), "row-numbers")
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
     counts = {r["_pid"]: r["c"] for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()}
     n_pid = (max(counts) + 1) if counts else 0
@@ -273,7 +285,7 @@ def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str
     Sorted-sample lookups go through :func:`value_positions` (distinct values,
     bucketed) and an as-of merge per bucket, so nothing is collected.
     """
-    pos = value_positions(sample, y, with_next=True).cache()
+    pos = materialize(value_positions(sample, y, with_next=True), "value-positions")
     n_row = pos.select(F.max("n").alias("_n"))
     q = queries.crossJoin(F.broadcast(n_row))
     p = F.least(F.greatest(F.col(r), F.lit(0.0)), F.lit(1.0)) * (F.col("_n") - 1)

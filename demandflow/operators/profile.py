@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandflow.operators.order import average_rank, quantiles_wide
+from demandflow.operators.order import average_rank, plan_buckets, quantiles_wide
 
 
 def round_dp(col, dp: int) -> Column:
@@ -142,9 +142,10 @@ def spearman_long(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     independently with the distributed rank operator; the rank columns are
     joined on ``key``."""
     base = df.select(key, *cols)
+    nb = plan_buckets(base, cols)
     ranked = None
     for c in cols:
-        r = average_rank(base.select(key, c), c, out=f"_r_{c}").select(key, f"_r_{c}")
+        r = average_rank(base.select(key, c), c, out=f"_r_{c}", n_buckets=nb[c]).select(key, f"_r_{c}")
         ranked = r if ranked is None else ranked.join(r, key)
     renamed = ranked.select(key, *[F.col(f"_r_{c}").alias(c) for c in cols])
     return corr_long(renamed, cols, listwise=False)

@@ -18,7 +18,7 @@ _MODELS = ["pa", "pb", "pc"]
 @register("blend_equal", with_obs(f"SELECT idx, {R('(pa + pb + pc) / 3.0')} AS blend FROM bp", *BP_SQL))
 def q_blend_equal(spark, sf):
     """B1: equal-weight average of three aligned predictions."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     return ens.blend_equal(bp, _MODELS).select("idx", r6("blend").alias("blend"))
 
 
@@ -40,7 +40,7 @@ FROM pts""", *BP_SQL, *_GRID))
 def q_blend_grid(spark, sf):
     """B2: 21-step simplex lattice scored from one moments aggregate (the oracle
     rescans every row per weight vector)."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     return round_doubles(ens.blend_grid(bp, "demand", _MODELS, steps=21))
 
 
@@ -58,7 +58,7 @@ SELECT qm.idx, {R('CASE WHEN p = j0 THEN a.y ELSE a.y + (p - j0) * (b.y - a.y) E
 FROM qm JOIN sy a ON a.j = qm.j0 JOIN sy b ON b.j = least(qm.j0 + 1, qm.n - 1)""", *BP_SQL, *_RB))
 def q_blend_rank(spark, sf):
     """Mean scaled rank of the three predictions mapped onto the sorted target."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     out = ens.blend_rank(bp, _MODELS, "idx", bp, "demand", "rank_blend")
     return out.select("idx", r6("rank_blend").alias("rank_blend"))
 
@@ -67,7 +67,7 @@ def q_blend_rank(spark, sf):
                                   *BP_SQL, *_GRID))
 def q_blend_apply(spark, sf):
     """Stored weights (the grid optimum, one row per model) applied to long predictions."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     grid = ens.blend_grid(bp, "demand", _MODELS, steps=21).where(F.col("is_best") == 1)
     weights = grid.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"w_{m}").alias("weight"))
                                                for m in _MODELS])).alias("x")).select("x.*")
@@ -89,7 +89,7 @@ SELECT study, {R('best_score')} AS best_score, {R('share')} AS share, cast(floor
 FROM ss""", *BP_SQL, *_SOFT))
 def q_softmax_allocation(spark, sf):
     """Split a budget of 180 extra trials by softmax of each study's best (raw) score."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     s = bp.agg(*[(F.lit(100.0) * mt.r2_expr("demand", m)).alias(m) for m in _MODELS])
     long = s.select(F.explode(F.array(*[F.struct(F.lit(m).alias("study"), F.col(m).alias("best_score"))
                                         for m in _MODELS])).alias("x")).select("x.*")
@@ -100,6 +100,6 @@ def q_softmax_allocation(spark, sf):
                                         *BP_SQL))
 def q_align_predictions(spark, sf):
     """IO2 + J9: k models' predictions in long form lined up by row id (pivot)."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     long = ens.to_long(bp.select("idx", *_MODELS), "idx", _MODELS)
     return round_doubles(ens.align(long, "idx", _MODELS))

@@ -26,7 +26,7 @@ def _r2(p, y="demand"):
     f"FROM bp" for m in _MODELS), *BP_SQL))
 def q_r2_score(spark, sf):
     """M1: R^2 and competition score of each base prediction on the target period."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     long = ens.to_long(bp.select("idx", "demand", *_MODELS), "idx", _MODELS)
     long = long.join(bp.select("idx", "demand"), "idx")
     return round_doubles(mt.r2_score(long, "demand", "pred", by=["model"]))
@@ -73,7 +73,7 @@ SELECT {R('avg(greatest(0.0, 100 * r2))')} AS mean_score, {R('stddev_pop(greates
 FROM pf""", *BP_SQL, *_BP_FOLDS))
 def q_fold_summary(spark, sf):
     """M2 + A9: per-fold scores of ``pa`` over 5 stratified folds: mean, population std, OOF score."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     f = sp.target_decile_folds(bp, "demand", "idx")
     return round_doubles(mt.fold_summary(f, "demand", "pa"))
 
@@ -85,7 +85,7 @@ SELECT 'pa' AS variant_a, 'pb' AS variant_b, {R('a')} AS score_a, {R('b')} AS sc
 FROM (SELECT 100 * {_r2('pa')} AS a, 100 * {_r2('pb')} AS b FROM bp) s""", *BP_SQL))
 def q_variant_diff(spark, sf):
     """M4: difference of two variants' (raw) scores with a three-way verdict."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     s = bp.agg((F.lit(100.0) * mt.r2_expr("demand", "pa")).alias("score_a"),
                (F.lit(100.0) * mt.r2_expr("demand", "pb")).alias("score_b"))
     s = s.select(F.lit("pa").alias("variant_a"), F.lit("pb").alias("variant_b"), "score_a", "score_b",
@@ -105,7 +105,7 @@ _LB = [
 
 
 def _leaderboard(spark, sf):
-    bp = ens.blend_equal(base_predictions(obs(spark, sf)), _MODELS, "equal_blend")
+    bp = ens.blend_equal(base_predictions(obs(spark, sf), materialize=True), _MODELS, "equal_blend")
     cols = [*_MODELS, "equal_blend"]
     s = bp.agg(*[mt.r2_expr("demand", c).alias(c) for c in cols])
     long = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("r2"))

@@ -23,6 +23,7 @@ from demandflow.operators import models as md
 from demandflow.operators import splits as sp
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
 from demandflow.plans.registry import register
+from demandflow.session import materialize
 from demandflow.sources import io
 from demandflow.sources.observations import base_predictions, lookup_samples
 
@@ -51,7 +52,7 @@ def model_frame(spark, sf):
                  "geohash", "demand", *[F.col(c).cast("double").alias(c) for c in num])
     fitted = feat.fit_imputer(ref_of(o), CAT_FEATURES + NUM_FEATURES)
     o = feat.apply_imputer(o, fitted, CAT_FEATURES + NUM_FEATURES)
-    return o.checkpoint(eager=True)
+    return materialize(o, "model-frame")
 
 
 @register("gbt_predictions")
@@ -202,7 +203,7 @@ def q_ts_forecast(spark, sf):
     feats = fc.TS_FEATURES
     f = f.select("idx", "demand", *[F.col(c).cast("double").alias(c) for c in feats])
     med = feat.fit_imputer(f, feats)
-    f = feat.apply_imputer(f, med, feats).checkpoint(eager=True)
+    f = materialize(feat.apply_imputer(f, med, feats), "ts-features")
     model, n_trees = md.early_stopping_fit(f.where(F.col("slot") <= 5), f.where(F.col("slot") > 5), feats,
                                            "demand", "gbt_b", max_iter=60)
     final = md.gbt(feats, "demand", "gbt_b", maxIter=max(1, int(n_trees))).fit(f)
@@ -216,7 +217,7 @@ def q_spatial_clusters(spark, sf):
     o = obs(spark, sf)
     pts = geo.geohash_decode(ref_of(o).select("geohash").distinct().where(F.col("geohash").isNotNull()))
     va = VectorAssembler(inputCols=["lat", "lon"], outputCol="features")
-    data = va.transform(pts).checkpoint(eager=True)
+    data = materialize(va.transform(pts), "geo-points")
     k = min(30, data.count())
     best = None
     for s in range(10):
@@ -291,7 +292,7 @@ def q_stacking(spark, sf):
     same presets fit on the whole reference period -> clipped -> scored."""
     m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
     ref, tgt = ref_of(m), tgt_of(m)
-    folds = sp.rolling_folds(ref, ["day", "slot", "idx"], "idx").checkpoint(eager=True)
+    folds = materialize(sp.rolling_folds(ref, ["day", "slot", "idx"], "idx"), "rolling-folds")
     names = list(md.GBT_PRESETS)
     oof = None
     for i in range(5):

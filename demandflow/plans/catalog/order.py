@@ -22,7 +22,7 @@ RANK_SQL = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)
                                *BP_SQL))
 def q_avg_rank(spark, sf):
     """Average-tie ranks (raw, and scaled by n) without a single-task window."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     a = average_rank(bp.select("idx", "pa"), "pa", "rank_pa")
     b = average_rank(bp.select("idx", "pb"), "pb", "scaled_rank_pb", scaled=True)
     return a.join(b, "idx").select("idx", r6("rank_pa").alias("rank_pa"), r6("scaled_rank_pb").alias("scaled_rank_pb"))
@@ -47,6 +47,6 @@ SELECT qm.idx, {R('CASE WHEN p = j0 THEN a.y ELSE a.y + (p - j0) * (b.y - a.y) E
 FROM qm JOIN sy a ON a.j = qm.j0 JOIN sy b ON b.j = least(qm.j0 + 1, qm.n - 1)""", *BP_SQL, *QMAP_SQL))
 def q_quantile_map(spark, sf):
     """Map the scaled rank of ``pa`` onto the sorted target sample (np.interp)."""
-    bp = base_predictions(obs(spark, sf))
+    bp = base_predictions(obs(spark, sf), materialize=True)
     r = average_rank(bp.select("idx", "pa"), "pa", "r", scaled=True).select("idx", "r")
     return quantile_map(r, "r", bp, "demand", "mapped").select("idx", r6("mapped").alias("mapped"))

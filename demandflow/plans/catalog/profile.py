@@ -155,7 +155,7 @@ _PRED = ["pa", "pb", "pc", "demand", "idx"]
     f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})')} AS r FROM bp" for a, b in _pairs(_PRED)), *BP_SQL))
 def q_prediction_corr(spark, sf):
     """Pairwise Pearson between the base predictions, the id and the target."""
-    return round_doubles(pr.corr_long(base_predictions(obs(spark, sf)), _PRED, listwise=False))
+    return round_doubles(pr.corr_long(base_predictions(obs(spark, sf), materialize=True), _PRED, listwise=False))
 
 
 _SP = ["pa", "pb", "pc", "demand"]
@@ -168,7 +168,7 @@ _SP = ["pa", "pb", "pc", "demand"]
     + " FROM bp)"))
 def q_spearman_corr(spark, sf):
     """Spearman = Pearson of average-tie ranks."""
-    return round_doubles(pr.spearman_long(base_predictions(obs(spark, sf)), _SP, "idx"))
+    return round_doubles(pr.spearman_long(base_predictions(obs(spark, sf), materialize=True), _SP, "idx"))
 
 
 _TBC = ["weather", "road_type", "large_vehicles", "landmarks"]

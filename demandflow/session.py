@@ -56,3 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="demandflow-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as parquet under the checkpoint folder and
+    reading it back (one computation, columnar write; survives executor loss
+    because the files live in the shared checkpoint folder).
+
+    Preferred over ``Dataset.checkpoint``, which computes an un-persisted plan
+    twice (once to count, once to write).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/demandflow-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

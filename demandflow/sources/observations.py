@@ -85,7 +85,7 @@ def lookup_samples(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
-def base_predictions(obs: DataFrame) -> DataFrame:
+def base_predictions(obs: DataFrame, materialize: bool = False) -> DataFrame:
     """Three deterministic predictors fitted on the reference period, applied to
     the target period: ``pa`` smoothed geohash encoding (alpha 10), ``pb`` mean by
     (road or MISSING, slot), ``pc`` mean by (geohash, hour); unseen -> global mean.
@@ -93,14 +93,20 @@ def base_predictions(obs: DataFrame) -> DataFrame:
     Output ``idx, demand, pa, pb, pc``.  Stands in for k models' out-of-fold
     predictions in the blending operators.
     """
-    from demandflow.operators.encoders import apply_mean, apply_smoothed, fit_mean, fit_smoothed
+    from demandflow.operators.encoders import apply_mean, fit_many
 
     ref, tgt = split_periods(obs)
-    ref = ref.withColumns({"road_key": sentinel("road_type"), "slot": slot_of("timestamp"),
-                           "hour": hour_of("timestamp")})
-    tgt = tgt.withColumns({"road_key": sentinel("road_type"), "slot": slot_of("timestamp"),
-                           "hour": hour_of("timestamp")})
-    out = apply_smoothed(tgt, fit_smoothed(ref, ["geohash"], "demand", alpha=10.0), ["geohash"], "pa")
-    out = apply_mean(out, fit_mean(ref, ["road_key", "slot"], "demand"), ["road_key", "slot"], "pb")
-    out = apply_mean(out, fit_mean(ref, ["geohash", "hour"], "demand"), ["geohash", "hour"], "pc")
-    return out.select("idx", "demand", "pa", "pb", "pc")
+    extra = {"road_key": sentinel("road_type"), "slot": slot_of("timestamp"), "hour": hour_of("timestamp")}
+    ref, tgt = ref.withColumns(extra), tgt.withColumns(extra)
+    # the smoothed table and the two mean tables share one GROUPING SETS pass
+    smooth = fit_many(ref, {"pa": ["geohash"]}, "demand", alpha=10.0)["pa"]
+    means = fit_many(ref, {"pb": ["road_key", "slot"], "pc": ["geohash", "hour"]}, "demand")
+    out = apply_mean(tgt, smooth, ["geohash"], "pa")
+    out = apply_mean(out, means["pb"], ["road_key", "slot"], "pb")
+    out = apply_mean(out, means["pc"], ["geohash", "hour"], "pc")
+    out = out.select("idx", "demand", "pa", "pb", "pc")
+    # several passes read it (ranks, moments, maps): cut the lineage once
+    if materialize:
+        from demandflow.session import materialize as write_back
+        return write_back(out, "base-predictions")
+    return out
