@@ -59,6 +59,22 @@ def plan_buckets(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) ->
     return {c: 1 if (row[c] or 0) * 1.2 <= limit else _default_buckets(df) for c in cols}
 
 
+# Largest key group a single window task may sort (measured before use);
+# ``demandflow.window.maxRowsPerKey``.
+MAX_ROWS_PER_KEY = 1 << 21
+
+
+def max_rows_per_key(df: DataFrame) -> int:
+    return int(_spark(df).conf.get("demandflow.window.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
+
+
+def max_group_size(df: DataFrame, keys: list[str]) -> int:
+    """Rows in the largest group (one partial-aggregated count per key; one number
+    reaches the driver)."""
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def distinct_estimate(df: DataFrame, cols: list[str]) -> int:
     """HyperLogLog estimate of distinct value combinations (one cheap pass, no shuffle of rows)."""
     key = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
@@ -335,7 +351,8 @@ def rolling_mean(df: DataFrame, value: str, partition: list[str], order: list[st
     on each side of a chunk edge are copied into the neighbouring chunk as halo
     rows, so every frame still sees its true neighbours.
     """
-    if chunk_rows is None:
+    if chunk_rows is None or max_group_size(df, partition) <= chunk_rows:
+        # every key measured to fit one window task
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-half_width, half_width)
         return df.withColumn(out, F.avg(value).over(w))
     h = half_width

@@ -109,3 +109,23 @@ def test_same_result_with_1_and_16_shuffle_partitions(spark, sf_dir, name):
         res.append(sorted(tuple(r) for r in QUERIES[name](spark, sf_dir).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1]
+
+
+def test_hot_stratum_path_gives_the_same_folds(spark, obs):
+    small = sp.stratified_folds(obs.withColumn("s", F.col("day") % 2), "s", "idx").select("idx", "fold")
+    spark.conf.set("demandflow.window.maxRowsPerKey", "10")
+    try:
+        big = sp.stratified_folds(obs.withColumn("s", F.col("day") % 2), "s", "idx").select("idx", "fold")
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    finally:
+        spark.conf.unset("demandflow.window.maxRowsPerKey")
+
+
+def test_bucketed_quantiles_equal_small_path(spark, obs):
+    from demandflow.operators.order import exact_quantiles
+    probs = [0.1, 0.5, 0.9]
+    a = exact_quantiles(obs, "demand", probs, by=["day"]).collect()
+    b = exact_quantiles(obs, "demand", probs, by=["day"], n_buckets=6).collect()
+    key = lambda r: (r["day"], r["q_index"])
+    assert [(key(r), round(r["demand"], 12)) for r in sorted(a, key=key)] == \
+           [(key(r), round(r["demand"], 12)) for r in sorted(b, key=key)]
