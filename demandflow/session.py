@@ -53,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                           "(HDFS/S3/...) that every executor can reach")
     local = tempfile.mkdtemp(prefix="demandflow-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
