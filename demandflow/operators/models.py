@@ -176,3 +176,28 @@ def feature_importances(model: PipelineModel, features: list[str]) -> list[tuple
 
 def score_row(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(r2_expr(y, p).alias("r2")).withColumn("score", score_expr(F.col("r2")))
+
+
+def ols_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """L7 building block: the normal-equation moments of ``label ~ 1 + features`` in
+    one aggregate -- ``X'X`` and ``X'y`` (plus ``y'y``) in long form ``a, b, value``.
+    A (k+1) x (k+1) solve of these gives the OLS fit the meta models use."""
+    names = ["one", *features, label]
+    col = {n: (F.lit(1.0) if n == "one" else F.col(n).cast("double")) for n in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    row = df.agg(*[F.sum(col[a] * col[b]).alias(f"{a}__{b}") for a, b in pairs])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                                                   F.col(f"{a}__{b}").alias("value")) for a, b in pairs]))
+                      .alias("x")).select("x.*")
+
+
+def solve_ols(moments: DataFrame, features: list[str], label: str) -> dict:
+    """Solve the OLS normal equations from :func:`ols_moments` (bounded k x k on the driver)."""
+    import numpy as np
+    names = ["one", *features]
+    m = {(r["a"], r["b"]): r["value"] for r in moments.collect()}  # (k+2)(k+3)/2 numbers
+    k = len(names)
+    A = np.array([[m.get((a, b), m.get((b, a))) for b in names] for a in names])
+    y = np.array([m.get((a, label), m.get((label, a))) for a in names])
+    beta = np.linalg.lstsq(A, y, rcond=None)[0]
+    return {"intercept": float(beta[0]), **{f: float(b) for f, b in zip(features, beta[1:k])}}

@@ -103,3 +103,21 @@ def q_align_predictions(spark, sf):
     bp = base_predictions(obs(spark, sf), materialize=True)
     long = ens.to_long(bp.select("idx", *_MODELS), "idx", _MODELS)
     return round_doubles(ens.align(long, "idx", _MODELS))
+
+
+_OLS = ["one", "pa", "pb", "pc", "demand"]
+
+
+def _ols_sql():
+    e = {n: ("1.0" if n == "one" else n) for n in _OLS}
+    parts = [f"SELECT '{a}' AS a, '{b}' AS b, {R(f'sum({e[a]} * {e[b]})')} AS value FROM bp"
+             for i, a in enumerate(_OLS) for b in _OLS[i:]]
+    return " UNION ALL ".join(parts)
+
+
+@register("ols_moments", with_obs(_ols_sql(), *BP_SQL))
+def q_ols_moments(spark, sf):
+    """L7 (SQL-checked part): X'X and X'y moments of demand ~ 1 + pa + pb + pc in one aggregate."""
+    from demandflow.operators.models import ols_moments
+    bp = base_predictions(obs(spark, sf), materialize=True)
+    return round_doubles(ols_moments(bp, ["pa", "pb", "pc"], "demand"))

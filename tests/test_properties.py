@@ -129,3 +129,14 @@ def test_bucketed_quantiles_equal_small_path(spark, obs):
     key = lambda r: (r["day"], r["q_index"])
     assert [(key(r), round(r["demand"], 12)) for r in sorted(a, key=key)] == \
            [(key(r), round(r["demand"], 12)) for r in sorted(b, key=key)]
+
+
+def test_ols_from_moments_matches_numpy(spark, obs):
+    from demandflow.operators.models import ols_moments, solve_ols
+    bp = base_predictions(obs)
+    beta = solve_ols(ols_moments(bp, ["pa", "pb", "pc"], "demand"), ["pa", "pb", "pc"], "demand")
+    p = bp.toPandas()
+    X = np.column_stack([np.ones(len(p)), p.pa, p.pb, p.pc])
+    exp = np.linalg.lstsq(X, p.demand.values, rcond=None)[0]
+    got = [beta["intercept"], beta["pa"], beta["pb"], beta["pc"]]
+    assert np.allclose(got, exp, rtol=1e-6, atol=1e-8)
