@@ -84,16 +84,13 @@ def apply_smoothed(df: DataFrame, fitted: Fitted, keys, out: str) -> DataFrame:
 def fit_smoothed_many(df: DataFrame, columns: list[str], target: str, alpha: float = 10.0) -> DataFrame:
     """E4 for many columns in **one** aggregation pass (``GROUPING SETS``):
     returns ``column, key (as text), value``; apply with :func:`apply_long`."""
-    sets = ", ".join(f"({c})" for c in columns)
-    df.createOrReplaceTempView("_te_src")
-    key_expr = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns)
-    val_expr = "coalesce(" + ", ".join(f"CAST({c} AS STRING)" for c in columns) + ")"
-    spark = df.sparkSession
-    stats = spark.sql(f"""
-        SELECT CASE {key_expr} END AS column, {val_expr} AS key,
-               avg({target}) AS m, count({target}) AS n
-        FROM _te_src GROUP BY GROUPING SETS ({sets})""")
-    stats = stats.where(F.col("key").isNotNull())
+    stats = df.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        F.avg(target).alias("m"), F.count(target).alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in columns])
+    which = None
+    for c in reversed(columns):
+        which = F.when(F.col(f"_g_{c}") == 0, F.lit(c)).otherwise(which if which is not None else F.lit(None))
+    key = F.coalesce(*[F.col(c).cast("string") for c in columns])
+    stats = stats.select(which.alias("column"), key.alias("key"), "m", "n").where(F.col("key").isNotNull())
     g = df.agg(F.avg(target).alias("g"))
     a = F.lit(float(alpha))
     return stats.crossJoin(F.broadcast(g)).select(
