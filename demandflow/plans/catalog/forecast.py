@@ -77,8 +77,9 @@ def q_ts_trend(spark, sf):
 SELECT idx, {R('avg(demand) OVER (PARTITION BY geohash ORDER BY slot, idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)')}
   AS rolling_mean FROM rf""", *_TS))
 def q_rolling_profile(spark, sf):
-    """Centred 5-row rolling mean per geohash ordered by (slot, idx); hot
-    geohashes are split into row-number chunks with halo rows."""
+    """Centred 5-row rolling mean per geohash ordered by (slot, idx).  When the
+    largest geohash exceeds 512 rows the rows are split into row-number chunks
+    with halo rows (otherwise one window per geohash)."""
     ref = ref_of(obs_t(spark, sf)).select("idx", "geohash", "slot", "demand")
     out = rolling_mean(ref, "demand", ["geohash"], ["slot", "idx"], 2, "rolling_mean", chunk_rows=512)
     return out.select("idx", r6("rolling_mean").alias("rolling_mean"))

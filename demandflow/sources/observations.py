@@ -7,9 +7,10 @@ a pure projection of the ``events`` table with the same schema (snake case).
 The mapping is a fixed rule (see FIXTURES.md section 3): it only shapes rows,
 none of the operators rely on how it is built.
 
-Scale notes: the projection is one narrow ``Project`` over the parquet scan;
-every downstream filter on ``day``/``idx`` is pushed into the scan because
-``day``/``idx`` are deterministic expressions of scanned columns.
+Scale notes: the projection is one narrow ``Project`` over the parquet scan
+(only the columns a query uses are read); filters on ``day``/``idx`` run in
+the scan's stage, before any exchange.  Stored as a table partitioned by day,
+the period filters would also prune files.
 """
 
 from __future__ import annotations

@@ -197,3 +197,42 @@ def test_ordinal_unknown_is_null(spark):
     df = spark.createDataFrame([("Sunny",), ("Foggy",), (None,)], "weather string")
     got = [r[0] for r in df.select(cat.ordinal("weather", cat.WEATHER_CODES)).collect()]
     assert got == [0, None, None]
+
+
+@pytest.fixture
+def force_bucketed(spark):
+    """Make every order operator take its at-scale (bucketed) plan."""
+    spark.conf.set("demandflow.order.smallDistinct", "10")
+    yield
+    spark.conf.unset("demandflow.order.smallDistinct")
+
+
+def test_bucketed_paths_match_pandas(spark, force_bucketed):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.round(rng.gamma(2.0, size=400), 2), np.full(200, 1.5)])  # hot value
+    y = (rng.uniform(size=len(x)) < 0.4).astype(int)
+    pdf = pd.DataFrame({"i": range(len(x)), "x": x, "y": y})
+    df = spark.createDataFrame(pdf)
+    # average rank
+    got = dict(_rows(order.average_rank(df, "x", "r"), "i", "r"))
+    exp = pdf.x.rank(method="average")
+    assert all(got[i] == pytest.approx(exp[i]) for i in range(len(x)))
+    # exact quantiles through quantiles_wide (bucketed because of the limit)
+    probs = [0.0, 0.13, 0.5, 0.77, 1.0]
+    row = order.quantiles_wide(df, ["x"], probs).first()
+    for i, p in enumerate(probs):
+        assert row[f"x__q{i}"] == pytest.approx(np.quantile(x, p), abs=1e-12)
+    # quantile bins
+    bins = dict(_rows(order.quantile_bins(df, "x", 10, "b"), "i", "b"))
+    expb = pd.qcut(pdf.x, q=10, labels=False, duplicates="drop")
+    assert [bins[i] for i in range(len(x))] == list(expb)
+    # AUC
+    auc = roc_auc(df, "y", "x").first()["auc"]
+    npos, nneg = y.sum(), (1 - y).sum()
+    assert auc == pytest.approx((exp[pdf.y == 1].sum() - npos * (npos + 1) / 2) / (npos * nneg), abs=1e-12)
+    # quantile map
+    rs = rng.uniform(size=50)
+    q = spark.createDataFrame([(i, float(r)) for i, r in enumerate(rs)], "i int, r double")
+    m = dict(_rows(order.quantile_map(q, "r", df, "x", "m"), "i", "m"))
+    expm = np.interp(rs, np.linspace(0, 1, len(x)), np.sort(x))
+    assert all(m[i] == pytest.approx(expm[i], abs=1e-12) for i in range(len(rs)))

@@ -3,6 +3,7 @@
 usage: python tools_check.py [sf_dir] [name ...]
 """
 
+import os
 import sys
 import time
 
@@ -16,6 +17,10 @@ def main():
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or sorted(QUERIES)
     spark = build_session("local[8]", 8)
+    if os.environ.get("DEMANDFLOW_FORCE_BUCKETED"):
+        # exercise the at-scale plans: bucketed positions, chunked windows, global numbering
+        spark.conf.set("demandflow.order.smallDistinct", "10")
+        spark.conf.set("demandflow.window.maxRowsPerKey", "10")
     con = duck(sf)
     bad = 0
     for n in names:
