@@ -283,15 +283,15 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
     tagged = materialize(sorted_df.withColumn("_mid", F.monotonically_increasing_id()), "row-numbers")
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
     counts = {r["_pid"]: r["c"] for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()}
-    n_pid = (max(counts) + 1) if counts else 0
     offsets, acc = [], 0
-    for p in range(n_pid):  # one number per partition: bounded by the partition count
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    off_arr = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array().cast("array<long>")
+    for p in sorted(counts):  # one number per partition: bounded by the partition count
+        offsets.append((int(p), acc))
+        acc += counts[p]
+    off_df = _spark(df).createDataFrame(offsets, "_pid long, _off long")
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    rn = F.element_at(off_arr, (F.col("_pid") + 1).cast("int")) + local + F.lit(1)
-    return tagged.withColumn(out, rn).drop("_mid", "_pid")
+    tagged = tagged.join(F.broadcast(off_df), "_pid", "inner")  # one row per partition
+    rn = F.col("_off") + local + F.lit(1)
+    return tagged.withColumn(out, rn).drop("_mid", "_pid", "_off")
 
 
 def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str = "mapped") -> DataFrame:
@@ -312,8 +312,8 @@ def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str
     edges = [float(o) for _, o in offs[1:]]
     bucket_ids = [b for b, _ in offs]
     qb = _bucketize(q.withColumn("_jd", F.col("_j").cast("double")), "_jd", edges, "_bi").drop("_jd")
-    ids = F.array(*[F.lit(b) for b in bucket_ids]) if bucket_ids else F.array().cast("array<int>")
-    qb = qb.withColumn("bucket", F.element_at(ids, F.col("_bi") + 1)).drop("_bi")
+    ids = _spark(queries).createDataFrame([(i, int(b)) for i, b in enumerate(bucket_ids)], "_bi int, bucket int")
+    qb = qb.join(F.broadcast(ids), "_bi", "inner").drop("_bi")  # one row per bucket: bounded
     # as-of merge inside each bucket: value rows keyed by `below`, queries by `_j`
     vals = pos.select("bucket", F.col("below").alias("_key"), F.lit(0).alias("_kind"),
                       F.col(y).alias("_y"), "below", "cnt", "next_value")
