@@ -140,6 +140,20 @@ def fit_group_stats(df: DataFrame, key: str, value: str, prefix: str,
     return _nonnull(df, [key]).groupBy(key).agg(*aggs)
 
 
+def fit_stats_many(df: DataFrame, key: str, specs: list[tuple]) -> DataFrame:
+    """Several E8 statistic sets over the same key in ONE aggregate.
+    ``specs``: (value column, output prefix, stats, std_null_as_zero)."""
+    fns = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    aggs = []
+    for value, prefix, stats, zero in specs:
+        for s in stats:
+            e = fns[s](value)
+            if s == "std" and zero:
+                e = F.coalesce(e, F.lit(0.0))
+            aggs.append(e.alias(f"{prefix}_{s}"))
+    return _nonnull(df, [key]).groupBy(key).agg(*aggs)
+
+
 def fit_group_count(df: DataFrame, key: str, out: str) -> DataFrame:
     return _nonnull(df, [key]).groupBy(key).agg(F.count(F.lit(1)).alias(out))
 

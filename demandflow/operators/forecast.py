@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from demandflow.functions.categorical import sentinel
 from demandflow.functions.numeric import clip
 from demandflow.operators.order import exact_quantiles, rolling_mean
+from demandflow.session import materialize
 
 
 @dataclass
@@ -60,7 +61,8 @@ def trend(ref: DataFrame, tgt: DataFrame, early_slot: int = 8) -> tuple[DataFram
         .agg(F.avg("demand").alias("early_d49_mean"))
     t = e48.join(e49, "geohash", "left")
     ratio = F.col("early_d49_mean") / F.nullif(F.col("early_d48_mean"), F.lit(0.0))
-    t = t.withColumn("_ratio", ratio)
+    # one row per geohash, read by the median pass and by the table: persist once
+    t = materialize(t.withColumn("_ratio", ratio), "trend")
     g = exact_quantiles(t, "_ratio", [0.5]).select(F.col("_ratio").alias("global_trend_ratio"))
     g = t.limit(0).select(F.lit(None).cast("double").alias("global_trend_ratio")).unionByName(g) \
         .agg(F.max("global_trend_ratio").alias("global_trend_ratio"))  # always one row

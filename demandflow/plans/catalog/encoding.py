@@ -12,6 +12,7 @@ from demandflow.operators import features as feat
 from demandflow.operators.metrics import r2_expr, score_expr
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
 from demandflow.plans.registry import R, register, with_obs
+from demandflow.session import materialize
 
 _REF = "ref AS (SELECT * FROM obs_t WHERE day <= 20)"
 _TGT = "tgt AS (SELECT * FROM obs_t WHERE day > 20)"
@@ -135,13 +136,13 @@ def q_geo_stats(spark, sf):
     o = feat.median_fill(obs(spark, sf), ["temperature", "number_of_lanes"])
     o = o.withColumn("geohash_prefix_4", geo.geohash_prefix("geohash", 4))
     ref, tgt = ref_of(o), tgt_of(o)
-    a = enc.fit_group_stats(ref, "geohash", "temperature_filled", "geohash_temp")
+    # every geohash-keyed statistic in one aggregate, the prefix-keyed ones in another
+    a = enc.fit_stats_many(ref, "geohash", [
+        ("temperature_filled", "geohash_temp", ("mean", "std", "min", "max"), False),
+        ("number_of_lanes_filled", "geo_lanes", ("mean", "max"), False),
+        ("temperature_filled", "geo_temp", ("mean", "std"), True)])
     b = enc.fit_group_stats(ref, "geohash_prefix_4", "temperature_filled", "geohash_prefix_4_temp")
-    lanes = enc.fit_group_stats(ref, "geohash", "number_of_lanes_filled", "geo_lanes", stats=("mean", "max"))
-    temp2 = enc.fit_group_stats(ref, "geohash", "temperature_filled", "geo_temp", stats=("mean", "std"),
-                                std_null_as_zero=True)
-    out = (tgt.join(a, "geohash", "left").join(b, "geohash_prefix_4", "left")
-              .join(lanes, "geohash", "left").join(temp2, "geohash", "left"))
+    out = tgt.join(a, "geohash", "left").join(b, "geohash_prefix_4", "left")
     cols = ["geohash_temp_mean", "geohash_temp_std", "geohash_temp_min", "geohash_temp_max",
             "geohash_prefix_4_temp_mean", "geohash_prefix_4_temp_std", "geohash_prefix_4_temp_min",
             "geohash_prefix_4_temp_max", "geo_lanes_mean", "geo_lanes_max", "geo_temp_mean", "geo_temp_std"]
@@ -188,7 +189,8 @@ def q_te_period_fit(spark, sf):
     o = obs_t(spark, sf).withColumns({
         "geohash_prefix_3": geo.geohash_prefix("geohash", 3), "geohash_prefix_4": geo.geohash_prefix("geohash", 4),
         "geohash_prefix_5": geo.geohash_prefix("geohash", 5), "day_of_week": F.pmod(F.col("day"), F.lit(7))})
-    long = enc.fit_smoothed_many(ref_of(o), _TE_COLS, "demand", alpha=10.0)
+    # the fitted long table is read by nine joins: persist it once (one GROUPING SETS pass)
+    long = materialize(enc.fit_smoothed_many(ref_of(o), _TE_COLS, "demand", alpha=10.0), "te-long")
     out = enc.apply_long(tgt_of(o), long, _TE_COLS, ref_of(o).agg(F.avg("demand").alias("g")), "te_")
     return round_doubles(out.select("idx", *[f"te_{c}" for c in _TE_COLS]))
 
