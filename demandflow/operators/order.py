@@ -166,22 +166,42 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | t
     return keyed.join(ranks, on=[*by, "_rv"], how="left").drop("_rv")
 
 
-def _value_at(pos: DataFrame, targets: DataFrame, by: list[str], k: str, out: str) -> DataFrame:
-    """Value at 0-based position ``k`` (per group) for a small target set.
-
-    Two steps keep every join bounded per key: position -> bucket via the
-    per-bucket offsets (<= n_buckets rows per group), then bucket -> value via an
-    equi-join on (group, bucket) plus the range test.
+# Positions per lookup chunk: every as-of window partition holds at most
+# POSITION_CHUNK + 1 value rows plus at most POSITION_CHUNK distinct positions.
+POSITION_CHUNK = 1 << 16
+
+
+def values_at_positions(pos: DataFrame, value: str, targets: DataFrame, by: list[str], k: str,
+                        chunk: int | None = None) -> DataFrame:
+    """For each distinct (group, 0-based position ``k``) of ``targets``: the value at
+    that position of the group's sorted values, and the value at ``k + 1``.
+
+    The position axis is cut into fixed chunks; each distinct-value row of ``pos``
+    (covering positions ``[below, below + cnt)``) is copied into every chunk it
+    overlaps (a hot value spans many chunks, so it is spread, not piled up), and an
+    as-of merge inside each (group, chunk) picks the last value row starting at or
+    before ``k``.  No join emits pairs, and no window partition exceeds ~2 chunks.
+    Returns ``by..., k, _y, _y_next``.
     """
-    offs = pos.select(*by, "bucket", "bucket_offset", "bucket_count").distinct()
-    tb = targets.join(offs, on=by, how="inner") if by else targets.crossJoin(F.broadcast(offs))
-    tb = tb.where((F.col(k) >= F.col("bucket_offset")) &
-                  (F.col(k) < F.col("bucket_offset") + F.col("bucket_count")))
-    tb = tb.drop("bucket_offset", "bucket_count")
-    vals = pos.select(*by, "bucket", F.col(pos.columns[len(by)]).alias(out), "below", "cnt")
-    hit = tb.join(vals, on=[*by, "bucket"], how="inner").where(
-        (F.col(k) >= F.col("below")) & (F.col(k) < F.col("below") + F.col("cnt")))
-    return hit.drop("bucket", "below", "cnt")
+    chunk = chunk or int(_spark(pos).conf.get("demandflow.order.positionChunk", str(POSITION_CHUNK)))
+    c = F.lit(chunk)
+    first = F.floor(F.col("below") / c).cast("long")
+    last = F.floor((F.col("below") + F.col("cnt") - 1) / c).cast("long")
+    vals = pos.select(*by, F.col(value).alias("_y"), "below", "cnt", "next_value",
+                      F.explode(F.sequence(first, last)).alias("_chunk"))
+    q = targets.select(*by, F.col(k).cast("long").alias("_k")).distinct() \
+               .withColumn("_chunk", F.floor(F.col("_k") / c).cast("long"))
+    v = vals.select(*by, "_chunk", F.col("below").alias("_key"), F.lit(0).alias("_kind"),
+                    F.struct("_y", "below", "cnt", "next_value").alias("_val"))
+    qq = q.select(*by, "_chunk", F.col("_k").alias("_key"), F.lit(1).alias("_kind"),
+                  F.lit(None).cast(v.schema["_val"].dataType).alias("_val"))
+    w = Window.partitionBy(*by, "_chunk").orderBy("_key", "_kind").rowsBetween(_UNBOUNDED, 0)
+    merged = v.unionByName(qq).select(*by, "_key", "_kind", F.last("_val", ignorenulls=True).over(w).alias("_v"))
+    merged = merged.where(F.col("_kind") == 1)
+    y = F.col("_v._y")
+    y_next = F.when(F.col("_key") + 1 < F.col("_v.below") + F.col("_v.cnt"), y) \
+              .otherwise(F.coalesce(F.col("_v.next_value"), y))
+    return merged.select(*by, F.col("_key").alias(k), y.alias("_y"), y_next.alias("_y_next"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | tuple = (),
@@ -204,17 +224,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
             *by, F.col("q_index").cast("int").alias("q_index"),
             F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q_index") + 1).alias("q"), value)
     by = list(by)
-    pos = value_positions(df, value, by, n_buckets=n_buckets)
+    pos = value_positions(df, value, by, n_buckets=n_buckets, with_next=True)
     groups = pos.select(*by, "n").distinct()
     qs = _spark(df).createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_index int, q double")
-    t = groups.crossJoin(F.broadcast(qs)).withColumn("_p", (F.col("n") - 1) * F.col("q"))
-    t = t.withColumns({"_lo": F.floor("_p").cast("long"), "_hi": F.ceil("_p").cast("long")})
-    t = t.withColumn("_f", F.col("_p") - F.col("_lo"))
-    lo = _value_at(pos, t.select(*by, "q_index", "_lo"), by, "_lo", "_vlo")
-    hi = _value_at(pos, t.select(*by, "q_index", "_hi"), by, "_hi", "_vhi")
-    res = (t.join(lo, on=[*by, "q_index", "_lo"], how="inner")
-            .join(hi, on=[*by, "q_index", "_hi"], how="inner"))
-    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")
+    t = groups.crossJoin(F.broadcast(qs)).withColumn("_p", (F.col("n") - 1) * F.col("q"))  # groups x probs
+    t = t.withColumns({"_lo": F.floor("_p").cast("long")}).withColumn("_f", F.col("_p") - F.col("_lo"))
+    looked = values_at_positions(pos, value, t, by, "_lo")
+    res = t.join(looked, on=[*by, "_lo"], how="inner")
+    val = F.when(F.col("_f") == 0, F.col("_y")).otherwise(F.col("_y") + (F.col("_y_next") - F.col("_y")) * F.col("_f"))
     return res.select(*by, "q_index", "q", val.alias(value))
 
 
@@ -301,42 +318,18 @@ def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str
     Sorted-sample lookups go through :func:`value_positions` (distinct values,
     bucketed) and an as-of merge per bucket, so nothing is collected.
     """
-    pos = materialize(value_positions(sample, y, with_next=True), "value-positions")
-    n_row = pos.select(F.max("n").alias("_n"))
-    q = queries.crossJoin(F.broadcast(n_row))
+    pos = value_positions(sample, y, with_next=True)
+    n_row = sample.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).agg(
+        F.count(F.lit(1)).alias("_n"))
+    q = queries.crossJoin(F.broadcast(n_row))  # one row
     p = F.least(F.greatest(F.col(r), F.lit(0.0)), F.lit(1.0)) * (F.col("_n") - 1)
     q = q.withColumns({"_p": p, "_j": F.floor(p).cast("long")})
-    # bucket of each position: bucket offsets are one row per bucket (bounded)
-    offs = [(row["bucket"], row["bucket_offset"]) for row in
-            pos.select("bucket", "bucket_offset").distinct().orderBy("bucket_offset").collect()]
-    edges = [float(o) for _, o in offs[1:]]
-    bucket_ids = [b for b, _ in offs]
-    qb = _bucketize(q.withColumn("_jd", F.col("_j").cast("double")), "_jd", edges, "_bi").drop("_jd")
-    ids = _spark(queries).createDataFrame([(i, int(b)) for i, b in enumerate(bucket_ids)], "_bi int, bucket int")
-    qb = qb.join(F.broadcast(ids), "_bi", "inner").drop("_bi")  # one row per bucket: bounded
-    # as-of merge inside each bucket: value rows keyed by `below`, queries by `_j`
-    vals = pos.select("bucket", F.col("below").alias("_key"), F.lit(0).alias("_kind"),
-                      F.col(y).alias("_y"), "below", "cnt", "next_value")
-    qs = qb.select("bucket", F.col("_j").alias("_key"), F.lit(1).alias("_kind"),
-                   F.lit(None).cast("double").alias("_y"), F.lit(None).cast("long").alias("below"),
-                   F.lit(None).cast("long").alias("cnt"), F.lit(None).cast("double").alias("next_value"),
-                   F.struct(*[F.col(c) for c in qb.columns if c != "bucket"]).alias("_q"))
-    vals = vals.withColumn("_q", F.lit(None).cast(qs.schema["_q"].dataType))
-    w = Window.partitionBy("bucket").orderBy("_key", "_kind").rowsBetween(_UNBOUNDED, 0)
-    merged = vals.unionByName(qs).select(
-        "_kind", "_q",
-        F.last("_y", ignorenulls=True).over(w).alias("_yj"),
-        F.last("below", ignorenulls=True).over(w).alias("_below"),
-        F.last("cnt", ignorenulls=True).over(w).alias("_cnt"),
-        F.last("next_value", ignorenulls=True).over(w).alias("_next"),
-    ).where(F.col("_kind") == 1)
-    jj = F.col("_q._j")
-    y_next = F.when(jj + 1 < F.col("_below") + F.col("_cnt"), F.col("_yj")).otherwise(
-        F.coalesce(F.col("_next"), F.col("_yj")))
-    frac = F.col("_q._p") - jj
-    mapped = F.when(frac == 0, F.col("_yj")).otherwise(F.col("_yj") + frac * (y_next - F.col("_yj")))
-    keep = [c for c in queries.columns]
-    return merged.select(*[F.col("_q." + c).alias(c) for c in keep], mapped.alias(out))
+    # distinct positions only (a hot rank collapses to one lookup), then joined back
+    looked = values_at_positions(pos, y, q, [], "_j")
+    res = q.join(looked, "_j", "inner")
+    frac = F.col("_p") - F.col("_j")
+    mapped = F.when(frac == 0, F.col("_y")).otherwise(F.col("_y") + frac * (F.col("_y_next") - F.col("_y")))
+    return res.select(*queries.columns, mapped.alias(out))
 
 
 def rolling_mean(df: DataFrame, value: str, partition: list[str], order: list[str],

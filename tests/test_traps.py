@@ -203,8 +203,10 @@ def test_ordinal_unknown_is_null(spark):
 def force_bucketed(spark):
     """Make every order operator take its at-scale (bucketed) plan."""
     spark.conf.set("demandflow.order.smallDistinct", "10")
+    spark.conf.set("demandflow.order.positionChunk", "7")  # hot values span many chunks
     yield
     spark.conf.unset("demandflow.order.smallDistinct")
+    spark.conf.unset("demandflow.order.positionChunk")
 
 
 def test_bucketed_paths_match_pandas(spark, force_bucketed):
