@@ -75,20 +75,26 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return base.join(qs, "column", "left")
 
 
+def melt(df: DataFrame, cols: list[str], extra: list[str] | tuple = (), key: str = "column",
+         value: str = "value") -> DataFrame:
+    """Long form ``extra..., column, value`` (value as text) of several columns in one
+    pass: reports over many columns then scan the table once instead of once per column."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(key), F.col(c).cast("string").alias(value)) for c in cols])
+    return df.select(*extra, F.explode(pairs).alias("_kv")).select(*extra, f"_kv.{key}", f"_kv.{value}")
+
+
 def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
     """Top-k value counts per column (nulls dropped; ties by value).
 
-    ``row_number() <= k`` lets Spark insert a partial per-partition limit
-    (WindowGroupLimit) before the shuffle, so a column with millions of
+    One scan: the columns are melted, counted with map-side combine, and
+    ``row_number() <= k`` lets Spark insert a per-partition group limit
+    (WindowGroupLimit) before the final shuffle, so a column with millions of
     distinct values sends at most k rows per partition to the final sort.
     """
-    out = None
-    for c in cols:
-        vc = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")) \
-               .agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit(c))
-        out = vc if out is None else out.unionByName(vc)
+    vc = melt(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value") \
+        .agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def shares(df: DataFrame, col: str) -> DataFrame:
@@ -110,15 +116,25 @@ def distribution_compare(a: DataFrame, b: DataFrame, col: str, names=("a", "b"),
 
 def histogram(df: DataFrame, col: str, bins: int, series: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max], last bin closed."""
-    x = F.col(col).cast("double")
-    d = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    rng = d.agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    j = d.crossJoin(F.broadcast(rng))
-    width = F.col("_mx") - F.col("_mn")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_mn")) / width * F.lit(bins)), F.lit(bins - 1))).cast("int")
-    return j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")) \
-            .withColumn("series", F.lit(series or col))
+    return histograms(df, {series or col: (col, bins)})
+
+
+def histograms(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
+    """P9 for several series in two passes total: one aggregate of every range,
+    then one melted pass that bins and counts all series together."""
+    names = list(specs)
+    rng = df.agg(*[e for n in names for e in (F.min(F.col(specs[n][0]).cast("double")).alias(f"_mn_{n}"),
+                                                F.max(F.col(specs[n][0]).cast("double")).alias(f"_mx_{n}"))])
+    j = df.crossJoin(F.broadcast(rng))  # one row
+    items = []
+    for n in names:
+        col, nb = specs[n]
+        x, mn, mx = F.col(col).cast("double"), F.col(f"_mn_{n}"), F.col(f"_mx_{n}")
+        b = F.when(mx == mn, F.lit(0)).otherwise(F.least(F.floor((x - mn) / (mx - mn) * F.lit(nb)), F.lit(nb - 1)))
+        ok = x.isNotNull() & ~F.isnan(x)
+        items.append(F.struct(F.lit(n).alias("series"), F.when(ok, b.cast("int")).alias("bin")))
+    long = j.select(F.explode(F.array(*items)).alias("_h")).select("_h.*").where(F.col("bin").isNotNull())
+    return long.groupBy("bin", "series").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_pattern(df: DataFrame, order: str, n: int = 500, cols: list[str] | None = None) -> DataFrame:
@@ -152,14 +168,9 @@ def spearman_long(df: DataFrame, cols: list[str], key: str) -> DataFrame:
 
 
 def target_by_category(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Mean target per level (null level dropped), descending."""
-    out = None
-    for c in cols:
-        g = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("level")) \
-              .agg(F.avg(target).alias("mean_target"), F.count(F.lit(1)).alias("n")) \
-              .withColumn("column", F.lit(c))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """Mean target per level (null level dropped), one melted pass."""
+    m = melt(df, cols, extra=[target], value="level").where(F.col("level").isNotNull())
+    return m.groupBy("column", "level").agg(F.avg(target).alias("mean_target"), F.count(F.lit(1)).alias("n"))
 
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:

@@ -109,12 +109,7 @@ _HIST = [("demand", 100), ("temperature", 50), ("number_of_lanes", 10)]
     f"WHERE {c} IS NOT NULL GROUP BY 1" for c, n in _HIST)))
 def q_histogram(spark, sf):
     """Equal-width histograms (100 / 50 / 10 bins)."""
-    o = obs(spark, sf)
-    out = None
-    for c, n in _HIST:
-        h = pr.histogram(o, c, n)
-        out = h if out is None else out.unionByName(h)
-    return out
+    return pr.histograms(obs(spark, sf), {c: (c, n) for c, n in _HIST})
 
 
 _MISS_COLS = ["road_type", "number_of_lanes", "temperature", "weather"]
