@@ -104,14 +104,19 @@ def shares(df: DataFrame, col: str) -> DataFrame:
              .crossJoin(F.broadcast(total)).select(col, (F.col("_c") / F.col("_t")).alias("share"))
 
 
-def distribution_compare(a: DataFrame, b: DataFrame, col: str, names=("a", "b"), dp: int = 4) -> DataFrame:
-    """Shares of each level in two samples side by side (full outer join)."""
-    sa = shares(a, col).withColumnRenamed("share", f"share_{names[0]}")
-    sb = shares(b, col).withColumnRenamed("share", f"share_{names[1]}")
-    j = sa.join(sb, col, "full")
-    return j.select(F.lit(col).alias("column"), F.col(col).cast("string").alias("level"),
-                    round_dp(f"share_{names[0]}", dp).alias(f"share_{names[0]}"),
-                    round_dp(f"share_{names[1]}", dp).alias(f"share_{names[1]}"))
+def distribution_compare(a: DataFrame, b: DataFrame, cols, names=("a", "b"), dp: int = 4) -> DataFrame:
+    """Shares of each level in two samples side by side (a level missing from
+    one sample has a null share there).  Both samples and all columns go through
+    one melted count; per-column totals come from the same counts."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    u = a.select(*cols, F.lit(0).alias("_s")).unionByName(b.select(*cols, F.lit(1).alias("_s")))
+    counts = melt(u, cols, extra=["_s"], value="level").where(F.col("level").isNotNull()) \
+        .groupBy("column", "level").agg(*[F.count(F.when(F.col("_s") == i, 1)).alias(f"_c{i}") for i in (0, 1)])
+    totals = counts.groupBy("column").agg(F.sum("_c0").alias("_t0"), F.sum("_c1").alias("_t1"))
+    j = counts.join(totals, "column")  # one row per column
+    share = [F.when(F.col(f"_c{i}") > 0, F.col(f"_c{i}") / F.col(f"_t{i}")) for i in (0, 1)]
+    return j.select("column", "level", round_dp(share[0], dp).alias(f"share_{names[0]}"),
+                    round_dp(share[1], dp).alias(f"share_{names[1]}"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, series: str | None = None) -> DataFrame:

@@ -96,8 +96,7 @@ def q_distribution_compare(spark, sf):
     """Level shares in the reference vs target period, 4 dp, side by side."""
     o = obs(spark, sf)
     a, b = ref_of(o), tgt_of(o)
-    return pr.distribution_compare(a, b, "road_type", ("reference", "target")).unionByName(
-        pr.distribution_compare(a, b, "weather", ("reference", "target")))
+    return pr.distribution_compare(a, b, ["road_type", "weather"], ("reference", "target"))
 
 
 _HIST = [("demand", 100), ("temperature", 50), ("number_of_lanes", 10)]

@@ -24,7 +24,7 @@ def summarise(plan: str) -> dict:
         "reused": plan.count("ReusedExchange"),
         "window_group_limit": plan.count("WindowGroupLimit"),
         "codegen_stages": len(set(re.findall(r"\*\((\d+)\)", plan))),
-        "scans": plan.count("FileScan parquet") + plan.count("Scan parquet"),
+        "scans": plan.count("Scan parquet"),
         "read_cols": sorted(set(c for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan)
                                 for c in re.findall(r"(\w+):", s))),
     }
