@@ -36,7 +36,7 @@ def main() -> None:
         names = sorted(QUERIES)
     names = names or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g")})
     # JVM / codegen warm-up on the smallest fixture, not timed
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
