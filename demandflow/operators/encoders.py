@@ -172,6 +172,31 @@ def fit_label_codes(frames: list[DataFrame], col: str) -> DataFrame:
     return numbered.select(F.col("_txt"), (F.col("_rn") - 1).cast("int").alias("code"))
 
 
+def fit_label_codes_many(frames: list[DataFrame], cols: list[str]) -> DataFrame:
+    """E1 for several columns with ONE distributed numbering: distinct
+    ``(column, text)`` pairs are numbered in (column, text) order and each
+    column's codes start at 0 (first number of the column subtracted).
+    Returns ``column, _txt, code``."""
+    vals = None
+    for f in frames:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), text_or_nan(c).alias("_txt")) for c in cols])
+        v = f.select(F.explode(pairs).alias("_p")).select("_p.*")
+        vals = v if vals is None else vals.unionByName(v)
+    numbered = global_row_number(vals.distinct(), ["column", "_txt"], out="_rn")
+    starts = numbered.groupBy("column").agg(F.min("_rn").alias("_start"))  # one row per column
+    return numbered.join(F.broadcast(starts), "column").select(
+        "column", "_txt", (F.col("_rn") - F.col("_start")).cast("int").alias("code"))
+
+
+def apply_label_codes_many(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_le") -> DataFrame:
+    out = df
+    for c in cols:
+        t = codes.where(F.col("column") == F.lit(c)).select(F.col("_txt").alias(f"_t_{c}"),
+                                                           F.col("code").alias(c + suffix))
+        out = out.join(t, text_or_nan(c) == F.col(f"_t_{c}"), "left").drop(f"_t_{c}")
+    return out
+
+
 def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str) -> DataFrame:
     keyed = df.withColumn("_txt", text_or_nan(col))
     return keyed.join(codes.withColumnRenamed("code", out), on="_txt", how="left").drop("_txt")

@@ -209,10 +209,10 @@ def q_label_encode(spark, sf):
     codes in code-point order."""
     o = obs(spark, sf).withColumn("geohash_prefix_3", geo.geohash_prefix("geohash", 3))
     ref, tgt = ref_of(o), tgt_of(o)
-    out = o
-    for c in ["road_type", "weather", "geohash_prefix_3"]:
-        codes = enc.fit_label_codes([ref, tgt], c)
-        out = enc.apply_label_codes(out, codes, c, f"{c}_le")
+    cols = ["road_type", "weather", "geohash_prefix_3"]
+    # one numbering pass for all columns; the small code table is written once and read by three joins
+    codes = materialize(enc.fit_label_codes_many([ref, tgt], cols), "label-codes")
+    out = enc.apply_label_codes_many(o, codes, cols)
     return out.select("idx", "road_type_le", "weather_le", "geohash_prefix_3_le")
 
 
