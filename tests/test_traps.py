@@ -238,3 +238,11 @@ def test_bucketed_paths_match_pandas(spark, force_bucketed):
     m = dict(_rows(order.quantile_map(q, "r", df, "x", "m"), "i", "m"))
     expm = np.interp(rs, np.linspace(0, 1, len(x)), np.sort(x))
     assert all(m[i] == pytest.approx(expm[i], abs=1e-12) for i in range(len(rs)))
+
+
+def test_label_codes_many_equal_per_column_codes(spark):
+    df = spark.createDataFrame([("b", "x"), (None, "y"), ("a", None), ("Z", "x")], "c string, d string")
+    many = {(r["column"], r["_txt"]): r["code"] for r in enc.fit_label_codes_many([df], ["c", "d"]).collect()}
+    for col in ["c", "d"]:
+        single = dict(_rows(enc.fit_label_codes([df], col), "_txt", "code"))
+        assert single == {t: c for (k, t), c in many.items() if k == col}
