@@ -121,3 +121,53 @@ def q_ols_moments(spark, sf):
     from demandflow.operators.models import ols_moments
     bp = base_predictions(obs(spark, sf), materialize=True)
     return round_doubles(ols_moments(bp, ["pa", "pb", "pc"], "demand"))
+
+
+_BP5 = [
+    "rq AS (SELECT *, coalesce(road_type, 'MISSING') AS road, coalesce(weather, 'MISSING') AS wkey FROM rf)",
+    """bp5 AS (SELECT bp.*, coalesce(l3.m, l4.m, l5.m, ga.g) AS pd, coalesce(w.m, ga.g) AS pe
+     FROM bp JOIN (SELECT *, coalesce(road_type, 'MISSING') AS road, coalesce(weather, 'MISSING') AS wkey FROM tg) t
+       ON bp.idx = t.idx
+     LEFT JOIN (SELECT geohash, timestamp, road, avg(demand) AS m FROM rq GROUP BY 1, 2, 3) l3
+       ON t.geohash = l3.geohash AND t.timestamp = l3.timestamp AND t.road = l3.road
+     LEFT JOIN (SELECT geohash, timestamp, avg(demand) AS m FROM rq GROUP BY 1, 2) l4
+       ON t.geohash = l4.geohash AND t.timestamp = l4.timestamp
+     LEFT JOIN (SELECT geohash, avg(demand) AS m FROM rq GROUP BY 1) l5 ON t.geohash = l5.geohash
+     LEFT JOIN (SELECT wkey, hour, avg(demand) AS m FROM rq GROUP BY 1, 2) w ON t.wkey = w.wkey AND t.hour = w.hour
+     CROSS JOIN ga)""",
+    "lat5 AS (SELECT a.range AS i0, b.range AS i1, c.range AS i2, d.range AS i3, "
+    "10 - a.range - b.range - c.range - d.range AS i4 FROM range(11) a, range(11) b, range(11) c, range(11) d "
+    "WHERE a.range + b.range + c.range + d.range <= 10)",
+    "pts5 AS (SELECT i0, i1, i2, i3, i4, 1 - sum(power(demand - (i0 * pa + i1 * pb + i2 * pc + i3 * pd + i4 * pe) / 10.0, 2))"
+    " / (var_pop(demand) * count(*)) AS r2 FROM lat5 CROSS JOIN bp5 GROUP BY i0, i1, i2, i3, i4)",
+]
+_M5 = ["pa", "pb", "pc", "pd", "pe"]
+
+
+def base_predictions_5(spark, sf):
+    """The three base predictions plus ``pd`` (four-tier lookup fit on the reference
+    period) and ``pe`` (mean by weather-or-MISSING x hour), aligned on ``idx``."""
+    from demandflow.functions.categorical import sentinel
+    from demandflow.functions.time import hour_of
+    from demandflow.operators.encoders import apply_mean, fit_mean
+    from demandflow.operators.lookup import tiered_lookup
+    from demandflow.plans.catalog.lookup import FOUR_TIERS
+    from demandflow.session import materialize
+    o = obs(spark, sf).withColumns({"road": sentinel("road_type"), "wkey": sentinel("weather"),
+                                    "hour": hour_of("timestamp")})
+    ref, tgt = o.where(F.col("day") <= 20), o.where(F.col("day") > 20)
+    pd_ = tiered_lookup(ref, tgt, FOUR_TIERS, "demand", out="pd", tier_col=None)
+    pe_ = apply_mean(pd_, fit_mean(ref, ["wkey", "hour"], "demand"), ["wkey", "hour"], "pe")
+    bp = base_predictions(obs(spark, sf))
+    return materialize(bp.join(pe_.select("idx", "pd", "pe"), "idx"), "base-predictions-5")
+
+
+@register("blend_grid_5", with_obs(f"""
+SELECT {R('i0 / 10.0')} AS w_pa, {R('i1 / 10.0')} AS w_pb, {R('i2 / 10.0')} AS w_pc, {R('i3 / 10.0')} AS w_pd,
+       {R('i4 / 10.0')} AS w_pe, {R('r2')} AS r2, {R('greatest(0.0, 100 * r2)')} AS score,
+       cast(row_number() OVER (ORDER BY r2 DESC, i0, i1, i2, i3, i4) = 1 AS int) AS is_best
+FROM pts5""", *BP_SQL, *_BP5))
+def q_blend_grid_5(spark, sf):
+    """B2 with five models on the coarse 11-step lattice (1,001 weight vectors),
+    every point scored from one 5 x 5 moments aggregate."""
+    return round_doubles(ens.blend_grid(base_predictions_5(spark, sf), "demand", _M5, steps=11))
