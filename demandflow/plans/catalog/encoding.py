@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandflow.functions import categorical as cat
 from demandflow.functions import geo, time
 from demandflow.functions.numeric import r6, round_doubles
 from demandflow.operators import encoders as enc

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from demandflow.functions import categorical as cat
 from demandflow.functions import geo, numeric, time
-from demandflow.functions.numeric import r6, round_doubles
+from demandflow.functions.numeric import round_doubles
 from demandflow.operators import features as feat
-from demandflow.plans.common import obs, obs_t, ref_of
+from demandflow.plans.common import obs, ref_of
 from demandflow.plans.registry import R, register, with_obs
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from demandflow.functions.categorical import sentinel
 from demandflow.functions.numeric import r6, round_doubles
 from demandflow.operators.lookup import tier_counts, tiered_lookup

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from demandflow.functions.numeric import r6
 from demandflow.operators.order import average_rank, quantile_bins, quantile_map
 from demandflow.plans.common import obs

@@ -3,7 +3,6 @@
 usage: python tools_plans.py [sf_dir] [name ...]  -> markdown table on stdout
 """
 
-import os
 import re
 import sys
 
