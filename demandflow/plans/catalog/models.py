@@ -166,15 +166,21 @@ def q_validation_gap(spark, sf):
 
 @register("ablation")
 def q_ablation(spark, sf):
-    """Score with and without the geohash feature block; keep if it adds > 0.1."""
+    """Score with and without each feature block (geohash statistics, time,
+    categories); a block is kept when it adds more than 0.1 score points."""
     m = model_frame(spark, sf)
     ref, tgt = ref_of(m), tgt_of(m)
-    without = [f for f in FEATURES if f not in GEO_FEATURES]
-    _, s_with = md.score(md.fit_predict(md.gbt(FEATURES, "demand", "gbt_b"), ref, tgt), "demand", "pred")
-    _, s_without = md.score(md.fit_predict(md.gbt(without, "demand", "gbt_b"), ref, tgt), "demand", "pred")
-    d = s_with - s_without
-    return spark.createDataFrame([("geohash", s_with, s_without, d, int(d > 0.1))],
-                                 "block string, score_with double, score_without double, diff double, keep int")
+    blocks = {"geohash": GEO_FEATURES, "time": TIME_FEATURES, "categories": CAT_FEATURES}
+
+    def score_of(feats):
+        return md.score(md.fit_predict(md.gbt(feats, "demand", "gbt_b"), ref, tgt), "demand", "pred")[1]
+
+    variants = {"all": FEATURES, **{b: [f for f in FEATURES if f not in fs] for b, fs in blocks.items()}}
+    with ThreadPoolExecutor(max_workers=4) as ex:  # independent fits
+        scores = dict(zip(variants, ex.map(score_of, variants.values())))
+    rows = [(b, scores["all"], scores[b], scores["all"] - scores[b], int(scores["all"] - scores[b] > 0.1))
+            for b in blocks]
+    return spark.createDataFrame(rows, "block string, score_with double, score_without double, diff double, keep int")
 
 
 @register("target_experiment")
