@@ -126,6 +126,9 @@ def value_positions(df: DataFrame, value: str, by: list[str] | tuple = (),
     if n_buckets is None:
         small = distinct_estimate(base, [*by, "_v"]) * 1.2 <= _small_limit(df)
         n_buckets = 1 if small else _default_buckets(df)
+    if n_buckets > 1:
+        # read twice (edge pass + main plan): write the distinct-value table once
+        vc = materialize(vc, "value-counts")
     edges = bucket_edges(vc, "_v", n_buckets)
     vcb = _bucketize(vc, "_v", edges, "_b")
 
