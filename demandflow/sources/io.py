@@ -50,6 +50,11 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "csv", referenc
         inv = {v: k for k, v in REFERENCE_COLUMNS.items()}
         schema = T.StructType([T.StructField(inv.get(f.name, f.name), f.dataType) for f in schema.fields])
     if fmt == "csv":
+        # CSV columns bind by position: order the typed schema by the file's own header
+        # (a file without some column, e.g. the test file without the target, also works)
+        header = spark.read.option("header", True).csv(path).columns
+        types = {f.name: f.dataType for f in schema.fields}
+        schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
         df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
