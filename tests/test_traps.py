@@ -246,3 +246,36 @@ def test_label_codes_many_equal_per_column_codes(spark):
     for col in ["c", "d"]:
         single = dict(_rows(enc.fit_label_codes([df], col), "_txt", "code"))
         assert single == {t: c for (k, t), c in many.items() if k == col}
+
+
+@pytest.mark.parametrize("value,n", [(3.0, 5), (3.0, 10), (0.0, 10), (-2.0, 5)])
+def test_constant_column_bins_match_pandas(spark, value, n):
+    df = spark.createDataFrame([(i, value) for i in range(3)], "i int, x double")
+    got = [r[0] for r in feat.equal_width_bins(df, "x", {"b": n}).select("b").collect()]
+    assert got == list(pd.cut(pd.Series([value] * 3), bins=n, labels=False))
+
+
+def test_all_null_column_stays_null_after_median_fill(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0)], "i int, a double, b double")
+    out = {r["i"]: (r["a_filled"], r["b_filled"]) for r in feat.median_fill(df, ["a", "b"]).collect()}
+    assert out == {1: (None, 2.0), 2: (None, 4.0)}
+
+
+def test_zero_early_mean_gives_global_ratio_and_duplicate_keys_one_template_row(spark):
+    from demandflow.operators import forecast as fc
+    ref = spark.createDataFrame([
+        (1, "aaaaa", 1, 0.0, "Highway"), (2, "bbbbb", 1, 1.0, None), (3, "ccccc", 1, 2.0, None),
+        (4, "ccccc", 1, 4.0, "Highway"),  # duplicate (geohash, slot)
+    ], "idx long, geohash string, slot int, demand double, road_type string")
+    tgt = spark.createDataFrame([(5, "aaaaa", 1, 3.0, None), (6, "bbbbb", 1, 3.0, None), (7, "ccccc", 9, 9.0, None)],
+                                "idx long, geohash string, slot int, demand double, road_type string")
+    t, g = fc.trend(ref, tgt)
+    rows = {r["geohash"]: r for r in t.collect()}
+    gr = g.first()["global_trend_ratio"]
+    # aaaaa: early ref mean 0 -> ratio null -> global median ratio (of bbbbb's 3.0 only), clipped
+    assert gr == pytest.approx(3.0)
+    assert rows["aaaaa"]["trend_multiplier"] == pytest.approx(3.0)
+    # ccccc: no early target rows -> ratio null -> global; offset 0
+    assert rows["ccccc"]["trend_offset"] == 0.0
+    tpl = fc.templates_joined(ref).where(F.col("geohash") == "ccccc").collect()
+    assert len(tpl) == 1 and tpl[0]["d48_lag_demand"] == pytest.approx(3.0)
