@@ -345,10 +345,14 @@ def q_stacking(spark, sf):
     for p in parts[1:]:
         oof = oof.unionByName(p)
     meta_x = ens.align(oof, "idx", names).join(ref.select("idx", "demand"), "idx")
-    tgt_preds = tgt.select("idx", "demand")
-    for n in names:
-        p = md.fit_predict(md.gbt(FEATURES, "log_demand", n), ref, tgt, "p").select(
+    def full(n):  # each preset refit on the whole reference period
+        return md.fit_predict(md.gbt(FEATURES, "log_demand", n), ref, tgt, "p").select(
             "idx", clip(exp_target("p"), 0.0, 1.0).alias(n))
+
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        fulls = list(ex.map(full, names))
+    tgt_preds = tgt.select("idx", "demand")
+    for p in fulls:
         tgt_preds = tgt_preds.join(p, "idx")
     rows = []
     for name, model in md.meta_models(meta_x, names, "demand").items():
