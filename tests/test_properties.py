@@ -140,3 +140,8 @@ def test_ols_from_moments_matches_numpy(spark, obs):
     exp = np.linalg.lstsq(X, p.demand.values, rcond=None)[0]
     got = [beta["intercept"], beta["pa"], beta["pb"], beta["pc"]]
     assert np.allclose(got, exp, rtol=1e-6, atol=1e-8)
+
+
+def test_key_coverage_with_empty_sample_has_null_shares(spark, obs):
+    r = sp.key_coverage(obs, obs.limit(0), ["geohash"]).first()
+    assert r["n_b"] == 0 and r["pct_shared"] is None and r["n_a"] > 0
