@@ -61,9 +61,13 @@ def q_gbt_predictions(spark, sf):
     """L1: three boosted-tree presets fit on the reference period, target-period predictions."""
     m = model_frame(spark, sf)
     ref, tgt = ref_of(m), tgt_of(m)
+    def fit(name):  # the three presets are independent fits
+        return md.fit_predict(md.gbt(FEATURES, "demand", name), ref, tgt, name).select("idx", name)
+
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        preds = list(ex.map(fit, list(md.GBT_PRESETS)))
     out = tgt.select("idx", "demand")
-    for name in md.GBT_PRESETS:
-        p = md.fit_predict(md.gbt(FEATURES, "demand", name), ref, tgt, name).select("idx", name)
+    for p in preds:
         out = out.join(p, "idx")
     return out
 
