@@ -5,6 +5,7 @@ Prints ONE JSON line: {"metric": ..., "value": total_sec, "unit": "sec",
 ``noop`` sink (all partitions computed, nothing collected to the driver).
 
 usage: python bench.py [--all] [name ...]
+(set BENCH_EVENT_LOG_DIR to a scratch folder to keep Spark's event log for stage times)
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ def main() -> None:
     if "--all" in args:
         names = sorted(QUERIES)
     names = names or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g")}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage/task times without the web UI
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     # JVM / codegen warm-up on the smallest fixture, not timed
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
