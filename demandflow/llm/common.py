@@ -195,3 +195,10 @@ def batches_of(size: int, columns=("text",)):
 
 def frame(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def schema_with(docs: DataFrame, new: str):
+    """The schema of docs plus the (nullable) columns of a DDL string."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*docs.schema.fields, *StructType.fromDDL(new).fields])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandflow.llm.common import batches_of, frame, mix, table
+from demandflow.llm.common import batches_of, frame, mix, schema_with, table
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -98,7 +98,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     known = docs.sparkSession.sparkContext.broadcast((model[0], model[1], model[2].astype(np.float32)))
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = schema_with(docs, "lang_pred string, score double")
 
     def go(it):
         langs, prior, logp = known.value

@@ -20,9 +20,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from demandflow.llm.common import batches_of, frame, table
+from demandflow.llm.common import batches_of, frame, schema_with, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES = 4 << 20
@@ -135,7 +134,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     docs = docs.drop("piece_ids", "decoded")
     known = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    schema = docs.withColumns({"piece_ids": F.array().cast("array<int>"), "decoded": F.col("text")}).schema
+    schema = schema_with(docs, "piece_ids array<int>, decoded string")
 
     def go(it):
         v = known.value

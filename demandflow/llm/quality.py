@@ -159,18 +159,21 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
             .select("stratum", "rule", (F.col("step") / STEPS).alias("cutoff")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
+          with_text: bool = True) -> DataFrame:
     """docs plus signals, ratios, base_failed, n_rules_failed and kept.
 
     docs: doc_id, text, the stratum column and any others.  kept is false where base_failed (fewer than
     50 words, or over half of the words in repeated 3-word windows) or where a certified rule rejects.
+    Without ``with_text`` the text is not carried on.
     A null stratum is a stratum of its own.  Null text: no words, so rejected.  Without labels only the base
     rules hold.  Equal rows get equal results; no rows: no rows.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks",
             "base_failed", "n_rules_failed", "kept", *RULES}
     docs = docs.drop(*[c for c in docs.columns if c in made])
-    scored = save(signals(docs).withColumns(ratios()).withColumn("base_failed", base_failed()), "signals")
+    scored = signals(docs).withColumns(ratios()).withColumn("base_failed", base_failed())
+    scored = save(scored if with_text else scored.drop("text"), "signals")
     cuts = save(cutoffs(scored, labels, stratum, alpha, delta).groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES]), "cutoffs")
     fails = sum((F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False)).cast("int") for r in RULES), F.lit(0))
@@ -182,11 +185,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document, cutoffs certified on the labelled documents per language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return _no_text(judge(docs, table(spark, sf_dir, "labels")))
-
-
-def _no_text(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_rules_failed")
+    j = judge(docs, table(spark, sf_dir, "labels"), with_text=False)
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_rules_failed")
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
