@@ -138,7 +138,9 @@ class Scanner:
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         self.automaton = a = Automaton([[self.vocabulary[w] for w in t] for t in texts])
         # phrases in which a state's words end
-        self.phrases_at = [[t for t, end in e if t < self.n_phrases and end == self.sizes[t]] for e in a.ends]
+        self.phrases_at: list[list[int]] = [[] for _ in a.nxt]
+        for t in range(self.n_phrases):
+            self.phrases_at[a.stream([self.vocabulary[w] for w in texts[t]])[-1][0]].append(t)
         for s in sorted(range(1, len(a.nxt)), key=lambda s: a.length[s]):  # and those of its suffixes
             self.phrases_at[s] = sorted({*self.phrases_at[s], *self.phrases_at[a.link[s]]})
         hashes = Words(pa.array([" ".join(self.vocabulary)]), ALNUM, fold=True).hashes()
