@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandflow.llm import decontaminate, linededup, minhash, pieces, quality
-from demandflow.llm.common import row_key, save, table
+from demandflow.llm.common import save, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,10 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id stay unless a row with one is in their class; of equal rows one stays.
     """
-    classes = minhash.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select("doc_id").distinct()
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True))).dropDuplicates(["_k1", "_k2"])
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS)
+    classes = save(minhash.near_duplicates(docs), "classes")
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    kept = docs.join(gone, same, "left_anti")
+    if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,8 +252,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, star_weight: int = STAR_WEIGHT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are not read).
+    """doc_id, text_key, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are not read).
 
+    text_key is xxhash64 of the text, to tell rows with one doc_id apart.
     Documents are linked where 100 * intersection >= percent * union of their shingle sets.  component_id is the
     smallest doc_id reachable; kept: doc_id = component_id.  A text without words, or null, is linked with
     nothing.  A row without doc_id has the component of its text; where no row of it has a doc_id, null and kept.
@@ -262,19 +263,19 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, sta
     docs = docs.select("doc_id", "text")
     sketched = save(sketch(docs, k), "sketch")
     label = components(links(docs, sketched, k, percent, star_weight))
-    rows = sketched.select("doc_id", "node", "n_shingles")
+    rows = sketched.select("doc_id", F.col("tkey").alias("text_key"), "node", "n_shingles")
     full = rows.where("n_shingles > 0")
     # first the smallest id of each set, so that copies are one row before labels are joined
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("low")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lows = nodes.join(nodes.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("node", "component_id")
-    out = full.join(lows, "node").select("doc_id", "n_shingles", "component_id").union(
-        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = full.join(lows, "node").select("doc_id", "text_key", "n_shingles", "component_id").union(
+        rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP4_SQL = f"""WITH RECURSIVE d AS (

@@ -385,7 +385,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def written(name):
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def number(kind):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("all_spans").alias("spans"))
 
 
