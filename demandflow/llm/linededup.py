@@ -86,8 +86,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
                   fanout: int = FANOUT) -> DataFrame:
     """(_k1, _k2, pos): the lines to drop, by row key and place."""
     spark = docs.sparkSession
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile(
-        "doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.01))) if shares else []
     batch = F.lit(0)
     for c in cuts:  # ids without a value come last
         batch = batch + F.when(F.isnull("doc_id") | (F.col("doc_id") > F.lit(c)), 1).otherwise(0)
@@ -134,11 +134,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     out = out.withColumns({
         "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+        "n_dropped": F.when(F.isnull("_drop"), 0).otherwise(F.size("_drop")).cast("long"),
         "_kept": F.when(F.isnull("_drop"), F.col("_lines")).otherwise(
             F.transform(places, lambda i: F.get(F.col("_lines"), i)))})
-    # size(null) is -1 in Spark's default mode
-    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
     out = out.withColumn("kept_text", F.array_join("_kept", "\n"))
     return out.select(*[c for c in docs.columns if c not in ("_k1", "_k2")], "kept_text", "n_lines", "n_dropped")
 

@@ -40,8 +40,8 @@ EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 7, 50, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 #: Mean probability, over its places, that an added span is in some span
 SURE = 0.8
-#: Fewest digits of an added span
-MIN_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 9}
+#: Fewest and most digits of an added span (a card's pass Luhn, too)
+DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 PIECE_BYTES = 2 << 20
 ROWS = 512
 
@@ -328,13 +328,15 @@ def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Tagged spans, without white space at their ends, that hold enough digits and overlap no base span."""
+    """Tagged spans, without white space at their ends, that hold fitting digits and overlap no base span."""
     out = []
     for kind, lo, hi in tagged:
         piece = text[lo:hi]
         lo, hi = lo + len(piece) - len(piece.lstrip()), hi - len(piece) + len(piece.rstrip())
-        enough = len(DIGIT.findall(text[lo:hi])) >= MIN_DIGITS[kind] and (kind != "email" or CUE.search(text[lo:hi]))
-        if hi - lo >= 7 and enough and all(hi <= a or lo >= b for _, a, b in base):
+        digits = "".join(DIGIT.findall(text[lo:hi]))
+        likely = DIGITS[kind][0] <= len(digits) <= DIGITS[kind][1]
+        likely = likely and (kind != "email" or CUE.search(text[lo:hi])) and (kind != "card" or luhn(digits))
+        if hi - lo >= 7 and likely and all(hi <= a or lo >= b for _, a, b in base):
             out.append((kind, lo, hi))
     return out
 
