@@ -23,7 +23,7 @@ from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes,
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: n-grams (with repeats) that one partition of the count table may gather
 GRAMS_PER_PARTITION = 4_000_000
 #: Bits of a hash that count, beyond those that the partition's number stands for (63 in all at most)
