@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from demandflow.functions.categorical import ORDINAL_MAPS, text_or_nan
 from demandflow.operators.order import exact_quantiles, global_row_number
+from demandflow.session import materialize
 
 
 @dataclass
@@ -120,10 +121,13 @@ def apply_frequency(df: DataFrame, fitted: Fitted, col: str, out: str) -> DataFr
 def fit_level_mix(df: DataFrame, key: str, col: str, levels: dict | None = None,
                   prefix: str = "geo_weather") -> DataFrame:
     """Share of each level of ``col`` per ``key`` (one-hot then mean; a null level
-    counts in the denominator only).  Levels are the fixed code set of ``col``."""
+    counts in the denominator only).  Levels are the fixed code set of ``col``; any
+    other level counts in ``<prefix>_other``."""
     levels = levels or ORDINAL_MAPS[col]
     aggs = [F.avg(F.when(F.col(col) == F.lit(name), F.lit(1.0)).otherwise(F.lit(0.0)))
             .alias(f"{prefix}_{code}") for name, code in sorted(levels.items(), key=lambda kv: kv[1])]
+    other = F.col(col).isNotNull() & ~F.col(col).isin(list(levels))
+    aggs.append(F.avg(F.when(other, F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"{prefix}_other"))
     return _nonnull(df, [key]).groupBy(key).agg(*aggs)
 
 
@@ -225,9 +229,12 @@ def _gid(all_keys: list[str], keys: list[str]) -> int:
 
 
 def fit_many(df: DataFrame, key_sets: dict[str, list[str]], target: str,
-             alpha: float | None = None) -> dict[str, Fitted]:
+             alpha: float | dict[str, float] | None = None, store: bool = False) -> dict[str, Fitted]:
     """E2/E4/E5 for several key sets in ONE aggregation pass.
 
+    ``store`` writes the aggregate once, so that the tables do not each run the pass again; ``alpha`` may
+    be given per key set.
+
     ``GROUPING SETS ((k1...), (k2...), ..., ())`` yields every per-key table and
     the global mean/count together; each Fitted reads its slice by
     ``grouping_id``.  ``alpha`` switches from plain means to smoothed means
@@ -241,14 +248,17 @@ def fit_many(df: DataFrame, key_sets: dict[str, list[str]], target: str,
     sets = [[F.col(k) for k in ks] for ks in key_sets.values()] + [[]]
     stats = df.groupingSets(sets, *all_keys).agg(
         F.avg(target).alias("_m"), F.count(target).alias("_n"), F.grouping_id().alias("_gid"))
+    if store:
+        stats = materialize(stats, "grouping-sets")
     default = stats.where(F.col("_gid") == F.lit((1 << len(all_keys)) - 1)).select(F.col("_m").alias("default"))
     out = {}
     for name, ks in key_sets.items():
         part = _nonnull(stats.where(F.col("_gid") == F.lit(_gid(all_keys, ks))), ks)
-        if alpha is None:
+        own = alpha.get(name) if isinstance(alpha, dict) else alpha
+        if own is None:
             table = part.select(*ks, F.col("_m").alias("value"))
         else:
-            a = F.lit(float(alpha))
+            a = F.lit(float(own))
             table = part.crossJoin(F.broadcast(default)).select(
                 *ks, ((F.col("_m") * F.col("_n") + F.col("default") * a) / (F.col("_n") + a)).alias("value"))
         out[name] = Fitted(table, default, list(ks))

@@ -45,7 +45,7 @@ def equal_width_bins(df: DataFrame, col: str, bins: dict[str, int]) -> DataFrame
         for i in range(1, n):
             t = (x > mn + F.lit(i) * step).cast("int")
             total = t if total is None else total + t
-        out[name] = F.when(mx == mn, F.lit((n - 1) // 2)).otherwise(total if total is not None else F.lit(0))
+        out[name] = F.when(x.isNull(), F.lit(None).cast("int")).when(mx == mn, F.lit((n - 1) // 2)).otherwise(total if total is not None else F.lit(0))
     return j.withColumns(out).drop("_mn", "_mx")
 
 

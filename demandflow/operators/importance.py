@@ -32,40 +32,52 @@ def rank_merge(tables: dict[str, DataFrame], feature: str = "feature") -> DataFr
 def eta_squared(df: DataFrame, feature: str, target: str) -> DataFrame:
     """Share of target variance explained by the feature's level means (R^2 of the
     group-mean predictor), one row ``feature, eta2``."""
-    from demandflow.operators.metrics import r2_expr
-    means = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.avg(target).alias("_gm"))
-    j = df.where(F.col(feature).isNotNull()).join(means, feature, "inner")
-    return j.agg(r2_expr(target, "_gm").alias("eta2")).select(F.lit(feature).alias("feature"), "eta2")
+    n, m, v = F.count(target).alias("_n"), F.avg(target).alias("_m"), F.var_pop(target).alias("_v")
+    g = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(n, m, v).where(F.col("_n") > 0)
+    # within-group and total squares from the groups alone: SST = SSE + sum n (m - mean)^2
+    weight, mean = F.sum("_n"), F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")
+    row = g.agg(F.sum(F.col("_n") * F.col("_v")).alias("_sse"), weight.alias("_w"), mean.alias("_mean"))
+    between = g.crossJoin(F.broadcast(row)).agg(F.sum(F.col("_n") * (F.col("_m") - F.col("_mean")) ** 2).alias("_ssb"), F.max("_sse").alias("_sse"))
+    sst = F.col("_sse") + F.col("_ssb")
+    eta = F.when(sst == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("_sse") / sst)
+    return between.select(F.lit(feature).alias("feature"), eta.alias("eta2"))
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], label: str, key: str,
-                           repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Score drop when one feature column is permuted (mean / std over repeats).
+                           repeats: int = 3, seed: int = 42, points_of=None) -> DataFrame:
+    """Drop of the score (points: 100 * raw R^2 of ``points_of`` the prediction) when one feature column is
+    permuted (mean / std over repeats).
 
     A permutation is a pairing of row positions in ``key`` order with row
     positions in a seeded-hash order (both from the distributed row numbering),
     so the shuffled column is produced by one equi-join, not a driver shuffle.
-    All (feature, repeat) variants are unioned into one long frame and scored
-    with a single ``transform`` + grouped R^2.
+    There is one join per repeat; its rows are then exploded to one variant per feature and all
+    are scored with a single ``transform`` + grouped R^2.
     """
     from demandflow.operators.metrics import r2_expr
     from demandflow.operators.order import global_row_number
 
     base = df.select(key, label, *features)
-    base_r2 = model.transform(base).agg(r2_expr(label, "prediction").alias("r2"))
+    points_of = points_of or F.col
+
+    def points(scored, *by):
+        scored = scored.withColumn("_p", points_of("prediction"))
+        agg = (F.lit(100.0) * r2_expr(label, "_p")).alias("_points")
+        return scored.groupBy(*by).agg(agg) if by else scored.agg(agg)
+
+    base_points = points(model.transform(base)).withColumnRenamed("_points", "_base")
     numbered = global_row_number(base, [key], "_pos")
     variants = None
     for r in range(repeats):
         h = base.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(r)), F.col(key).cast("string"))))
         donor = global_row_number(h, ["_h", key], "_pos").select(
             "_pos", *[F.col(f).alias(f"_d_{f}") for f in features])
-        joined = numbered.join(donor, "_pos")
-        for f in features:
-            v = joined.select(key, label, *[F.col(f"_d_{g}").alias(g) if g == f else F.col(g) for g in features])
-            v = v.withColumn("_feature", F.lit(f)).withColumn("_rep", F.lit(r))
-            variants = v if variants is None else variants.unionByName(v)
-    scored = model.transform(variants).groupBy("_feature", "_rep").agg(r2_expr(label, "prediction").alias("_r2"))
-    drops = scored.crossJoin(F.broadcast(base_r2)).withColumn("_drop", F.col("r2") - F.col("_r2"))
+        joined = numbered.join(donor, "_pos").withColumn("_rep", F.lit(r))
+        variants = joined if variants is None else variants.unionByName(joined)
+    variants = variants.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
+        label, "_rep", "_feature", *[F.when(F.col("_feature") == g, F.col(f"_d_{g}")).otherwise(F.col(g)).alias(g) for g in features])
+    scored = points(model.transform(variants), "_feature", "_rep")
+    drops = scored.crossJoin(F.broadcast(base_points)).withColumn("_drop", F.col("_base") - F.col("_points"))
     return drops.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("_drop").alias("importance_mean"), F.stddev_pop("_drop").alias("importance_std"))
 

@@ -13,7 +13,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -58,6 +58,11 @@ def fit_predict(pipe: Pipeline, train: DataFrame, test: DataFrame, out: str = "p
     return predict(pipe.fit(train), test, out)
 
 
+def points(df: DataFrame, y: str, p: str) -> float:
+    """100 * raw R^2: unlike the score it is not clipped at 0, so that differences of bad models count."""
+    return 100.0 * score(df, y, p)[0]
+
+
 def score(df: DataFrame, y: str, p: str) -> tuple[float, float]:
     r = df.agg(r2_expr(y, p).alias("r2")).first()["r2"]
     return float(r), max(0.0, 100.0 * float(r))
@@ -93,7 +98,7 @@ def cv_oof(df: DataFrame, fold_col: str, key: str, pipe: Pipeline, label: str, t
 
 
 def early_stopping_fit(train: DataFrame, valid: DataFrame, features: list[str], label: str,
-                       preset: str = "gbt_a", max_iter: int = 60, tol: float = 0.001) -> tuple[PipelineModel, int]:
+                       preset: str = "gbt_a", max_iter: int = 500, tol: float = 0.001) -> tuple[PipelineModel, int]:
     """L4: GBT with a validation indicator; Spark stops when the validation error
     stops improving by ``tol``.  Returns the model and its tree count (reused for a refit)."""
     both = train.withColumn("_is_valid", F.lit(False)).unionByName(valid.withColumn("_is_valid", F.lit(True)))
@@ -125,7 +130,7 @@ def draw_params(space: dict, rng: random.Random) -> dict:
     return out
 
 
-def random_search(train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 6,
+def random_search(train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 30,
                   seed: int = 42, parallelism: int = 2, space: dict | None = None) -> DataFrame:
     """Seeded random search over declared spaces; every trial is a distributed
     fit; ``parallelism`` trials run concurrently.  Returns ``trial, params, r2, score``."""
@@ -174,6 +179,12 @@ def gbt_classifier(features: list[str], label: str, **over) -> Pipeline:
     return Pipeline(stages=[assembler(features), GBTClassifier(featuresCol="features", labelCol=label, **params)])
 
 
+def forest_classifier(features: list[str], label: str, **over) -> Pipeline:
+    """The second classifier of the adversarial check: 100 trees of depth 5."""
+    params = {**dict(numTrees=100, maxDepth=5, seed=42), **over}
+    return Pipeline(stages=[assembler(features), RandomForestClassifier(featuresCol="features", labelCol=label, **params)])
+
+
 def positive_probability(model: PipelineModel, df: DataFrame, out: str = "proba") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]) \
                 .drop("features", "rawPrediction", "probability", "prediction")

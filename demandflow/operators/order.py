@@ -59,15 +59,6 @@ def plan_buckets(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) ->
     return {c: 1 if (row[c] or 0) * 1.2 <= limit else _default_buckets(df) for c in cols}
 
 
-# Largest key group a single window task may sort (measured before use);
-# ``demandflow.window.maxRowsPerKey``.
-MAX_ROWS_PER_KEY = 1 << 21
-
-
-def max_rows_per_key(df: DataFrame) -> int:
-    return int(_spark(df).conf.get("demandflow.window.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
-
-
 def max_group_size(df: DataFrame, keys: list[str]) -> int:
     """Rows in the largest group (one partial-aggregated count per key; one number
     reaches the driver)."""
@@ -85,6 +76,15 @@ def _window(by) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys are kept once, from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def bucket_edges(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     """Approximate equi-depth edges of ``col`` (bounded list: n_buckets - 1 values)."""
     if n_buckets <= 1:
@@ -140,7 +140,7 @@ def value_positions(df: DataFrame, value: str, by: list[str] | tuple = (),
         F.sum("_bcnt").over(wg).alias("_n"),
         F.lead("_bmin").over(wg.orderBy("_b")).alias("_next_bmin"),
     )
-    j = vcb.join(offs, on=[*by, "_b"], how="inner")
+    j = null_safe_join(vcb, offs, [*by, "_b"])
     wb = Window.partitionBy(*by, "_b").orderBy("_v")
     cols = [*[F.col(c) for c in by], F.col("_v").alias(value), F.col("_cnt").alias("cnt"),
             (F.col("_boff") + F.coalesce(F.sum("_cnt").over(wb.rowsBetween(_UNBOUNDED, -1)), F.lit(0)))
@@ -166,7 +166,9 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | t
         rank = rank / F.col("n")
     ranks = pos.select(*by, F.col(value).alias("_rv"), rank.alias(out))
     keyed = df.withColumn("_rv", F.col(value).cast("double"))
-    return keyed.join(ranks, on=[*by, "_rv"], how="left").drop("_rv")
+    if not by:
+        return keyed.join(ranks, on="_rv", how="left").drop("_rv")
+    return null_safe_join(keyed, ranks, [*by, "_rv"], "left").drop("_rv")
 
 
 # Positions per lookup chunk: every as-of window partition holds at most
@@ -208,33 +210,25 @@ def values_at_positions(pos: DataFrame, value: str, targets: DataFrame, by: list
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | tuple = (),
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, weights: bool = False) -> DataFrame:
     """Exact linearly-interpolated quantiles (pandas ``quantile`` / SQL
     ``percentile_cont``) without collecting a group into one task.
 
-    Returns ``by..., q_index, q, value`` rows (one per group and probability).
+    Returns ``by..., q_index, q, value`` rows (one per group and probability); a null group is a group.
+    Interpolation is ``y + (y_next - y) * f``, or with ``weights`` that of Spark's ``percentile``,
+    ``y * (1 - f) + y_next * f``; the sizes of the data never change the formula.
     """
     by = list(by)
-    base = df.select(*by, F.col(value).cast("double").alias("_qv")).where(
-        F.col("_qv").isNotNull() & ~F.isnan("_qv"))
-    if n_buckets is None and distinct_estimate(base, [*by, "_qv"]) * 1.2 <= _small_limit(df):
-        # measured-small: Spark's exact percentile keeps one value->count map per
-        # group, bounded here by the distinct count just checked.
-        agg = F.percentile(F.col("_qv"), [float(p) for p in probs]).alias("_qs")
-        g = base.groupBy(*by).agg(agg) if by else base.agg(agg).where(F.size("_qs") > 0)
-        g = g.where(F.col("_qs").isNotNull())
-        return g.select(*by, F.posexplode("_qs").alias("q_index", value)).select(
-            *by, F.col("q_index").cast("int").alias("q_index"),
-            F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q_index") + 1).alias("q"), value)
-    by = list(by)
     pos = value_positions(df, value, by, n_buckets=n_buckets, with_next=True)
     groups = pos.select(*by, "n").distinct()
     qs = _spark(df).createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_index int, q double")
     t = groups.crossJoin(F.broadcast(qs)).withColumn("_p", (F.col("n") - 1) * F.col("q"))  # groups x probs
     t = t.withColumns({"_lo": F.floor("_p").cast("long")}).withColumn("_f", F.col("_p") - F.col("_lo"))
     looked = values_at_positions(pos, value, t, by, "_lo")
-    res = t.join(looked, on=[*by, "_lo"], how="inner")
-    val = F.when(F.col("_f") == 0, F.col("_y")).otherwise(F.col("_y") + (F.col("_y_next") - F.col("_y")) * F.col("_f"))
+    res = null_safe_join(t, looked, [*by, "_lo"])
+    between = ((F.col("_lo") + 1 - F.col("_p")) * F.col("_y") + F.col("_f") * F.col("_y_next") if weights
+               else F.col("_y") + (F.col("_y_next") - F.col("_y")) * F.col("_f"))
+    val = F.when(F.col("_f") == 0, F.col("_y")).otherwise(between)
     return res.select(*by, "q_index", "q", val.alias(value))
 
 
@@ -258,7 +252,7 @@ def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
         row = casted.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), ps).alias(c) for c in small])
         out = row.select(*[F.col(c).getItem(i).alias(names[(c, i)]) for c in small for i in range(len(probs))])
     for c in big:
-        q = exact_quantiles(casted.select(c), c, probs, n_buckets=_default_buckets(df))
+        q = exact_quantiles(casted.select(c), c, probs, n_buckets=_default_buckets(df), weights=True)
         r = q.groupBy().pivot("q_index", list(range(len(probs)))).agg(F.first(c)) \
              .toDF(*[names[(c, i)] for i in range(len(probs))])
         out = r if out is None else out.crossJoin(r)
@@ -280,8 +274,7 @@ def quantile_bins(df: DataFrame, value: str, q: int = 10, out: str = "bin") -> D
     """``pd.qcut(x, q, labels=False, duplicates='drop')`` -- exact edges, duplicate
     edges dropped, bin = number of interior edges strictly below the value."""
     probs = [i / q for i in range(q + 1)]
-    wide = quantiles_wide(df, [value], probs)
-    edges = wide.select(F.array_sort(F.array_distinct(F.array(*[F.col(c) for c in wide.columns]))).alias("_edges"))
+    edges = exact_quantiles(df.select(value), value, probs).agg(F.array_sort(F.collect_set(value)).alias("_edges"))
     # <= q+1 numbers: a proven bound, safe to broadcast.
     joined = df.crossJoin(F.broadcast(edges))
     interior = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
@@ -325,11 +318,12 @@ def quantile_map(queries: DataFrame, r: str, sample: DataFrame, y: str, out: str
     n_row = sample.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).agg(
         F.count(F.lit(1)).alias("_n"))
     q = queries.crossJoin(F.broadcast(n_row))  # one row
-    p = F.least(F.greatest(F.col(r), F.lit(0.0)), F.lit(1.0)) * (F.col("_n") - 1)
+    clipped = F.when(F.col(r).isNotNull(), F.least(F.greatest(F.col(r), F.lit(0.0)), F.lit(1.0)))
+    p = clipped * (F.col("_n") - 1)
     q = q.withColumns({"_p": p, "_j": F.floor(p).cast("long")})
     # distinct positions only (a hot rank collapses to one lookup), then joined back
-    looked = values_at_positions(pos, y, q, [], "_j")
-    res = q.join(looked, "_j", "inner")
+    looked = values_at_positions(pos, y, q.where(F.col("_j").isNotNull()), [], "_j")
+    res = q.join(looked, "_j", "left")  # a null rank stays, and maps to null
     frac = F.col("_p") - F.col("_j")
     mapped = F.when(frac == 0, F.col("_y")).otherwise(F.col("_y") + frac * (F.col("_y_next") - F.col("_y")))
     return res.select(*queries.columns, mapped.alias(out))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandflow.operators.order import average_rank, plan_buckets, quantiles_wide
+from demandflow.operators.order import average_rank, null_safe_join, plan_buckets, quantiles_wide
 
 
 def round_dp(col, dp: int) -> Column:
@@ -52,7 +52,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row whose key occurs more than once (all copies) with the copy count.
     Counts come from an aggregate (map-side combined), joined back on the key."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
-    return df.join(counts, on=keys, how="inner")
+    return null_safe_join(df, counts, keys).select(*keys, *[c for c in df.columns if c not in keys], "n_copies")
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None, approx_rsd: float | None = None) -> DataFrame:

@@ -98,8 +98,9 @@ def q_freq_encode(spark, sf):
 
 
 @register("geo_weather_mix", with_obs(
-    "SELECT t.idx, " + ", ".join(f"{R(f'm.w{i}')} AS geo_weather_{i}" for i in range(4)) + """
+    "SELECT t.idx, " + ", ".join(f"{R(f'm.w{i}')} AS geo_weather_{i}" for i in range(4)) + f""", {R('m.w_other')} AS geo_weather_other
 FROM tgt t LEFT JOIN (SELECT geohash,
+  avg(CASE WHEN weather NOT IN ('Sunny', 'Cloudy', 'Rainy', 'Snowy') THEN 1.0 ELSE 0.0 END) AS w_other,
   avg(CASE WHEN weather = 'Sunny' THEN 1.0 ELSE 0.0 END) AS w0, avg(CASE WHEN weather = 'Cloudy' THEN 1.0 ELSE 0.0 END) AS w1,
   avg(CASE WHEN weather = 'Rainy' THEN 1.0 ELSE 0.0 END) AS w2, avg(CASE WHEN weather = 'Snowy' THEN 1.0 ELSE 0.0 END) AS w3
   FROM ref GROUP BY geohash) m ON t.geohash = m.geohash""", _REF, _TGT))
@@ -108,7 +109,7 @@ def q_geo_weather_mix(spark, sf):
     o = obs(spark, sf)
     mix = enc.fit_level_mix(ref_of(o), "geohash", "weather")
     out = tgt_of(o).join(mix, on="geohash", how="left")
-    return round_doubles(out.select("idx", *[f"geo_weather_{i}" for i in range(4)]))
+    return round_doubles(out.select("idx", *[f"geo_weather_{i}" for i in (0, 1, 2, 3, "other")]))
 
 
 _FILLED_ALL = """filled AS (SELECT o.*, coalesce(temperature, (SELECT quantile_cont(temperature, 0.5) FROM obs)) AS tf,

@@ -15,8 +15,7 @@ SIX_TIERS = [["day", "geohash", "timestamp", "road"], ["day", "geohash", "timest
 FOUR_TIERS = [["geohash", "timestamp", "road"], ["geohash", "timestamp"], ["geohash"]]
 
 _SAMPLES = [
-    "tr AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs "
-    "WHERE idx % 5 <> 0 AND substr(geohash, 1, 1) <> '0')",
+    "tr AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE idx % 5 <> 0)",
     "te AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE idx % 5 = 0)",
     "l1 AS (SELECT day, geohash, timestamp, road, avg(demand) AS m FROM tr GROUP BY day, geohash, timestamp, road)",
     "l2 AS (SELECT day, geohash, timestamp, avg(demand) AS m FROM tr GROUP BY day, geohash, timestamp)",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from demandflow.functions import categorical as cat
 from demandflow.functions import geo, time
-from demandflow.functions.numeric import clip, exp_target, log_target
+from demandflow.functions.numeric import clip, exp_target, log_target, r6, round_doubles
 from demandflow.operators import encoders as enc
 from demandflow.operators import ensemble as ens
 from demandflow.operators import features as feat
@@ -22,8 +22,10 @@ from demandflow.operators import importance as imp
 from demandflow.operators import metrics as mt
 from demandflow.operators import models as md
 from demandflow.operators import splits as sp
+from demandflow.plans.catalog.ensemble import _GRID
+from demandflow.plans.catalog.forecast import _TS
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
-from demandflow.plans.registry import register
+from demandflow.plans.registry import BP_SQL, R, register, with_obs
 from demandflow.session import materialize
 from demandflow.sources import io
 from demandflow.sources.observations import base_predictions, lookup_samples
@@ -33,6 +35,8 @@ CAT_FEATURES = ["road_type_encoded", "weather_encoded", "large_vehicles_encoded"
 NUM_FEATURES = ["temperature", "number_of_lanes", "n_missing"]
 GEO_FEATURES = ["te_geohash", "geohash_count"]
 FEATURES = TIME_FEATURES + CAT_FEATURES + NUM_FEATURES + GEO_FEATURES
+# Rows that Shapley values are taken of, trees that early stopping may reach, trials of a search
+SHAPLEY_ROWS, EARLY_STOP_TREES, TRIALS = 2000, 500, 30
 
 
 def model_frame(spark, sf):
@@ -84,7 +88,7 @@ def q_cv_oof(spark, sf):
     """L3: 5-fold stratified out-of-fold predictions on the reference period and
     fold-averaged target predictions."""
     m = model_frame(spark, sf)
-    ref = sp.target_decile_folds(ref_of(m), "demand", "idx")
+    ref = materialize(sp.target_decile_folds(ref_of(m), "demand", "idx"), "folds")
     oof, test = md.cv_oof(ref, "fold", "idx", md.gbt(FEATURES, "demand", "gbt_b"), "demand",
                           tgt_of(m), "gbt_b")
     test_rows = test.select("idx", F.lit("gbt_b_test").alias("model"), F.lit(-1).alias("fold"),
@@ -98,24 +102,24 @@ def q_early_stop(spark, sf):
     m = model_frame(spark, sf)
     ref = ref_of(m)
     train, valid = ref.where(F.col("day") <= 15), ref.where(F.col("day") > 15)
-    model, n_trees = md.early_stopping_fit(train, valid, FEATURES, "demand", "gbt_a", max_iter=60)
+    model, n_trees = md.early_stopping_fit(train, valid, FEATURES, "demand", "gbt_a", max_iter=EARLY_STOP_TREES)
     r2, score = md.score(md.predict(model, valid), "demand", "pred")
     return spark.createDataFrame([(int(n_trees), r2, score)], "n_trees int, valid_r2 double, valid_score double")
 
 
 @register("search_trials")
 def q_search_trials(spark, sf):
-    """Seeded random search (6 trials, 2 in parallel) scored on the target period."""
+    """Seeded random search (30 trials, 4 in parallel) scored on the target period."""
     m = model_frame(spark, sf)
-    return md.random_search(ref_of(m), tgt_of(m), FEATURES, "demand", n_trials=6, seed=42, parallelism=2)
+    return md.random_search(ref_of(m), tgt_of(m), FEATURES, "demand", n_trials=TRIALS, seed=42, parallelism=4)
 
 
 @register("meta_models")
 def q_meta_models(spark, sf):
     """Linear / ridge / elastic-net meta-regressions on the base predictions
-    (fit on even-hash rows, scored on the rest)."""
-    bp = base_predictions(obs(spark, sf)).withColumn("_h", F.pmod(F.hash("idx"), F.lit(2)))
-    fit, check = bp.where(F.col("_h") == 0), bp.where(F.col("_h") == 1)
+    (fit on even ids, scored on the odd ones)."""
+    bp = base_predictions(obs(spark, sf))
+    fit, check = bp.where(F.col("idx") % 2 == 0), bp.where(F.col("idx") % 2 == 1)
     rows = []
     for name, model in md.meta_models(fit, ["pa", "pb", "pc"], "demand").items():
         pred = model.transform(check).withColumn("p", clip("prediction", 0.0, 1.0))
@@ -127,7 +131,7 @@ def q_meta_models(spark, sf):
 
 @register("final_predictions")
 def q_final_predictions(spark, sf):
-    """Refit on both periods (lookup-train rows), predict the held-out ids, clip to [0, 1]."""
+    """Refit on the labelled rows of both periods, predict the unlabelled ids, clip to [0, 1]."""
     m = model_frame(spark, sf)
     train, test = lookup_samples(m)
     p = md.fit_predict(md.gbt(FEATURES, "demand", "gbt_a"), train, test, "p")
@@ -136,32 +140,40 @@ def q_final_predictions(spark, sf):
 
 @register("adversarial_auc")
 def q_adversarial_auc(spark, sf):
-    """V9 + L9 + V3 + M3: classify reference vs target rows out of fold, AUC, and the
-    averaged importances (top 15 flagged as shifted when AUC > 0.70)."""
+    """V9 + L9 + V3 + M3: two classifiers tell reference from target rows out of fold; AUC and averaged
+    importances of each (top 15 flagged as shifted when AUC > 0.70).
+
+    No feature is fitted on one of the two periods: such a column gives the label away.
+    """
     m = model_frame(spark, sf)
-    feats = [f for f in FEATURES if f not in ("te_geohash",)]
+    feats = [f for f in FEATURES if f not in GEO_FEATURES]
     u = sp.union_flagged(ref_of(m), tgt_of(m)).withColumn("is_test", F.col("is_test").cast("double"))
-    u = sp.stratified_folds(u, "is_test", "idx")
-    pipe = md.gbt_classifier(feats, "is_test")
-    oof, imps = None, []
-    for f in range(5):
-        model = pipe.fit(u.where(F.col("fold") != f))
-        o = md.positive_probability(model, u.where(F.col("fold") == f)).select("idx", "is_test", "proba")
-        oof = o if oof is None else oof.unionByName(o)
-        imps.append(dict(md.feature_importances(model, feats)))
-    auc = mt.roc_auc(oof, "is_test", "proba").first()["auc"]
-    avg = sorted(((f, sum(i[f] for i in imps) / len(imps)) for f in feats), key=lambda t: (-t[1], t[0]))
-    rows = [(f, v, k + 1, float(auc), int(auc > 0.70 and k < 15)) for k, (f, v) in enumerate(avg)]
-    return spark.createDataFrame(rows, "feature string, importance double, rank int, auc double, shifted int")
+    u = materialize(sp.stratified_folds(u, "is_test", "idx"), "adversarial-folds")
+    rows = []
+    for name, pipe in {"gbt": md.gbt_classifier(feats, "is_test"), "forest": md.forest_classifier(feats, "is_test")}.items():
+        def run(f, pipe=pipe):
+            model = pipe.fit(u.where(F.col("fold") != f))
+            o = md.positive_probability(model, u.where(F.col("fold") == f)).select("idx", "is_test", "proba")
+            return o, dict(md.feature_importances(model, feats))
+
+        with ThreadPoolExecutor(max_workers=3) as ex:  # independent fits
+            parts = list(ex.map(run, range(5)))
+        oof = parts[0][0]
+        for o, _ in parts[1:]:
+            oof = oof.unionByName(o)
+        auc = mt.roc_auc(oof, "is_test", "proba").first()["auc"]
+        avg = sorted(((f, sum(i[f] for _, i in parts) / len(parts)) for f in feats), key=lambda t: (-t[1], t[0]))
+        rows += [(name, f, v, k + 1, float(auc), int(auc > 0.70 and k < 15)) for k, (f, v) in enumerate(avg)]
+    return spark.createDataFrame(rows, "classifier string, feature string, importance double, rank int, auc double, shifted int")
 
 
 @register("validation_gap")
 def q_validation_gap(spark, sf):
-    """V8: 5-fold CV score on the reference period vs the time-holdout score; gap flag > 0.02."""
+    """V8: mean R^2 of 5 CV folds on the reference period vs the time-holdout score; gap flag > 0.02."""
     m = model_frame(spark, sf)
-    ref = sp.target_decile_folds(ref_of(m), "demand", "idx")
+    ref = materialize(sp.target_decile_folds(ref_of(m), "demand", "idx"), "folds")
     oof, _ = md.cv_oof(ref, "fold", "idx", md.gbt(FEATURES, "demand", "gbt_b"), "demand")
-    cv_r2, _ = md.score(oof, "demand", "oof")
+    cv_r2 = mt.r2_score(oof, "demand", "oof", by=["fold"]).agg(F.avg("r2").alias("m")).first()["m"]
     ho_r2, _ = md.score(md.fit_predict(md.gbt(FEATURES, "demand", "gbt_b"), ref_of(m), tgt_of(m)), "demand", "pred")
     gap = cv_r2 - ho_r2
     return spark.createDataFrame([(cv_r2, ho_r2, gap, int(gap > 0.02))],
@@ -171,13 +183,13 @@ def q_validation_gap(spark, sf):
 @register("ablation")
 def q_ablation(spark, sf):
     """Score with and without each feature block (geohash statistics, time,
-    categories); a block is kept when it adds more than 0.1 score points."""
+    categories) in points of 100 * raw R^2; a block is kept when it adds more than 0.1 points."""
     m = model_frame(spark, sf)
     ref, tgt = ref_of(m), tgt_of(m)
     blocks = {"geohash": GEO_FEATURES, "time": TIME_FEATURES, "categories": CAT_FEATURES}
 
     def score_of(feats):
-        return md.score(md.fit_predict(md.gbt(feats, "demand", "gbt_b"), ref, tgt), "demand", "pred")[1]
+        return md.points(md.fit_predict(md.gbt(feats, "demand", "gbt_b"), ref, tgt), "demand", "pred")
 
     variants = {"all": FEATURES, **{b: [f for f in FEATURES if f not in fs] for b, fs in blocks.items()}}
     with ThreadPoolExecutor(max_workers=4) as ex:  # independent fits
@@ -189,7 +201,8 @@ def q_ablation(spark, sf):
 
 @register("target_experiment")
 def q_target_experiment(spark, sf):
-    """M7 + F19: raw vs log1p target (predictions expm1'd and clipped), both scored."""
+    """M7 + F19: raw vs log1p target (predictions expm1'd and clipped), both scored; the verdict
+    compares points of raw R^2, +-0.5 being no difference."""
     m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
     ref, tgt = ref_of(m), tgt_of(m)
     raw = md.fit_predict(md.gbt(FEATURES, "demand", "gbt_b"), ref, tgt).withColumn("p", clip("pred", 0.0, 1.0))
@@ -197,28 +210,34 @@ def q_target_experiment(spark, sf):
         .withColumn("p", clip(exp_target("pred"), 0.0, 1.0))
     r_raw, s_raw = md.score(raw, "demand", "p")
     r_log, s_log = md.score(lg, "demand", "p")
-    d = s_log - s_raw
-    verdict = "better" if d > 0.5 else "worse" if d < -0.5 else "same" if abs(d) <= 0.1 else "marginal"
+    d = 100.0 * (r_log - r_raw)
+    verdict = "better" if d > 0.5 else "worse" if d < -0.5 else "same"
     return spark.createDataFrame([("raw", r_raw, s_raw, verdict), ("log1p", r_log, s_log, verdict)],
                                  "target string, r2 double, score double, verdict string")
 
 
 @register("ts_forecast")
 def q_ts_forecast(spark, sf):
-    """T7 + L4: boosted forecaster on the template features of the target period;
-    early slots fit, later slots validate (early stopping), refit on all rows with
-    the found tree count, forecast every target row."""
+    """T7 + L4: boosted forecaster on the template features of the labelled target rows;
+    early slots fit, later slots validate (early stopping), refit on all labelled rows with
+    the found tree count, forecast the unlabelled target rows (every 5th id)."""
     o = obs_t(spark, sf)
     ref, tgt = ref_of(o), tgt_of(o)
-    f = fc.ts_features(tgt, fc.fit_templates(ref, tgt))
+    labelled, unlabelled = lookup_samples(tgt)
+    templates = fc.fit_templates(ref, labelled)
     feats = fc.TS_FEATURES
-    f = f.select("idx", "demand", *[F.col(c).cast("double").alias(c) for c in feats])
-    med = feat.fit_imputer(f, feats)
+
+    def frame(rows, label):
+        return fc.ts_features(rows, templates).select("idx", label, *[F.col(c).cast("double").alias(c) for c in feats])
+
+    f = frame(labelled, F.col("demand"))
+    med = materialize(feat.fit_imputer(f, feats), "ts-medians")
     f = materialize(feat.apply_imputer(f, med, feats), "ts-features")
+    ahead = feat.apply_imputer(frame(unlabelled, F.lit(None).cast("double").alias("demand")), med, feats)
     model, n_trees = md.early_stopping_fit(f.where(F.col("slot") <= 5), f.where(F.col("slot") > 5), feats,
-                                           "demand", "gbt_b", max_iter=60)
+                                           "demand", "gbt_b", max_iter=EARLY_STOP_TREES)
     final = md.gbt(feats, "demand", "gbt_b", maxIter=max(1, int(n_trees))).fit(f)
-    return md.predict(final, f, "forecast").select("idx", "forecast", F.lit(int(n_trees)).alias("n_trees"))
+    return md.predict(final, ahead, "forecast").select("idx", "forecast", F.lit(int(n_trees)).alias("n_trees"))
 
 
 @register("encoding_bakeoff_model")
@@ -250,15 +269,16 @@ def q_encoding_bakeoff_model(spark, sf):
 
 @register("spatial_clusters")
 def q_spatial_clusters(spark, sf):
-    """30 k-means clusters of decoded geohash centres (reference period), best of
-    10 seeded starts by training cost; every geohash assigned to its nearest centre."""
+    """30 k-means clusters of decoded geohash centres, each weighted by its rows in the reference
+    period, best of 10 seeded starts by training cost; every geohash assigned to its nearest centre."""
     o = obs(spark, sf)
-    pts = geo.geohash_decode(ref_of(o).select("geohash").distinct().where(F.col("geohash").isNotNull()))
+    rows = ref_of(o).where(F.col("geohash").isNotNull()).groupBy("geohash").agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
+    pts = geo.geohash_decode(rows)
     va = VectorAssembler(inputCols=["lat", "lon"], outputCol="features")
     data = materialize(va.transform(pts), "geo-points")
     k = min(30, data.count())
     def start(s):
-        model = KMeans(k=k, seed=42 + s, featuresCol="features").fit(data)
+        model = KMeans(k=k, seed=42 + s, featuresCol="features", weightCol="n_rows").fit(data)
         return model.summary.trainingCost, s, model
 
     with ThreadPoolExecutor(max_workers=4) as ex:  # independent seeded starts
@@ -269,14 +289,25 @@ def q_spatial_clusters(spark, sf):
     return best[1].transform(allg).select("geohash", "lat", "lon", F.col("prediction").alias("cluster"))
 
 
-@register("native_categories")
+_NATIVE = ["road_type", "weather", "large_vehicles", "landmarks", "geohash"]
+
+
+def _native_sql() -> str:
+    levels = [f"l_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM "
+              f"(SELECT DISTINCT coalesce({c}, 'MISSING') AS v FROM obs WHERE day <= 20) x)" for c in _NATIVE]
+    cols = ", ".join(f"cast(coalesce(l_{c}.i, (SELECT count(*) FROM l_{c})) AS int) AS {c}_idx" for c in _NATIVE)
+    joins = " ".join(f"LEFT JOIN l_{c} ON l_{c}.v = coalesce(o.{c}, 'MISSING')" for c in _NATIVE)
+    return with_obs(f"SELECT o.idx, {cols} FROM obs o {joins}", *levels)
+
+
+@register("native_categories", _native_sql())
 def q_native_categories(spark, sf):
     """Raw category strings (null -> MISSING) indexed in code-point order with an
     extra index for unseen levels; ``maxBins`` must cover the geohash cardinality."""
     o = obs(spark, sf)
-    cols = ["road_type", "weather", "large_vehicles", "landmarks", "geohash"]
-    df = o.select("idx", *[cat.sentinel(c).alias(c) for c in cols])
-    ref = ref_of(o.select("idx", "day")).join(df, "idx")
+    cols = _NATIVE
+    df = o.select("idx", "day", *[cat.sentinel(c).alias(c) for c in cols])
+    ref = ref_of(df)
     idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep",
                         stringOrderType="alphabetAsc").fit(ref)
     return idx.transform(df).select("idx", *[F.col(f"{c}_idx").cast("int").alias(f"{c}_idx") for c in cols])
@@ -291,37 +322,46 @@ def q_gain_importance(spark, sf):
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
+def _demand_of(prediction):
+    """The demand that a log-target prediction stands for."""
+    return clip(exp_target(prediction), 0.0, 1.0)
+
+
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Permutation importance (3 seeded repeats) on the target period."""
-    m = model_frame(spark, sf)
-    model = md.gbt(FEATURES, "demand", "gbt_a").fit(ref_of(m))
-    return imp.permutation_importance(model, tgt_of(m), FEATURES, "demand", "idx", repeats=3, seed=42)
+    """Permutation importance (3 seeded repeats) on the target period, in points of the
+    clipped prediction of a log-target model."""
+    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
+    model = md.gbt(FEATURES, "log_demand", "gbt_a").fit(ref_of(m))
+    return imp.permutation_importance(model, tgt_of(m), FEATURES, "demand", "idx", points_of=_demand_of)
 
 
 @register("shapley_importance")
 def q_shapley_importance(spark, sf):
-    """Mean |Shapley| per feature from sampled permutations (200 rows x 4 orders)."""
+    """Mean |Shapley| per feature from sampled permutations (2,000 rows x 4 orders)."""
     m = model_frame(spark, sf)
     model = md.gbt(FEATURES, "demand", "gbt_a").fit(ref_of(m))
-    sample = sp.hash_sample(tgt_of(m), "idx", 200)
+    sample = sp.hash_sample(tgt_of(m), "idx", SHAPLEY_ROWS)
     background = ref_of(m).agg(*[F.avg(f).alias(f) for f in FEATURES])
     return imp.shapley_importance(model, sample, background, FEATURES, "idx", n_perms=4)
 
 
 @register("feature_elimination")
 def q_feature_elimination(spark, sf):
-    """Drop features whose permutation importance is <= 0.001, refit, keep the
-    reduced set only if it scores better."""
-    m = model_frame(spark, sf)
+    """Drop features whose permutation importance is <= 0.001 points, refit, keep the
+    reduced set only if it wins by more than 0.05 points (log target, clipped predictions)."""
+    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
     ref, tgt = ref_of(m), tgt_of(m)
-    model = md.gbt(FEATURES, "demand", "gbt_b").fit(ref)
-    pi = imp.permutation_importance(model, tgt, FEATURES, "demand", "idx", repeats=2)
+    model = md.gbt(FEATURES, "log_demand", "gbt_b").fit(ref)
+    pi = imp.permutation_importance(model, tgt, FEATURES, "demand", "idx", points_of=_demand_of)
     weak = [r["feature"] for r in pi.where(F.col("importance_mean") <= 0.001).collect()]  # <= one row per feature
     kept = [f for f in FEATURES if f not in weak] or FEATURES
-    _, s_all = md.score(md.predict(model, tgt), "demand", "pred")
-    _, s_red = md.score(md.fit_predict(md.gbt(kept, "demand", "gbt_b"), ref, tgt), "demand", "pred")
-    return spark.createDataFrame([(json.dumps(weak), len(kept), s_all, s_red, int(s_red > s_all))],
+    def points(pred):
+        return md.points(pred.withColumn("p", _demand_of("pred")), "demand", "p")
+
+    s_all = points(md.predict(model, tgt))
+    s_red = points(md.fit_predict(md.gbt(kept, "log_demand", "gbt_b"), ref, tgt))
+    return spark.createDataFrame([(json.dumps(weak), len(kept), s_all, s_red, int(s_red - s_all > 0.05))],
                                  "dropped string, n_kept int, score_all double, score_reduced double, keep_reduced int")
 
 
@@ -375,7 +415,7 @@ def q_blend_optimal(spark, sf):
                                  "model string, weight double, r2 double")
 
 
-@register("write_predictions")
+@register("write_predictions", with_obs(f"SELECT idx AS \"Index\", {R('heur')} AS demand FROM feat", *_TS))
 def q_write_predictions(spark, sf):
     """IO4: write the heuristic forecast as a header CSV and read it back."""
     o = obs_t(spark, sf)
@@ -383,20 +423,23 @@ def q_write_predictions(spark, sf):
     preds = fc.ts_features(tgt, fc.fit_templates(ref, tgt)).select(
         F.col("idx").alias("Index"), F.col("heuristic_demand").alias("demand"))
     path = io.write_table(preds, io.scratch_path(spark, "predictions"), "csv")
-    return spark.read.schema("Index long, demand double").option("header", True).csv(path)
+    back = spark.read.schema("Index long, demand double").option("header", True).csv(path)
+    return back.select("Index", r6("demand").alias("demand"))
 
 
-@register("weights_roundtrip")
+@register("weights_roundtrip", with_obs(
+    f"SELECT {R('w0')} AS w_pa, {R('w1')} AS w_pb, {R('w2')} AS w_pc FROM best", *BP_SQL, *_GRID))
 def q_weights_roundtrip(spark, sf):
     """IO5: persist the lattice-optimal blend weights as JSON and reload them."""
     bp = base_predictions(obs(spark, sf))
     best = ens.blend_grid(bp, "demand", ["pa", "pb", "pc"]).where(F.col("is_best") == 1).first()
     path = io.write_json_row(spark, {"w_pa": best["w_pa"], "w_pb": best["w_pb"], "w_pc": best["w_pc"]},
                              io.scratch_path(spark, "weights"))
-    return spark.read.json(path)
+    return round_doubles(spark.read.schema("w_pa double, w_pb double, w_pc double").json(path))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", with_obs(
+    "SELECT count(*) AS n, cast(0 AS double) AS max_abs_diff, 1 AS same_params FROM obs WHERE day > 20"))
 def q_model_roundtrip(spark, sf):
     """IO6: save a fitted pipeline, load it, compare predictions and parameters."""
     m = model_frame(spark, sf)
@@ -406,7 +449,10 @@ def q_model_roundtrip(spark, sf):
     loaded = PipelineModel.load(path)
     a = md.predict(model, tgt_of(m), "a").select("idx", "a")
     b = md.predict(loaded, tgt_of(m), "b").select("idx", "b")
-    params = json.dumps({p.name: v for p, v in loaded.stages[-1].extractParamMap().items()
-                         if isinstance(v, (int, float, str))}, sort_keys=True)
+
+    def params(fitted):
+        return {p.name: v for p, v in fitted.stages[-1].extractParamMap().items() if isinstance(v, (int, float, str))}
+
+    same = int(params(loaded) == params(model))
     return a.join(b, "idx").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff")) \
-            .withColumn("params", F.lit(params))
+            .withColumn("same_params", F.lit(same))

@@ -46,9 +46,9 @@ def q_duplicate_rows(spark, sf):
 
 
 @register("duplicate_keys", with_obs(f"""
-SELECT idx, day, geohash, timestamp, {R('demand')} AS demand, n_copies
-FROM obs JOIN (SELECT day, geohash, timestamp, count(*) AS n_copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1) d
-USING (day, geohash, timestamp)"""))
+SELECT idx, o.day, o.geohash, o.timestamp, {R('demand')} AS demand, n_copies
+FROM obs o JOIN (SELECT day, geohash, timestamp, count(*) AS n_copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1) d
+ON o.day IS NOT DISTINCT FROM d.day AND o.geohash IS NOT DISTINCT FROM d.geohash AND o.timestamp IS NOT DISTINCT FROM d.timestamp"""))
 def q_duplicate_keys(spark, sf):
     """All rows sharing (day, geohash, timestamp) with another row."""
     d = pr.duplicate_keys(obs(spark, sf), ["day", "geohash", "timestamp"])
@@ -147,7 +147,7 @@ _PRED = ["pa", "pb", "pc", "demand", "idx"]
     f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})')} AS r FROM bp" for a, b in _pairs(_PRED)), *BP_SQL))
 def q_prediction_corr(spark, sf):
     """Pairwise Pearson between the base predictions, the id and the target."""
-    return round_doubles(pr.corr_long(base_predictions(obs(spark, sf), materialize=True), _PRED, listwise=False))
+    return round_doubles(pr.corr_long(base_predictions(obs(spark, sf)), _PRED, listwise=False))
 
 
 _SP = ["pa", "pb", "pc", "demand"]

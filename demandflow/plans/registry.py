@@ -8,10 +8,6 @@ QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
 
-class RowsOnly:
-    """Marker for queries with no SQL oracle (fitted models, random search, ...)."""
-
-
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:

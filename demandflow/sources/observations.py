@@ -79,11 +79,8 @@ def split_periods(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lookup_samples(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, test) samples for the tiered lookup: test = every 5th id; train =
-    the rest minus geohashes starting with '0' (so some test keys are unseen)."""
-    test = obs.where(F.col("idx") % 5 == 0)
-    train = obs.where((F.col("idx") % 5 != 0) & (F.substring("geohash", 1, 1) != "0"))
-    return train, test
+    """(train, test): every 5th id stands for the unlabelled test rows, all other rows are labelled."""
+    return obs.where(F.col("idx") % 5 != 0), obs.where(F.col("idx") % 5 == 0)
 
 
 def base_predictions(obs: DataFrame, materialize: bool = False) -> DataFrame:
@@ -95,19 +92,19 @@ def base_predictions(obs: DataFrame, materialize: bool = False) -> DataFrame:
     predictions in the blending operators.
     """
     from demandflow.operators.encoders import apply_mean, fit_many
+    from demandflow.session import materialize as write_back
 
     ref, tgt = split_periods(obs)
     extra = {"road_key": sentinel("road_type"), "slot": slot_of("timestamp"), "hour": hour_of("timestamp")}
     ref, tgt = ref.withColumns(extra), tgt.withColumns(extra)
-    # the smoothed table and the two mean tables share one GROUPING SETS pass
-    smooth = fit_many(ref, {"pa": ["geohash"]}, "demand", alpha=10.0)["pa"]
-    means = fit_many(ref, {"pb": ["road_key", "slot"], "pc": ["geohash", "hour"]}, "demand")
-    out = apply_mean(tgt, smooth, ["geohash"], "pa")
+    # the three tables share one GROUPING SETS pass, written once
+    means = fit_many(ref, {"pa": ["geohash"], "pb": ["road_key", "slot"], "pc": ["geohash", "hour"]}, "demand",
+                     alpha={"pa": 10.0}, store=True)
+    out = apply_mean(tgt, means["pa"], ["geohash"], "pa")
     out = apply_mean(out, means["pb"], ["road_key", "slot"], "pb")
     out = apply_mean(out, means["pc"], ["geohash", "hour"], "pc")
     out = out.select("idx", "demand", "pa", "pb", "pc")
     # several passes read it (ranks, moments, maps): cut the lineage once
     if materialize:
-        from demandflow.session import materialize as write_back
         return write_back(out, "base-predictions")
     return out

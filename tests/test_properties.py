@@ -111,14 +111,12 @@ def test_same_result_with_1_and_16_shuffle_partitions(spark, sf_dir, name):
     assert res[0] == res[1]
 
 
-def test_hot_stratum_path_gives_the_same_folds(spark, obs):
-    small = sp.stratified_folds(obs.withColumn("s", F.col("day") % 2), "s", "idx").select("idx", "fold")
-    spark.conf.set("demandflow.window.maxRowsPerKey", "10")
-    try:
-        big = sp.stratified_folds(obs.withColumn("s", F.col("day") % 2), "s", "idx").select("idx", "fold")
-        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
-    finally:
-        spark.conf.unset("demandflow.window.maxRowsPerKey")
+def test_folds_are_dealt_round_robin_in_hash_order(spark, obs):
+    df = obs.withColumn("s", F.col("day") % 2)
+    rows = sp.stratified_folds(df, "s", "idx").withColumn("h", sp.seeded_hash("idx")).select("s", "h", "idx", "fold").collect()
+    for s in (0, 1):
+        folds = [r.fold for r in sorted((r for r in rows if r.s == s), key=lambda r: (r.h, r.idx))]
+        assert folds == [i % 5 for i in range(len(folds))]
 
 
 def test_bucketed_quantiles_equal_small_path(spark, obs):

@@ -20,7 +20,6 @@ def main():
     if os.environ.get("DEMANDFLOW_FORCE_BUCKETED"):
         # exercise the at-scale plans: bucketed positions, chunked windows, global numbering
         spark.conf.set("demandflow.order.smallDistinct", "10")
-        spark.conf.set("demandflow.window.maxRowsPerKey", "10")
         spark.conf.set("demandflow.order.positionChunk", "97")
     con = duck(sf)
     bad = 0
