@@ -63,8 +63,9 @@ def apply_imputer(df: DataFrame, fitted: DataFrame, cols: list[str]) -> DataFram
 
 # named feature profiles.  "compact" keeps the short list the later
 # stages of the reference settle on; "full" keeps everything engineered.
-COMPACT_COLUMNS = ["idx", "hour", "minute", "quarter_hour", "day", "road_type_encoded", "weather_encoded",
-                   "temperature_filled", "number_of_lanes_filled", "n_missing"]
+COMPACT_COLUMNS = ["idx", "hour", "minute", "geohash_prefix_5", "number_of_lanes", "road_type_encoded", "road_type_missing",
+                   "large_vehicles_encoded", "landmarks_encoded", "n_missing", "hour_x_lv", "temperature_filled",
+                   "temp_abs_from_25", "lat", "lon"]  # and geohash_char_0.. up to the shortest geohash
 
 
 def build_features(df: DataFrame, profile: str = "full") -> DataFrame:
@@ -74,7 +75,10 @@ def build_features(df: DataFrame, profile: str = "full") -> DataFrame:
     out = cat.missing_flags(out)
     out = median_fill(out, ["temperature", "number_of_lanes"])
     if profile == "compact":
-        return out.select(*COMPACT_COLUMNS)
+        out = geo.geohash_decode(geohash_parts(out)).withColumns({
+            "hour_x_lv": F.col("hour") * F.coalesce("large_vehicles_encoded", F.lit(0)),
+            "temp_abs_from_25": F.abs(F.col("temperature_filled") - F.lit(25.0))})
+        return out.select(*COMPACT_COLUMNS, *[c for c in out.columns if c.startswith("geohash_char_")])
     out = equal_width_bins(out, "temperature_filled", {"temp_bin_5": 5, "temp_bin_10": 10})
     out = numeric.threshold_features(out)
     out = numeric.interactions(out)

@@ -311,15 +311,21 @@ def q_impute_matrix(spark, sf):
 
 
 @register("compact_features", with_obs(f"""
-SELECT idx, hour, minute, slot AS quarter_hour, day,
+SELECT idx, hour, minute, substr(geohash, 1, 5) AS geohash_prefix_5, number_of_lanes,
   CASE road_type WHEN 'Residential' THEN 0 WHEN 'Commercial' THEN 1 WHEN 'Highway' THEN 2 END AS road_type_encoded,
-  CASE weather WHEN 'Sunny' THEN 0 WHEN 'Cloudy' THEN 1 WHEN 'Rainy' THEN 2 WHEN 'Snowy' THEN 3 END AS weather_encoded,
-  {R('temperature_filled')} AS temperature_filled, {R('number_of_lanes_filled')} AS number_of_lanes_filled,
+  cast(road_type IS NULL AS int) AS road_type_missing,
+  CASE large_vehicles WHEN 'Not Allowed' THEN 0 WHEN 'Allowed' THEN 1 END AS large_vehicles_encoded,
+  CASE landmarks WHEN 'No' THEN 0 WHEN 'Yes' THEN 1 END AS landmarks_encoded,
   cast(road_type IS NULL AS int) + cast(temperature IS NULL AS int) + cast(weather IS NULL AS int)
    + cast(landmarks IS NULL AS int) + cast(large_vehicles IS NULL AS int) + cast(number_of_lanes IS NULL AS int)
-   AS n_missing
+   AS n_missing,
+  hour * CASE large_vehicles WHEN 'Allowed' THEN 1 ELSE 0 END AS hour_x_lv,
+  {R('temperature_filled')} AS temperature_filled, {R('abs(temperature_filled - 25)')} AS temp_abs_from_25,
+  {R(_LAT)} AS lat, {R(_LON)} AS lon,
+  {', '.join(f'substr(geohash, {i + 1}, 1) AS geohash_char_{i}' for i in range(6))}
 FROM filled""", _MED, _FILLED))
 def q_compact_features(spark, sf):
+    """the short profile: time, geohash parts and centre, road, vehicles, landmarks, missing count, temperature."""
     df = feat.build_features(obs(spark, sf), profile="compact")
     return round_doubles(df)
 
