@@ -10,6 +10,7 @@ from demandflow.operators import metrics as mt
 from demandflow.plans.catalog.order import RANK_SQL
 from demandflow.plans.common import obs
 from demandflow.plans.registry import BP_SQL, R, register, with_obs
+from demandflow.sources import io
 from demandflow.sources.observations import base_predictions
 
 _MODELS = ["pa", "pb", "pc"]
@@ -99,9 +100,13 @@ def q_softmax_allocation(spark, sf):
 @register("align_predictions", with_obs(f"SELECT idx, {R('pa')} AS pa, {R('pb')} AS pb, {R('pc')} AS pc FROM bp",
                                         *BP_SQL))
 def q_align_predictions(spark, sf):
-    """IO2 + J9: k models' predictions in long form lined up by row id (pivot)."""
-    bp = base_predictions(obs(spark, sf))
-    long = ens.to_long(bp.select("idx", *_MODELS), "idx", _MODELS)
+    """IO2 + J9: k models' prediction files (one header CSV each), read with a schema and lined up by row id."""
+    bp = base_predictions(obs(spark, sf), materialize=True)
+    paths = {m: io.write_table(bp.select("idx", F.col(m).alias("pred")), io.scratch_path(spark, f"pred-{m}"), "csv") for m in _MODELS}
+    long = None
+    for m, path in paths.items():
+        one = spark.read.schema("idx long, pred double").option("header", True).csv(path).withColumn("model", F.lit(m))
+        long = one if long is None else long.unionByName(one)
     return round_doubles(ens.align(long, "idx", _MODELS))
 
 

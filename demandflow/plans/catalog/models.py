@@ -22,6 +22,7 @@ from demandflow.operators import importance as imp
 from demandflow.operators import metrics as mt
 from demandflow.operators import models as md
 from demandflow.operators import splits as sp
+from demandflow.operators.order import global_row_number
 from demandflow.plans.catalog.ensemble import _GRID
 from demandflow.plans.catalog.forecast import _TS
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
@@ -372,13 +373,17 @@ def q_stacking(spark, sf):
     same presets fit on the whole reference period -> clipped -> scored."""
     m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
     ref, tgt = ref_of(m), tgt_of(m)
-    folds = materialize(sp.rolling_folds(ref, ["day", "slot", "idx"], "idx"), "rolling-folds")
+    # expanding folds as ranges of the row position, which is attached (and written) once
+    numbered = global_row_number(ref, ["day", "slot", "idx"], "_rn")
+    n_rows = numbered.count()
+    size = n_rows // 6
     names = list(md.GBT_PRESETS)
 
     def run(task):
         i, n = task
-        tr = ref.join(folds.where((F.col("fold") == i) & (F.col("role") == "train")).select("idx"), "idx")
-        va = ref.join(folds.where((F.col("fold") == i) & (F.col("role") == "valid")).select("idx"), "idx")
+        start = n_rows - (5 - i) * size
+        tr = numbered.where(F.col("_rn") <= start)
+        va = numbered.where((F.col("_rn") > start) & (F.col("_rn") <= start + size))
         return md.fit_predict(md.gbt(FEATURES, "log_demand", n), tr, va, "p").select(
             "idx", F.lit(n).alias("model"), clip(exp_target("p"), 0.0, 1.0).alias("pred"))
 
