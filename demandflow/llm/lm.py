@@ -2,7 +2,7 @@
 
 Documents are written once as blocks of about ``BLOCK_BYTES`` of text.  Each block is exploded to its n-grams of
 every order, reduced to distinct (hash, count) entries and dealt by hash to the count table's partitions.  A
-partition adds up the entries of all blocks and joins the totals back to each block's entries, which return
+partition adds up the entries of all blocks and joins the sums back to each block's entries, which return
 to their block; there every n-gram is scored and scores are summed per document.  Entries travel packed, many
 to a row: a row holds what one block has in one hash partition, sorted by hash.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes, save, table
+from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes, scratch_path, table
 
 ORDER = 3
 BACKOFF = 0.4
@@ -31,7 +31,11 @@ KEY_BITS = 48
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, n_words, payload): doc_id and text of the block's documents, compressed."""
+    """(block, n_words, payload): doc_id and text of the block's documents, compressed.
+
+    Written as a table bucketed by block, so that what comes back to the blocks is all that is shuffled then.
+    """
+    spark = docs.sparkSession
     def go(it):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches_of(block_bytes)(it):
@@ -42,7 +46,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([n], pa.int64()),
                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_words", "payload"])
 
-    return save(docs.select("doc_id", "text").mapInArrow(go, "block long, n_words long, payload binary"), "blocks")
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (docs.select("doc_id", "text").mapInArrow(go, "block long, n_words long, payload binary")
+     .write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).saveAsTable(name))
+    return spark.table(name)
 
 
 def unpack(payload: bytes) -> pa.RecordBatch:
@@ -109,30 +117,36 @@ def entries(blocked: DataFrame, order: int, part_bits: int) -> DataFrame:
                 part = (g.distinct >> low).astype(np.int64)
                 cuts = np.searchsorted(part, np.arange((1 << part_bits) + 1))
                 full = np.flatnonzero(np.diff(cuts)).tolist()
-                counts = g.counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
                      pa.array([pack(g.distinct[cuts[p]:cuts[p + 1]] & ((np.uint64(1) << low) - np.uint64(1))) for p in full], pa.binary()),
-                     pa.array([counts[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary())],
+                     pa.array([planes(g.counts[cuts[p]:cuts[p + 1]]) for p in full], pa.binary())],
                     names=["part", "block", "keys", "counts"])
 
     return blocked.select("block", "payload").mapInArrow(go, "part int, block long, keys binary, counts binary")
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """(block, part, totals): the corpus count of each entry, in the entries' order."""
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then all second ones, and so on (mostly zeros, which shuffles compress)."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+
+def elsewhere(found: DataFrame) -> DataFrame:
+    """(block, part, others): what the other blocks count of each entry, in the entries' order."""
     def add(_, tab):
-        raw, counts = tab["keys"].to_pylist(), [np.frombuffer(c, np.uint32) for c in tab["counts"].to_pylist()]
+        raw, counts = tab["keys"].to_pylist(), [unplanes(c) for c in tab["counts"].to_pylist()]
         keys = np.concatenate([unpack_keys(x) for x in raw])
         _, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts)).astype(np.uint64)[inverse]
+        own = np.concatenate(counts)
+        others = np.bincount(inverse, own).astype(np.uint64)[inverse] - own
         ends = np.cumsum([len(c) for c in counts])[:-1]
-        small = total.max() < 2**32
-        return pa.table({"block": tab["block"], "part": tab["part"],
-                         "totals": pa.array([t.astype(np.uint32 if small else np.uint64).tobytes() for t in np.split(total, ends)], pa.binary()),
-                         "wide": pa.array([not small] * len(raw))})
+        return pa.table({"block": tab["block"], "part": tab["part"], "others": pa.array([planes(t) for t in np.split(others, ends)], pa.binary())})
 
-    return found.groupBy("part").applyInArrow(add, "block long, part int, totals binary, wide boolean")
+    return found.groupBy("part").applyInArrow(add, "block long, part int, others binary")
 
 
 def backoff_scores(g: Grams, total: np.ndarray, n_corpus: int, backoff: float) -> np.ndarray:
@@ -173,17 +187,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     n_corpus = int(blocked.agg(F.sum("n_words")).first()[0] or 0)
     part_bits = max(1, math.ceil(math.log2(max(2, order * n_corpus / grams_per_partition))))
     bits = key_bits(part_bits)
-    back = totals(entries(blocked, order, part_bits))
+    back = elsewhere(entries(blocked, order, part_bits))
     kind = dict(docs.dtypes)["doc_id"]
 
     def score(_, left, right):
         out = []
-        by_part = sorted(zip(right["part"].to_pylist(), right["totals"].to_pylist(), right["wide"].to_pylist(), strict=True))
-        total = np.concatenate([np.frombuffer(t, np.uint64 if wide else np.uint32).astype(np.float64) for _, t, wide in by_part] or [np.zeros(0)])
+        by_part = sorted(zip(right["part"].to_pylist(), right["others"].to_pylist(), strict=True))
+        others = np.concatenate([unplanes(t) for _, t in by_part] or [np.zeros(0, np.uint64)])
         for payload in left["payload"].to_pylist():
             b = unpack(payload)
             g = Grams(b.column(1), order, bits)
-            s = backoff_scores(g, total, n_corpus, backoff)
+            s = backoff_scores(g, (others + g.counts.astype(np.uint64)).astype(np.float64), n_corpus, backoff)
             n = g.words.n_words
             log = np.bincount(g.words.doc, s, minlength=len(n)) if len(s) else np.zeros(len(n))
             out.append(pa.table({"doc_id": b.column(0), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(log),
