@@ -14,19 +14,22 @@ then compared with the other blocks' windows by hash, one row for each distinct
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes, inside, mix, row_key, save, schema_with, table
+from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes, inside, mix, row_key, save, schema_with, scratch_path, table, text_bytes
 
 WINDOW, SEED = 35, 8
 HOT = 2000
 #: Words that one reference block should hold
 BLOCK_WORDS = 1_000_000
 PIECE_BYTES = 4 << 20
+#: Text that one bucket of the written documents should hold
+BUCKET_BYTES = 64 << 20
 
 
 def anchors(w: Words, h: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,16 +56,16 @@ def anchors(w: Words, h: np.ndarray, window: int, seed: int) -> tuple[np.ndarray
 
 
 def seeds(keyed: DataFrame, window: int, seed: int) -> DataFrame:
-    """(seed, _k1, _k2, pos): the anchors of every text."""
+    """(seed, _k1, pos): the anchors of every text."""
     def go(it):
         for b in batches_of(PIECE_BYTES)(it):
             w = Words(frame(b, "text"), PLAIN, fold=False)
             low, at, first, _ = anchors(w, w.hashes(), window, seed)
             doc = pa.array(w.doc[first])
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), frame(b, "_k1").take(doc), frame(b, "_k2").take(doc),
-                                              pa.array((at - w.first[w.doc[first]]).astype(np.int32))], names=["seed", "_k1", "_k2", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), frame(b, "_k1").take(doc),
+                                              pa.array((at - w.first[w.doc[first]]).astype(np.int32))], names=["seed", "_k1", "pos"])
 
-    return keyed.select("_k1", "_k2", "text").mapInArrow(go, "seed long, _k1 long, _k2 long, pos int")
+    return keyed.select("_k1", "text").mapInArrow(go, "seed long, _k1 long, pos int")
 
 
 def parse(ids: np.ndarray, first: np.ndarray, size: np.ndarray, n_windows: np.ndarray, window: int) -> np.ndarray:
@@ -112,9 +115,10 @@ def duplicate_windows(keyed: DataFrame, window: int = WINDOW, seed: int = SEED,
     often = save(often, "often")
     total = int(often.agg(F.sum("n")).first()[0] or 0)
     n_blocks = max(1, math.ceil(total * 1.5 * window / block_words))
-    wanted = (found.join(often, "seed").select("_k1", "_k2", F.struct("pos", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts")).alias("p"))
-              .groupBy("_k1", "_k2").agg(F.collect_set("p").alias("places")))
-    texts = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"])
+    # half of the key will do here: places of a text of equal half would only be looked at in vain
+    wanted = (found.join(often, "seed").select("_k1", F.struct("pos", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts")).alias("p"))
+              .groupBy("_k1").agg(F.collect_set("p").alias("places")))
+    texts = keyed.select("_k1", "_k2", "text").join(wanted, "_k1")
 
     def deal(it):
         for b in batches_of(PIECE_BYTES)(it):
@@ -188,10 +192,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot:
     one another.  No rows: no rows.
     """
     docs = docs.drop("kept_text", "n_words", "n_removed", "_k1", "_k2", "runs")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True)))
+    # texts are written once, bucketed by key, so that neither of the two joins with them moves them
+    spark = docs.sparkSession
+    name = f"keyed_{uuid.uuid4().hex}"
+    (docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True)))
+     .write.bucketBy(max(8, -(-text_bytes(docs) // BUCKET_BYTES)), "_k1").option("path", scratch_path(spark, name)).saveAsTable(name))
+    keyed = spark.table(name)
     runs = (duplicate_windows(keyed, window, seed, hot, block_words).distinct()
-            .groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    marked = keyed.join(runs, ["_k1", "_k2"], "left").select(*[keyed[c] for c in docs.columns], "runs")
+            .groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+            .select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), "runs"))
+    # xor, not equality: the second half is compared, but is no join key, as the buckets are by the first
+    same = (F.col("_k1") == F.col("_r1")) & (F.col("_k2").bitwiseXOR(F.col("_r2")) == 0)
+    marked = keyed.join(runs, same, "left").select(*docs.columns, "runs")
     schema = schema_with(docs, "kept_text string, n_words long, n_removed long")
 
     def go(it):
