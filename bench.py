@@ -22,6 +22,7 @@ HEADLINE = [
     "te_smoothed", "te_period_fit", "tiered_lookup", "ts_heuristic", "ts_templates", "geo_stats",
     "describe_numeric", "top_values", "avg_rank", "quantile_bins", "stratified_folds", "rolling_folds",
     "blend_grid", "blend_rank", "roc_auc", "key_coverage", "label_encode", "leaderboard",
+    "cv_oof", "permutation_importance",
 ]
 
 

@@ -26,9 +26,8 @@ def _r2(p, y="demand"):
     f"FROM bp" for m in _MODELS), *BP_SQL))
 def q_r2_score(spark, sf):
     """M1: R^2 and competition score of each base prediction on the target period."""
-    bp = base_predictions(obs(spark, sf), materialize=True)
-    long = ens.to_long(bp.select("idx", "demand", *_MODELS), "idx", _MODELS)
-    long = long.join(bp.select("idx", "demand"), "idx")
+    bp = base_predictions(obs(spark, sf))
+    long = bp.select("idx", "demand", *_MODELS).unpivot(["idx", "demand"], _MODELS, "model", "pred")
     return round_doubles(mt.r2_score(long, "demand", "pred", by=["model"]))
 
 
@@ -48,12 +47,9 @@ def q_roc_auc(spark, sf):
     from demandflow.sources.observations import table
     ld = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id") \
         .withColumn("s", F.col("n_chars").cast("double"))
-    out = None
-    for lab in ["quality", "toxic"]:
-        a = mt.roc_auc(ld.where(F.col(lab).isNotNull() & F.col("s").isNotNull()), lab, "s") \
-              .select(F.lit(lab).alias("label"), "n_pos", "n_neg", r6("auc").alias("auc"))
-        out = a if out is None else out.unionByName(a)
-    return out
+    # both labels in one pass
+    long = ld.unpivot(["s"], ["quality", "toxic"], "label", "y").where(F.col("y").isNotNull() & F.col("s").isNotNull())
+    return mt.roc_auc(long, "y", "s", by=["label"]).select("label", "n_pos", "n_neg", r6("auc").alias("auc"))
 
 
 _PROBS = ", ".join(repr(i / 10) for i in range(11))

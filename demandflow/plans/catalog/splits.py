@@ -75,12 +75,8 @@ def q_key_coverage(spark, sf):
     """J8 + U2 + U3 + U4: shared and unseen keys, reference vs target period."""
     o = obs(spark, sf)
     a, b = ref_of(o), tgt_of(o)
-    out = None
-    for name, keys in [("geohash", ["geohash"]), ("timestamp", ["timestamp"]),
-                       ("geohash+timestamp", ["geohash", "timestamp"])]:
-        r = sp.key_coverage(a, b, keys, name)
-        out = r if out is None else out.unionByName(r)
-    return round_doubles(out)
+    return round_doubles(sp.coverage_report(a, b, {"geohash": ["geohash"], "timestamp": ["timestamp"],
+                                                   "geohash+timestamp": ["geohash", "timestamp"]}))
 
 
 @register("geo_time_overlap", with_obs(_cov_sql("geo_ts", "geo_ts", "la", "lb"),
