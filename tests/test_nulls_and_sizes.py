@@ -150,3 +150,10 @@ def test_adversarial_has_two_classifiers_and_no_fitted_columns(spark, sf_dir):
     assert {r.classifier for r in rows} == {"gbt", "forest"}
     assert not {r.feature for r in rows} & {"te_geohash", "geohash_count"}
     assert all(0 <= r.auc <= 1 for r in rows)
+
+
+def test_coverage_of_several_key_sets(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("y", None), (None, 3)], "g string, t long")
+    b = spark.createDataFrame([("x", 1), ("z", 3), ("z", 3), (None, None)], "g string, t long")
+    got = {r.key: (r.n_a, r.n_b, r.n_shared, r.n_unseen_in_b) for r in sp.coverage_report(a, b, {"g": ["g"], "t": ["t"], "g+t": ["g", "t"]}).collect()}
+    assert got == {"g": (2, 2, 1, 1), "t": (3, 2, 2, 0), "g+t": (2, 2, 1, 1)}
