@@ -24,6 +24,8 @@ from demandflow.llm.common import PLAIN, Words, batches_of, frame, gram_hashes,
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that are hashed at once
+HASH_BYTES = 256 << 10
 #: n-grams (with repeats) that one partition of the count table may gather
 GRAMS_PER_PARTITION = 4_000_000
 #: Bits of a hash that count, beyond those that the partition's number stands for (63 in all at most)
@@ -59,13 +61,20 @@ def unpack(payload: bytes) -> pa.RecordBatch:
 
 
 class Grams:
-    """n-grams of a block: keys[k] are the hashes of order k + 1 that end at each word (0 where the text begins later)."""
+    """n-grams of a block: distinct are their sorted hashes, counts how often each stands; entry[k] has the place in
+    distinct of the n-gram of order k + 1 that ends at each word, -1 where its text begins later."""
 
     def __init__(self, texts: pa.Array, order: int, bits: int):
-        self.words = w = Words(texts, PLAIN, fold=True)
-        h = w.hashes()
-        place = np.arange(len(h)) - np.repeat(w.first[:-1], w.n_words)
-        self.keys = []
+        hashes, sizes = [], []
+        for piece in batches_of(HASH_BYTES)([pa.RecordBatch.from_arrays([texts], names=["text"])]):  # few bytes at a time
+            w = Words(piece.column(0), PLAIN, fold=True)
+            hashes.append(w.hashes())
+            sizes.append(w.n_words)
+        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.n_words = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.doc = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+        keys = []
         for k in range(1, order + 1):
             out = np.zeros(len(h), np.uint64)
             if len(h) >= k:
@@ -73,13 +82,12 @@ class Grams:
                 out[k - 1:] = g
             keep = place >= k - 1
             out = out >> np.uint64(64 - bits)
-            self.keys.append((out, keep))
+            keys.append((out, keep))
         self.distinct, inverse, self.counts = np.unique(
-            np.concatenate([g[keep] for g, keep in self.keys]) if len(h) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-        #: place of each n-gram's entry, -1 where there is none
+            np.concatenate([g[keep] for g, keep in keys]) if len(h) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
         self.entry, at = [], 0
-        for _, keep in self.keys:
-            e = np.full(len(h), -1, np.int64)
+        for _, keep in keys:
+            e = np.full(len(h), -1, np.int32)
             n = int(keep.sum())
             e[keep] = inverse[at:at + n]
             at += n
@@ -127,12 +135,16 @@ def entries(blocked: DataFrame, order: int, part_bits: int) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte: all lowest bytes, then all second ones, and so on (mostly zeros, which shuffles compress)."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte by byte: how many bytes the largest has, all lowest bytes, all second ones, and so on."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+    body = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, :raw[0]] = body.T
+    return out.view("<u8")[:, 0]
 
 
 def elsewhere(found: DataFrame) -> DataFrame:
@@ -151,16 +163,16 @@ def elsewhere(found: DataFrame) -> DataFrame:
 
 def backoff_scores(g: Grams, total: np.ndarray, n_corpus: int, backoff: float) -> np.ndarray:
     """ln S of each word of a block, its own document's n-grams left out."""
-    w, m = g.words, len(g.words.doc)
+    m = len(g.doc)
     others = []
     for e in g.entry:
         at = np.flatnonzero(e >= 0)
-        pair = w.doc[at] * np.int64(len(total) + 1) + e[at]
+        pair = g.doc[at] * np.int64(len(total) + 1) + e[at]
         _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
         c = np.zeros(m, np.float64)
         c[at] = total[e[at]] - own[inverse]
         others.append(c)
-    left = n_corpus - w.n_words[w.doc].astype(np.float64) if m else np.zeros(0)
+    left = n_corpus - g.n_words[g.doc].astype(np.float64) if m else np.zeros(0)
     uni = others[0]
     score = np.log(np.where(uni > 0, uni / np.maximum(left, 1), 1 / (left + 1)))
     for k in range(1, len(others)):
@@ -198,8 +210,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
             b = unpack(payload)
             g = Grams(b.column(1), order, bits)
             s = backoff_scores(g, (others + g.counts.astype(np.uint64)).astype(np.float64), n_corpus, backoff)
-            n = g.words.n_words
-            log = np.bincount(g.words.doc, s, minlength=len(n)) if len(s) else np.zeros(len(n))
+            n = g.n_words
+            log = np.bincount(g.doc, s, minlength=len(n)) if len(s) else np.zeros(len(n))
             out.append(pa.table({"doc_id": b.column(0), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(log),
                                  "mean_log_score": pa.array(log / np.maximum(n, 1), mask=n == 0)}))
         return pa.concat_tables(out)
