@@ -27,7 +27,7 @@ WINDOW, SEED = 35, 8
 HOT = 2000
 #: Words that one reference block should hold
 BLOCK_WORDS = 1_000_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Text that one bucket of the written documents should hold
 BUCKET_BYTES = 64 << 20
 
@@ -108,16 +108,20 @@ def parse(ids: np.ndarray, first: np.ndarray, size: np.ndarray, n_windows: np.nd
     return out
 
 
-def duplicate_windows(keyed: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(_k1, _k2, first, last): runs of window starts that stand elsewhere, too, by row key."""
+def duplicate_windows(keyed: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, block_words: int = BLOCK_WORDS,
+                      buckets: int = 0) -> DataFrame:
+    """(_k1, _k2, first, last): runs of window starts that stand elsewhere, too, by row key.
+
+    buckets: as many as keyed is bucketed by _k1 into, if it is; places are dealt likewise, so that texts stay.
+    """
     found = save(seeds(keyed, window, seed), "anchors")
     often = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
     often = save(often, "often")
     total = int(often.agg(F.sum("n")).first()[0] or 0)
     n_blocks = max(1, math.ceil(total * 1.5 * window / block_words))
     # half of the key will do here: places of a text of equal half would only be looked at in vain
-    wanted = (found.join(often, "seed").select("_k1", F.struct("pos", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts")).alias("p"))
-              .groupBy("_k1").agg(F.collect_set("p").alias("places")))
+    wanted = found.join(often, "seed").select("_k1", F.struct("pos", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts")).alias("p"))
+    wanted = (wanted.repartition(buckets, "_k1") if buckets else wanted).groupBy("_k1").agg(F.collect_set("p").alias("places"))
     texts = keyed.select("_k1", "_k2", "text").join(wanted, "_k1")
 
     def deal(it):
@@ -195,10 +199,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot:
     # texts are written once, bucketed by key, so that neither of the two joins with them moves them
     spark = docs.sparkSession
     name = f"keyed_{uuid.uuid4().hex}"
+    buckets = max(8, -(-text_bytes(docs) // BUCKET_BYTES))
     (docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True)))
-     .write.bucketBy(max(8, -(-text_bytes(docs) // BUCKET_BYTES)), "_k1").option("path", scratch_path(spark, name)).saveAsTable(name))
+     .write.bucketBy(buckets, "_k1").option("path", scratch_path(spark, name)).saveAsTable(name))
     keyed = spark.table(name)
-    runs = (duplicate_windows(keyed, window, seed, hot, block_words).distinct()
+    runs = (duplicate_windows(keyed, window, seed, hot, block_words, buckets).distinct()
             .groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
             .select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), "runs"))
     # xor, not equality: the second half is compared, but is no join key, as the buckets are by the first
