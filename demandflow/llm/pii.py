@@ -2,16 +2,20 @@
 
 The patterns give the base spans.  The tagger is trained in numpy on a bounded sample of documents, from the spans
 that the patterns label there and from the same spans in disguises that the patterns miss (an address
-with ``(at)`` and ``dot``, a phone number without its plus, card groups parted by dots, an address part by part).  In every
-text it reads overlapping windows that cover each place where personal data can stand (a digit, an @ or its
-disguise).  The windows' tag scores are joined with weights that fall towards a window's edges, and one
-Viterbi pass with the CRF transitions decodes each covered stretch as a whole.  Spans found that way are
-added where no base span lies.  Scoring is one narrow pass.
+with ``(at)`` or a bare ``at`` and ``dot``, a phone number without its plus, card groups parted by dots, an address part by
+part), and from places without personal data.  It reads every text from its first character to its last in
+overlapping windows.  The windows' tag scores are joined with weights that fall towards a window's edges, and the
+best path through the CRF transitions is found for each text as a whole: places that are on no path but the
+"none" path part it into runs, which Viterbi decodes.  Spans found that way are added where no base span lies.
+Scoring is one narrow pass.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +35,20 @@ PATTERNS = {
 #: A text without this character has no base span of the kind
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 DIGIT = re.compile("[0-9]")
+#: Places that training windows are taken around; scoring reads every place
 CUE = re.compile(r"[0-9@]|[\[(] ?[Aa][Tt] ?[\])]")
 
-#: Bounds of the training sample: documents, characters of each that may count, windows
+#: Bounds of the training sample: documents, characters of each that may count, windows around cues and as many without
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS = 600, 20_000, 1000
 WINDOW, STRIDE = 96, 48
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 7, 50, 0.02
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 10, 50, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
-#: Mean probability, over its places, that an added span is in some span
+#: Mean probability (of the CRF), over its places, that an added span is in some span
 SURE = 0.8
 #: Fewest and most digits of an added span (a card's pass Luhn, too)
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 PIECE_BYTES = 2 << 20
-ROWS = 512
+ROWS = 1024
 
 
 def luhn(digits: str) -> bool:
@@ -79,13 +84,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the tagger ---------------------------------------------------------------------------------
 
+@functools.cache
+def _symbol_table() -> np.ndarray:
+    """The id of each code point."""
+    ids = np.array([128 if chr(x).isalpha() else 129 for x in range(sys.maxunicode + 1)], np.uint8)
+    ids[:128] = np.arange(128)
+    for x in range(128, sys.maxunicode + 1):
+        if chr(x).isdecimal():
+            ids[x] = 48 + unicodedata.decimal(chr(x))
+    return ids
+
+
 def symbols(text: str) -> np.ndarray:
-    """Ids of characters: ASCII as they are, letters beyond ASCII 128, anything else 129."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    far = np.flatnonzero(c >= 128)
-    if len(far):
-        c[far] = [128 if chr(x).isalpha() else 129 for x in c[far].tolist()]
-    return c
+    """Ids of characters: ASCII as they are, digits of any script as ASCII ones, letters beyond ASCII 128, anything else 129."""
+    return _symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def digits_of(text: str) -> str:
+    """The digits of a text, of any script, as ASCII ones."""
+    return "".join(DIGIT.findall(text)) if text.isascii() else "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 def _sigmoid(x):
@@ -106,8 +123,8 @@ def _lstm(x, wx, wh, b):
     """Hidden states (time first) and what the backward pass needs; gates in the order input, forget, output, new."""
     t, n, _ = x.shape
     z = x @ wx + b
-    h, c, keep = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), []
-    out = np.empty((t, n, HIDDEN))
+    h, c, keep = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype), []
+    out = np.empty((t, n, HIDDEN), x.dtype)
     for i in range(t):
         a = z[i] + h @ wh
         g = _sigmoid(a[:, :3 * HIDDEN])
@@ -123,8 +140,8 @@ def _lstm(x, wx, wh, b):
 
 def _lstm_back(x, wx, wh, keep, dout):
     t, n, _ = x.shape
-    dz = np.empty((t, n, 4 * HIDDEN))
-    dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+    dz = np.empty((t, n, 4 * HIDDEN), x.dtype)
+    dh, dc = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
     dwh = np.zeros_like(wh)
     for i in range(t - 1, -1, -1):
         h, before, g, u, s = keep[i]
@@ -153,6 +170,17 @@ def _lse(x, axis):
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def marginals(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of each tag at each place for scores (time, row, tag)."""
+    a, b = np.empty_like(e), np.zeros_like(e)
+    a[0] = e[0]
+    for i in range(1, len(e)):
+        a[i] = e[i] + _lse(a[i - 1][:, :, None] + trans, 1)
+    for i in range(len(e) - 2, -1, -1):
+        b[i] = _lse(trans + (e[i + 1] + b[i + 1])[:, None, :], 2)
+    return np.exp(a + b - _lse(a[-1], 1)[None, :, None])
+
+
 def crf_gradient(e: np.ndarray, trans: np.ndarray, tags: np.ndarray):
     """Mean negative log likelihood and its gradients for scores (time, window, tag) and tags (time, window)."""
     t, n, k = e.shape
@@ -189,7 +217,7 @@ def gradient(m: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
 
 
 def train(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> dict:
-    m, r, step = new_model(seed), np.random.default_rng(seed), 0
+    m, r, step = {k: v.astype(np.float32) for k, v in new_model(seed).items()}, np.random.default_rng(seed), 0
     mean = {k: np.zeros_like(v) for k, v in m.items()}
     var = {k: np.zeros_like(v) for k, v in m.items()}
     for epoch in range(epochs):
@@ -204,14 +232,22 @@ def train(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int
                 d = g[k] * min(1.0, 5.0 / (size + 1e-9))
                 mean[k] = 0.9 * mean[k] + 0.1 * d
                 var[k] = 0.999 * var[k] + 0.001 * d * d
-                m[k] = m[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-8)
+                m[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.999**step)) + 1e-8)
     return m
 
 
-def disguise(kind: str, found: str, r: np.random.Generator) -> str:
-    """The same data as the patterns do not see it."""
+AT_DOT = ((" (at) ", " dot "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot "), (" at ", "."), (" AT ", " DOT "),
+          (" {at} ", "."), ("{at}", "{dot}"), (" <at> ", "."), ("<at>", "<dot>"))
+
+
+def disguise(kind: str, found: str, r: np.random.Generator, words: list[str] | None = None) -> str:
+    """The same data as the patterns do not see it; most e-mails with some of the given words as names."""
     if kind == "email":
-        at, dot = ((" (at) ", " dot "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."))[r.integers(4)]
+        if words and r.random() < 0.75:
+            name = [words[i] for i in r.integers(len(words), size=4)]
+            user, host = (name[0], f"{name[0]}.{name[1]}", f"{name[0]}_{name[1]}")[r.integers(3)], (name[2], f"{name[2]}.{name[3]}")[r.integers(2)]
+            found = f"{user}@{host}.{('com', 'org', 'net', 'de', 'fr', 'es', 'io')[r.integers(7)]}"
+        at, dot = AT_DOT[r.integers(len(AT_DOT))]
         return found.replace("@", at).replace(".", dot)
     if kind == "phone":
         digits = "".join(DIGIT.findall(found))[-10:]
@@ -223,36 +259,78 @@ def disguise(kind: str, found: str, r: np.random.Generator) -> str:
 
 
 def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around cues, with tags: as they stand, and with their spans disguised."""
+    """Windows around spans and cues, with tags: as they stand, and with their spans disguised; then, up to as many each,
+    windows with a disguised e-mail put in and windows without personal data.
+
+    The latter: anywhere in the texts, and around the places where spans were that have lost their digits, @ and plus;
+    some with a bare ``at`` or ``dot`` between their words.
+    """
     r = np.random.default_rng(seed)
-    ids, tags = [], []
+    with_cue, made, without = [], [], []
+
+    def cut(sym, tag, place, to):
+        lo = max(0, place - int(r.integers(8, WINDOW - 8)))
+        if r.random() < 0.2:  # as at a text's first character
+            lo = max(0, place - int(r.integers(0, 24)))
+        n = min(WINDOW, len(sym) - lo)
+        to.append((np.pad(sym[lo:lo + n], (0, WINDOW - n), constant_values=130), np.pad(tag[lo:lo + n], (0, WINDOW - n))))
+
+    mails = [text[lo:hi] for text in texts for kind, lo, hi in base_spans(text) if kind == "email"]
     for text in texts:
         spans = []
         for s in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
             if not spans or s[1] >= spans[-1][2]:
                 spans.append(s)
-        for hidden in (False, True):
-            out, tag, at = [], [], 0
+        words = re.findall("[A-Za-z]{2,12}", text) if spans else []
+        for hidden in (False, True, True):
+            out, tag, at, begins, n = [], [], 0, [], 0
             for kind, lo, hi in spans:
-                shown = disguise(kind, text[lo:hi], r) if hidden else text[lo:hi]
+                shown = disguise(kind, text[lo:hi], r, words) if hidden else text[lo:hi]
                 k = 1 + 2 * KINDS.index(kind)
+                begins.append(n + lo - at)
                 out += [text[at:lo], shown]
                 tag += [np.zeros(lo - at, np.int64), np.r_[k, np.full(len(shown) - 1, k + 1)]]
+                n += lo - at + len(shown)
                 at = hi
             whole = "".join([*out, text[at:]])
             tag = np.concatenate([*tag, np.zeros(len(text) - at, np.int64)])
             sym, last = symbols(whole), -WINDOW
-            for m in CUE.finditer(whole):
-                if m.start() >= last + STRIDE:
-                    last = m.start()
-                    lo = max(0, last - int(r.integers(8, WINDOW - 8)))
-                    n = min(WINDOW, len(whole) - lo)
-                    ids.append(np.pad(sym[lo:lo + n], (0, WINDOW - n), constant_values=130))
-                    tags.append(np.pad(tag[lo:lo + n], (0, WINDOW - n)))
-    if not ids:
+            for place in sorted({*begins, *(m.start() for m in CUE.finditer(whole))}):
+                if place >= last + STRIDE:
+                    last = place
+                    cut(sym, tag, place, with_cue)
+        words = re.findall("[A-Za-z]{2,12}", text)
+        for _ in range(2 if mails and words else 0):  # an e-mail under made-up names between two words
+            near = re.sub("[0-9@]", "", text[(at := int(r.integers(len(text)))):at + WINDOW]).split(" ") if r.random() < 0.85 else []
+            k = int(r.integers(len(near) + 1))
+            head, mail, tail = " ".join([*near[:k], ""]) if k else "", disguise("email", mails[r.integers(len(mails))], r, words), " ".join(["", *near[k:]]) if near[k:] else ""
+            k = 1 + 2 * KINDS.index("email")
+            tag = np.r_[np.zeros(len(head), np.int64), k, np.full(len(mail) - 1, k + 1), np.zeros(len(tail), np.int64)]
+            cut(symbols(head + mail + tail), tag, len(head), made)
+        out, places, at, n = [], [], 0, 0
+        for _, lo, hi in spans:
+            left = re.sub("[0-9@+]", "", text[lo:hi])
+            out += [text[at:lo], left]
+            places.append(n + lo - at)
+            n += lo - at + len(left)
+            at = hi
+        bare = re.sub("[0-9@]", "", "".join([*out, text[at:]]))
+        if not bare:
+            continue
+        places = r.integers(0, len(bare), 3).tolist() + [min(p, len(bare) - 1) for p in places]
+        for i, place in enumerate(places):
+            lo = max(0, place - WINDOW)
+            piece = bare[lo:place + WINDOW]
+            if i % 8 == 0:  # one word or two, again and again
+                again = re.findall(r"\S{2,12}", piece)[:1 + int(r.integers(2))]
+                piece = " ".join(again * WINDOW)[:2 * WINDOW] or piece
+            elif i % 2:
+                piece = re.sub(" ", lambda _: (" ", " ", " ", " ", " ", " at ", " dot ", ". ")[r.integers(8)], piece)
+            cut(symbols(piece), np.zeros(len(piece), np.int64), min(place - lo, len(piece) - 1), without)
+    if not with_cue and not made and not without:
         return np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
-    pick = r.permutation(len(ids))[:limit]
-    return np.stack(ids)[pick], np.stack(tags)[pick]
+    picked = [w[i] for w in (with_cue, made, without) for i in r.permutation(len(w))[:limit]]
+    return np.stack([x for x, _ in picked]), np.stack([y for _, y in picked])
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -274,57 +352,135 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / WINDOW
 
 
+def scorer(m: dict):
+    """``emissions`` without the backward pass's keepings, in single precision and one product per step.
+
+    All four gates come from one tanh: 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2.
+    """
+    half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]
+    both = []
+    for d, part in (("f", m["Wo"][:HIDDEN]), ("b", m["Wo"][HIDDEN:])):
+        w = np.concatenate([m["Wh" + d], m["Wx" + d], m["b" + d][None]]) * half
+        both.append((np.ascontiguousarray(w.T, np.float32), np.ascontiguousarray(part.T, np.float32)))
+    embed, bias = np.ascontiguousarray(m["E"].T, np.float32), m["bo"].astype(np.float32)[:, None]
+
+    def score(ids: np.ndarray) -> np.ndarray:
+        """Tag scores (time, tag, window) of windows of symbols (window, time)."""
+        n, t = ids.shape
+        col = np.ascontiguousarray(ids.T).astype(np.intp)
+        e = np.empty((t, TAGS, n), np.float32)
+        e[:] = bias
+        a, g, c, u = np.empty((4 * HIDDEN, n), np.float32), None, np.empty((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+        g, new = a[:3 * HIDDEN], a[3 * HIDDEN:]
+        for (w, wo), steps in zip(both, (range(t), range(t - 1, -1, -1)), strict=True):
+            x = np.ones((HIDDEN + EMBED + 1, n), np.float32)
+            x[:HIDDEN], c[:] = 0, 0
+            h = x[:HIDDEN]
+            for i in steps:
+                np.take(embed, col[i], axis=1, out=x[HIDDEN:-1], mode="clip")
+                np.matmul(w, x, out=a)
+                np.tanh(a, out=a)
+                g *= 0.5
+                g += 0.5
+                c *= g[HIDDEN:2 * HIDDEN]
+                np.multiply(g[:HIDDEN], new, out=u)
+                c += u
+                np.tanh(c, out=u)
+                np.multiply(g[2 * HIDDEN:], u, out=h)
+                e[i] += wo @ h
+        return e
+
+    return score
+
+
+def possible(place: np.ndarray, score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which places can lie in a span of the best path, all others being "none".
+
+    A span from i to j gains at most the best tags' leads over "none" plus the best transitions in, within and out,
+    less those of "none"; a place is possible if a stretch of its run that holds it does not lose by that measure.
+    """
+    enter, inner, leave, none = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max(), trans[0, 0]
+    lead = score[:, 1:].max(axis=1).astype(float) - score[:, 0] + inner - none
+    run = np.cumsum(np.r_[True, np.diff(place) > 1])
+    at = np.arange(len(place)) + run  # one wall before each run
+    gain = np.full(len(place) + run[-1] + 1, -1e4)
+    gain[at] = lead
+    total = np.cumsum(gain)
+    before = total - np.minimum.accumulate(total - gain)  # best stretch that ends here
+    after = np.maximum.accumulate(total[::-1])[::-1] - (total - gain)  # best stretch that begins here
+    return (before + after - gain)[at] >= inner + none - enter - leave - 1e-3
+
+
 def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans (kind, start, end) that the tagger finds in each text."""
+    """Spans (kind, start, end) that the tagger finds in each text; windows cover every character of it."""
     found: list[list] = [[] for _ in texts]
-    windows, where, stretches = [], [], []  # stretches: (text, first character, length, first window)
-    for d, text in enumerate(texts):
-        cues = np.array([x.start() for x in CUE.finditer(text)], np.int64)
-        if not len(cues):
-            continue
-        sym = symbols(text)
-        # windows start at multiples of the stride; all that hold a cue, one more on each side
-        cell = np.unique(np.concatenate([cues // STRIDE - 1, cues // STRIDE]))
-        cell = cell[cell >= 0]
-        for run in np.split(cell, np.flatnonzero(np.diff(cell) > 2) + 1):
-            lo, hi = int(run[0]) * STRIDE, min(len(text), int(run[-1]) * STRIDE + WINDOW)
-            stretches.append((d, lo, hi - lo))
-            for c in range(int(run[0]), int(run[-1]) + 1):
-                a = c * STRIDE
-                w = sym[a:a + WINDOW]
-                windows.append(np.pad(w, (0, WINDOW - len(w)), constant_values=130))
-                where.append((len(stretches) - 1, a - lo))
-    if not windows:
+    # a text's blocks of STRIDE characters and an empty one; a window is a block and the next one
+    n_blocks = np.array([-(-len(t) // STRIDE) + 1 if t else 0 for t in texts], np.int64)
+    first = np.r_[0, np.cumsum(n_blocks)]
+    if not first[-1]:
         return found
-    score = [np.zeros((n + WINDOW, TAGS)) for _, _, n in stretches]
-    weight = [np.zeros(n + WINDOW) for _, _, n in stretches]
+    blocks = np.full((first[-1], STRIDE), 130, np.uint8)
+    real = np.zeros((first[-1], STRIDE), bool)
+    starts, ends = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+    for d, text in enumerate(texts):
+        if text:
+            at = first[d] * STRIDE
+            blocks.reshape(-1)[at:at + len(text)] = symbols(text)
+            real.reshape(-1)[at:at + len(text)] = True
+            starts[first[d]] = ends[first[d + 1] - 1] = True
+    # a place whose score of "none" leads by more than any transitions can give back is on no other path
+    trans = m["T"]
+    back = (trans - trans[:, :1]).max(axis=0) + (trans - trans[:1]).max(axis=1)
+    back = back[1:, None].astype(np.float32)
+    score, ahead, behind = scorer(m), WEIGHT[:STRIDE, None, None], WEIGHT[STRIDE:, None, None]
+    ahead, behind = (ahead / (ahead + behind)).astype(np.float32), (behind / (ahead + behind)).astype(np.float32)
+    windows, carry = np.flatnonzero(~ends), np.zeros((STRIDE, TAGS, 1), np.float32)
+    places, scores = [], []
     for at in range(0, len(windows), ROWS):
-        e = emissions(m, np.stack(windows[at:at + ROWS]))
-        for i, (s, a) in enumerate(where[at:at + ROWS]):
-            score[s][a:a + WINDOW] += e[:, i] * WEIGHT[:, None]
-            weight[s][a:a + WINDOW] += WEIGHT
-    order = sorted(range(len(stretches)), key=lambda s: stretches[s][2])
-    for at in range(0, len(order), 64):  # stretches of like length together
-        group = order[at:at + 64]
-        longest = stretches[group[-1]][2]
-        e = np.zeros((longest, len(group), TAGS))
-        for i, s in enumerate(group):
-            n = stretches[s][2]
-            e[:n, i] = score[s][:n] / weight[s][:n, None]
-            e[n:, i, 1:] = -1e4  # nothing beyond the stretch
-        tags = viterbi(e, m["T"])
-        p = np.exp(e - e.max(axis=2, keepdims=True))
-        p = 1 - p[:, :, 0] / p.sum(axis=2)  # that a place is in some span
-        for i, s in enumerate(group):
-            d, lo, n = stretches[s]
-            t = tags[:n, i]
+        w = windows[at:at + ROWS]
+        e = score(np.concatenate([blocks[w], blocks[w + 1]], axis=1))
+        before = np.concatenate([carry, e[STRIDE:, :, :-1]], axis=2)
+        carry = e[STRIDE:, :, -1:]
+        joined = np.where(starts[w], e[:STRIDE], ahead * e[:STRIDE] + behind * before)
+        unsure = (joined[:, 1:] + back >= joined[:, :1]).any(axis=1).T & real[w]  # (window, time)
+        i, j = np.nonzero(unsure)
+        places.append(w[i] * STRIDE + j)
+        scores.append(joined[j, :, i])
+    place, score = np.concatenate(places), np.concatenate(scores)
+    if not len(place):
+        return found
+    keep = possible(place, score, trans)
+    place, score = place[keep], score[keep]
+    if not len(place):
+        return found
+    lo = np.r_[0, np.flatnonzero(np.diff(place) > 1) + 1]
+    length = np.diff(np.r_[lo, len(place)])
+    order = np.argsort(-length, kind="stable")  # runs of like length together, longest first
+    none = np.r_[0.0, np.full(TAGS - 1, -1e4)]
+    while len(order):
+        longest = int(length[order[0]])
+        size = max(1, 100_000 // longest)
+        group, order = order[:size], order[size:]
+        step = np.arange(longest)[:, None]
+        inside = step < length[group]
+        e = np.empty((longest + 2, len(group), TAGS))
+        e[0] = e[-1] = none  # "none" before and after a run
+        e[1:-1] = np.where(inside[:, :, None], score[np.minimum(lo[group] + step, len(place) - 1)], none)
+        tags = viterbi(e, trans)[1:-1]
+        hits = np.flatnonzero(tags.any(axis=0))
+        inside_span = 1 - marginals(e[:, hits], trans)[1:-1, :, 0] if len(hits) else None
+        for at_hit, i in enumerate(hits.tolist()):
+            n, at = int(length[group[i]]), int(lo[group[i]])
+            t, p = tags[:n, i], inside_span[:n, at_hit]
+            d = int(np.searchsorted(first, place[at] // STRIDE, "right")) - 1
+            shift = int(place[at]) - int(first[d]) * STRIDE
             kind = (t + 1) // 2
             new = np.r_[True, (kind[1:] != kind[:-1]) | ((t[1:] % 2 == 1) & (t[1:] > 0))]
             begin = np.flatnonzero(new)
             for x, y in zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True):
-                if kind[x] and p[x:y, i].mean() >= SURE:
-                    found[d].append((KINDS[kind[x] - 1], lo + x, lo + y))
-    return found
+                if kind[x] and p[x:y].mean() >= SURE:
+                    found[d].append((KINDS[kind[x] - 1], shift + x, shift + y))
+    return [sorted(x, key=lambda s: s[1]) for x in found]
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -333,9 +489,9 @@ def added_spans(text: str, base: list[tuple[str, int, int]], tagged: list[tuple[
     for kind, lo, hi in tagged:
         piece = text[lo:hi]
         lo, hi = lo + len(piece) - len(piece.lstrip()), hi - len(piece) + len(piece.rstrip())
-        digits = "".join(DIGIT.findall(text[lo:hi]))
+        digits = digits_of(text[lo:hi])
         likely = DIGITS[kind][0] <= len(digits) <= DIGITS[kind][1]
-        likely = likely and (kind != "email" or CUE.search(text[lo:hi])) and (kind != "card" or luhn(digits))
+        likely = likely and (kind != "card" or luhn(digits))
         if hi - lo >= 7 and likely and all(hi <= a or lo >= b for _, a, b in base):
             out.append((kind, lo, hi))
     return out

@@ -139,6 +139,44 @@ def test_tagger_finds_held_out_spans(spark):
     assert any(x and x[0][0] == k for x, k in zip(added, ("email", "phone"), strict=True))
 
 
+def test_tagger_reads_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    texts = [r.text for r in docs.where(F.rlike("text", F.lit("[0-9@]"))).orderBy("doc_id", "text").limit(450).collect()]
+    model = pii.train(*pii.training_windows(list(dict.fromkeys(texts))))
+    hidden = {"send it to jane.doe at example dot com please": "email", "write to jane {at} host.org today": "email",
+              "ask mary.jones <at> mail.org now": "email", "call (\u0662\u0661\u0663) \u0665\u0665\u0665-\u0662\u0666\u0662\u0665 at noon": "phone"}
+    for t, kind in hidden.items():
+        assert [k for k, _, _ in pii.added_spans(t, pii.base_spans(t), pii.tag_texts(model, [t])[0])] == [kind], t
+    plain = " ".join(f"word{'abcdefghij'[i % 10]}" for i in range(500))
+    assert pii.tag_texts(model, [plain]) == [[]]
+
+
+def test_decoding_in_runs_is_the_best_path():
+    r, m = np.random.default_rng(4), pii.new_model()
+    m["T"], m["bo"] = r.normal(0, 1, m["T"].shape), np.r_[1.5, np.zeros(pii.TAGS - 1)]
+    m["T"][0, 0] += 3
+    texts = ["".join(chr(c) for c in r.integers(32, 127, n)) for n in (1, 47, 48, 49, 96, 700)]
+    sure, pii.SURE = pii.SURE, 0.0
+    try:
+        got = pii.tag_texts(m, ["", *texts])
+    finally:
+        pii.SURE = sure
+    assert got[0] == []
+    for text, spans in zip(texts, got[1:], strict=True):
+        total, weight = np.zeros((len(text) + pii.WINDOW, pii.TAGS)), np.zeros(len(text) + pii.WINDOW)
+        sym = np.pad(pii.symbols(text), (0, pii.WINDOW), constant_values=130)
+        for a in range(0, len(text), pii.STRIDE):
+            total[a:a + pii.WINDOW] += pii.emissions(m, sym[a:a + pii.WINDOW][None])[:, 0] * pii.WEIGHT[:, None]
+            weight[a:a + pii.WINDOW] += pii.WEIGHT
+        none = np.r_[0.0, np.full(pii.TAGS - 1, -1e4)][None]
+        e = np.concatenate([none, total[:len(text)] / weight[:len(text), None], none])
+        want = pii.viterbi(e[:, None], m["T"])[1:-1, 0]
+        have = np.zeros(len(text), np.int64)
+        for kind, lo, hi in spans:
+            have[lo:hi] = 1 + pii.KINDS.index(kind)
+        assert (have == (want + 1) // 2).all()
+
+
 def test_pii_query_keeps_base_spans(spark, edge_dir, odd_docs):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
