@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from demandflow.operators.metrics import r2_expr, score_expr
 
+# Trees of a preset: the reference fits 300 and more
+GBT_TREES = 300
+
 # Named presets standing in for the reference's three boosted models (depth /
 # step / subsampling / bins differ so their predictions differ).
 GBT_PRESETS = {
-    "gbt_a": dict(maxDepth=6, stepSize=0.15, subsamplingRate=0.8, maxIter=20, maxBins=64, seed=42),
-    "gbt_b": dict(maxDepth=5, stepSize=0.2, subsamplingRate=1.0, maxIter=15, maxBins=32,
+    "gbt_a": dict(maxDepth=6, stepSize=0.15, subsamplingRate=0.8, maxIter=GBT_TREES, maxBins=64, seed=42),
+    "gbt_b": dict(maxDepth=5, stepSize=0.2, subsamplingRate=1.0, maxIter=GBT_TREES, maxBins=32,
                   minInstancesPerNode=20, seed=42),
-    "gbt_c": dict(maxDepth=4, stepSize=0.25, subsamplingRate=0.7, maxIter=20, maxBins=128,
+    "gbt_c": dict(maxDepth=4, stepSize=0.25, subsamplingRate=0.7, maxIter=GBT_TREES, maxBins=128,
                   featureSubsetStrategy="sqrt", seed=42),
 }
 

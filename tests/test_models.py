@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from demandflow.operators import models as md
 from demandflow.plans import QUERIES
 from demandflow.sources.observations import observations
 
@@ -49,3 +50,9 @@ def test_write_and_weights_roundtrip(spark, sf_dir, n_target):
 def test_model_roundtrip_identical_predictions(spark, sf_dir):
     r = QUERIES["model_roundtrip"](spark, sf_dir).first()
     assert r["n"] > 0 and r["max_abs_diff"] == 0.0
+
+
+def test_presets_have_the_reference_tree_count(spark):
+    assert md.GBT_TREES >= 300
+    assert [md.gbt(["x"], "y", name).getStages()[-1].getMaxIter() for name in md.GBT_PRESETS] == [md.GBT_TREES] * 3
+    assert md.gbt(["x"], "y", "gbt_b", maxIter=7).getStages()[-1].getMaxIter() == 7
