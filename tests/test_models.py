@@ -56,3 +56,9 @@ def test_presets_have_the_reference_tree_count(spark):
     assert md.GBT_TREES >= 300
     assert [md.gbt(["x"], "y", name).getStages()[-1].getMaxIter() for name in md.GBT_PRESETS] == [md.GBT_TREES] * 3
     assert md.gbt(["x"], "y", "gbt_b", maxIter=7).getStages()[-1].getMaxIter() == 7
+
+
+def test_adversarial_classifier_defaults(spark):
+    c = md.gbt_classifier(["x"], "y").getStages()[-1]
+    assert (c.getMaxIter(), c.getMaxDepth(), c.getStepSize()) == (100, 5, 0.1)
+    assert md.gbt_classifier(["x"], "y", maxIter=3).getStages()[-1].getMaxIter() == 3
