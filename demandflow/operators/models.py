@@ -116,7 +116,7 @@ SEARCH_SPACE = {
     "maxDepth": ("int", 3, 8),
     "stepSize": ("logfloat", 0.02, 0.3),
     "subsamplingRate": ("float", 0.5, 1.0),
-    "maxIter": ("int", 10, 30),
+    "maxIter": ("int", 300, 1500),
 }
 
 
