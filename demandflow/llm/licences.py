@@ -196,6 +196,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
     def go(it):
         scanner = Scanner(phrases, notices)
+        shortest = min([2, *scanner.sizes[:scanner.n_phrases]])  # a phrase may be one word
         for b in batches_of(PIECE_BYTES)(it):
             w = Words(frame(b, "text"), ALNUM, fold=True)
             ids = scanner.ids(w.hashes())
@@ -205,7 +206,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
             stop = known.copy()
             stop[:-1] &= ~known[1:] | (w.doc[1:] != w.doc[:-1])
             begin, end = np.flatnonzero(new), np.flatnonzero(stop) + 1
-            long = end - begin >= 2
+            long = end - begin >= shortest
             base, matches = defaultdict(list), defaultdict(lambda: defaultdict(list))
             for lo, hi in zip(begin[long].tolist(), end[long].tolist(), strict=True):
                 d = int(w.doc[lo])

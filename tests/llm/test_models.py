@@ -199,6 +199,12 @@ def licence_texts():
             + ["intro " + mit + " code", apache.replace("applicable", "some"), " ".join(bsd.split()[:15]), mit.upper() + "\n" + apache] + edge_texts())
 
 
+def test_licence_phrase_of_one_word(spark):
+    docs = spark.createDataFrame([("unknown words then copyleft and more",), ("nothing here",)], "text string")
+    rows = licences.scan(docs, {"copyleft": "free", "mit license": "mit"}).collect()
+    assert [(r.n_base, r.first_word, r.base_labels) for r in rows] == [(1, 3, ["free"]), (0, None, [])]
+
+
 def test_licence_phrases_and_notices(spark):
     texts = licence_texts()
     rows = licences.scan(spark.createDataFrame(list(enumerate([*texts, None])), "score long, text string").withColumnRenamed("score", "i")).orderBy("i").collect()
