@@ -8,7 +8,7 @@ derive the digest columns from the operator's output.
 
 from importlib import import_module
 
-MODULES = ["quality", "linededup", "minhash", "decontaminate", "pieces", "langid", "licences", "lm", "substrings", "pii", "variants"]
+MODULES = ["quality", "linededup", "minhash", "decontaminate", "pieces", "langid", "licences", "lm", "substrings", "pii", "variants", "alignment", "gam"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
