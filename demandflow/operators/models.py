@@ -8,9 +8,6 @@ only fitted parameters, scores and trial tables reach the driver.
 
 from __future__ import annotations
 
-import json
-import random
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,7 +17,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandflow.operators.metrics import r2_expr, score_expr
+from demandflow.operators.fits import PATIENCE, Fit, FitPlan
+from demandflow.operators.metrics import r2_expr
 
 # Trees of a preset: the reference fits 300 and more
 GBT_TREES = 300
@@ -71,85 +69,22 @@ def score(df: DataFrame, y: str, p: str) -> tuple[float, float]:
     return float(r), max(0.0, 100.0 * float(r))
 
 
-def cv_oof(df: DataFrame, fold_col: str, key: str, pipe: Pipeline, label: str, test: DataFrame | None = None,
-           name: str = "model", parallelism: int = 3) -> tuple[DataFrame, DataFrame | None]:
-    """L3: out-of-fold predictions (fit on fold <> f, predict fold = f) as a long
-    table ``key, model, fold, label, oof``; test predictions averaged over the fold
-    models.  Fold fits are independent distributed jobs; ``parallelism`` of them
-    are submitted concurrently."""
-    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # k values
-
-    def run(f):
-        m = pipe.fit(df.where(F.col(fold_col) != f))
-        o = predict(m, df.where(F.col(fold_col) == f), "oof").select(key, F.lit(name).alias("model"),
-                                                                     F.lit(f).alias("fold"), label, "oof")
-        t = predict(m, test, "p").select(key, "p") if test is not None else None
-        return o, t
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(run, folds))
-    oof = parts[0][0]
-    for o, _ in parts[1:]:
-        oof = oof.unionByName(o)
-    test_avg = None
-    if test is not None:
-        tests = parts[0][1]
-        for _, t in parts[1:]:
-            tests = tests.unionByName(t)
-        test_avg = tests.groupBy(key).agg(F.avg("p").alias("test_pred"))
-    return oof, test_avg
-
-
-def early_stopping_fit(train: DataFrame, valid: DataFrame, features: list[str], label: str,
-                       preset: str = "gbt_a", max_iter: int = 500, tol: float = 0.001) -> tuple[PipelineModel, int]:
-    """L4: GBT with a validation indicator; Spark stops when the validation error
-    stops improving by ``tol``.  Returns the model and its tree count (reused for a refit)."""
-    both = train.withColumn("_is_valid", F.lit(False)).unionByName(valid.withColumn("_is_valid", F.lit(True)))
-    pipe = Pipeline(stages=[assembler(features), GBTRegressor(
-        featuresCol="features", labelCol=label, validationIndicatorCol="_is_valid", validationTol=tol,
-        **{**GBT_PRESETS[preset], "maxIter": max_iter})])
-    model = pipe.fit(both)
-    return model, model.stages[-1].getNumTrees
-
-
-SEARCH_SPACE = {
-    "maxDepth": ("int", 3, 8),
-    "stepSize": ("logfloat", 0.02, 0.3),
-    "subsamplingRate": ("float", 0.5, 1.0),
-    "maxIter": ("int", 300, 1500),
-}
-
-
-def draw_params(space: dict, rng: random.Random) -> dict:
-    out = {}
-    for k, (kind, lo, hi) in space.items():
-        if kind == "int":
-            out[k] = rng.randint(lo, hi)
-        elif kind == "float":
-            out[k] = rng.uniform(lo, hi)
-        else:
-            import math
-            out[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-    return out
-
-
-def random_search(train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 30,
-                  seed: int = 42, parallelism: int = 2, space: dict | None = None) -> DataFrame:
-    """Seeded random search over declared spaces; every trial is a distributed
-    fit; ``parallelism`` trials run concurrently.  Returns ``trial, params, r2, score``."""
-    rng = random.Random(seed)
-    trials = [(i, draw_params(space or SEARCH_SPACE, rng)) for i in range(n_trials)]
-
-    def run(t):
-        i, p = t
-        pipe = Pipeline(stages=[assembler(features),
-                                GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **p)])
-        r2, sc = score(fit_predict(pipe, train, valid), label, "pred")
-        return i, json.dumps(p, sort_keys=True), r2, sc
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        rows = list(ex.map(run, trials))
-    return train.sparkSession.createDataFrame(rows, "trial int, params string, r2 double, score double")
+def cv_oof(plan: FitPlan, fold_col: str, key: str, features: list[str], label: str, params: dict, test: DataFrame | None = None,
+           name: str = "model", patience: int | None = PATIENCE) -> tuple[DataFrame, DataFrame | None]:
+    """L3: out-of-fold predictions (fit on fold <> f, stopped by and predicting fold = f) as a long table ``key, model,
+    fold, label, oof``; test predictions averaged over the fold models.  The fold fits are one plan.  ``patience``
+    None: no early stopping."""
+    df = plan.frame
+    folds = [r[0] for r in df.select(fold_col).where(F.col(fold_col).isNotNull()).distinct().orderBy(fold_col).collect()]  # k values
+    fits = [Fit.of(f"{fold_col} <> {f}", features, label, params, None if patience is None else f"{fold_col} = {f}", patience or 0) for f in folds]
+    oof, tests = None, None
+    for f, fitted in zip(folds, plan.run(fits), strict=True):
+        o = predict(fitted.model, df.where(F.col(fold_col) == f), "oof").select(key, F.lit(name).alias("model"), F.lit(f).alias("fold"), label, "oof")
+        oof = o if oof is None else oof.unionByName(o)
+        if test is not None:
+            t = predict(fitted.model, test, "p").select(key, "p")
+            tests = t if tests is None else tests.unionByName(t)
+    return oof, None if tests is None else tests.groupBy(key).agg(F.avg("p").alias("test_pred"))
 
 
 def ridge_params(alpha: float, n: int, sigma_y_pop: float) -> dict:
@@ -199,10 +134,6 @@ def feature_importances(model: PipelineModel, features: list[str]) -> list[tuple
     return sorted(zip(features, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
 
 
-def score_row(df: DataFrame, y: str, p: str) -> DataFrame:
-    return df.agg(r2_expr(y, p).alias("r2")).withColumn("score", score_expr(F.col("r2")))
-
-
 def ols_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """L7 building block: the normal-equation moments of ``label ~ 1 + features`` in
     one aggregate -- ``X'X`` and ``X'y`` (plus ``y'y``) in long form ``a, b, value``.

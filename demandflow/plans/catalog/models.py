@@ -22,6 +22,7 @@ from demandflow.operators import importance as imp
 from demandflow.operators import metrics as mt
 from demandflow.operators import models as md
 from demandflow.operators import splits as sp
+from demandflow.operators.fits import Fit, FitPlan
 from demandflow.operators.order import global_row_number
 from demandflow.plans.catalog.ensemble import _GRID
 from demandflow.plans.catalog.forecast import _TS
@@ -36,8 +37,10 @@ CAT_FEATURES = ["road_type_encoded", "weather_encoded", "large_vehicles_encoded"
 NUM_FEATURES = ["temperature", "number_of_lanes", "n_missing"]
 GEO_FEATURES = ["te_geohash", "geohash_count"]
 FEATURES = TIME_FEATURES + CAT_FEATURES + NUM_FEATURES + GEO_FEATURES
-# Rows that Shapley values are taken of, trees that early stopping may reach, trials of a search
-SHAPLEY_ROWS, EARLY_STOP_TREES, TRIALS = 2000, 500, 30
+# Rows that Shapley values are taken of, trees that early stopping may reach
+SHAPLEY_ROWS, EARLY_STOP_TREES = 2000, 500
+# Predicates of the periods, and of the reference days that tuning fits stop by
+REF, TGT, LATE_DAYS = "day <= 20", "day > 20", "day > 15 and day <= 20"
 
 
 def model_frame(spark, sf):
@@ -58,23 +61,28 @@ def model_frame(spark, sf):
                  "geohash", "demand", *[F.col(c).cast("double").alias(c) for c in num])
     fitted = feat.fit_imputer(ref_of(o), CAT_FEATURES + NUM_FEATURES)
     o = feat.apply_imputer(o, fitted, CAT_FEATURES + NUM_FEATURES)
-    return materialize(o, "model-frame")
+    return materialize(o.withColumn("log_demand", log_target("demand")), "model-frame")
+
+
+def preset_fit(name: str, rows: str = REF, features: list[str] = FEATURES, label: str = "demand", valid: str | None = None, **params) -> Fit:
+    """A fit of a boosted preset on the rows of a model frame."""
+    return Fit.of(rows, features, label, {**md.GBT_PRESETS[name], **params}, valid)
+
+
+def _demand_of(prediction):
+    """The demand that a log-target prediction stands for."""
+    return clip(exp_target(prediction), 0.0, 1.0)
 
 
 @register("gbt_predictions")
 def q_gbt_predictions(spark, sf):
     """L1: three boosted-tree presets fit on the reference period, target-period predictions."""
     m = model_frame(spark, sf)
-    ref, tgt = ref_of(m), tgt_of(m)
-    def fit(name):  # the three presets are independent fits
-        return md.fit_predict(md.gbt(FEATURES, "demand", name), ref, tgt, name).select("idx", name)
-
-    with ThreadPoolExecutor(max_workers=3) as ex:
-        preds = list(ex.map(fit, list(md.GBT_PRESETS)))
-    out = tgt.select("idx", "demand")
-    for p in preds:
-        out = out.join(p, "idx")
-    return out
+    tgt = tgt_of(m)
+    out = tgt.select("idx", "demand", *FEATURES)
+    for name, fitted in zip(md.GBT_PRESETS, FitPlan(m).run([preset_fit(n) for n in md.GBT_PRESETS]), strict=True):
+        out = md.predict(fitted.model, out, name)
+    return out.select("idx", "demand", *md.GBT_PRESETS)
 
 
 @register("forest_predictions")
@@ -86,12 +94,11 @@ def q_forest_predictions(spark, sf):
 
 @register("cv_oof")
 def q_cv_oof(spark, sf):
-    """L3: 5-fold stratified out-of-fold predictions on the reference period and
-    fold-averaged target predictions."""
+    """L3 + L4: 5-fold stratified out-of-fold predictions on the reference period (each fold's model stopped by
+    patience on its fold) and fold-averaged target predictions."""
     m = model_frame(spark, sf)
     ref = materialize(sp.target_decile_folds(ref_of(m), "demand", "idx"), "folds")
-    oof, test = md.cv_oof(ref, "fold", "idx", md.gbt(FEATURES, "demand", "gbt_b"), "demand",
-                          tgt_of(m), "gbt_b")
+    oof, test = md.cv_oof(FitPlan(ref), "fold", "idx", FEATURES, "demand", md.GBT_PRESETS["gbt_b"], tgt_of(m), "gbt_b")
     test_rows = test.select("idx", F.lit("gbt_b_test").alias("model"), F.lit(-1).alias("fold"),
                             F.lit(None).cast("double").alias("demand"), F.col("test_pred").alias("oof"))
     return oof.unionByName(test_rows)
@@ -99,20 +106,12 @@ def q_cv_oof(spark, sf):
 
 @register("early_stop")
 def q_early_stop(spark, sf):
-    """L4: validation-indicator early stopping; tree count and validation score."""
+    """L4: early stopping by patience on the last days of the reference period, of at most 500 trees; the best tree
+    count, the rounds that were fitted, and the validation score of the cut model."""
     m = model_frame(spark, sf)
-    ref = ref_of(m)
-    train, valid = ref.where(F.col("day") <= 15), ref.where(F.col("day") > 15)
-    model, n_trees = md.early_stopping_fit(train, valid, FEATURES, "demand", "gbt_a", max_iter=EARLY_STOP_TREES)
-    r2, score = md.score(md.predict(model, valid), "demand", "pred")
-    return spark.createDataFrame([(int(n_trees), r2, score)], "n_trees int, valid_r2 double, valid_score double")
-
-
-@register("search_trials")
-def q_search_trials(spark, sf):
-    """Seeded random search (30 trials, 4 in parallel) scored on the target period."""
-    m = model_frame(spark, sf)
-    return md.random_search(ref_of(m), tgt_of(m), FEATURES, "demand", n_trials=TRIALS, seed=42, parallelism=4)
+    fitted = FitPlan(m).fit(preset_fit("gbt_a", "day <= 15", valid=LATE_DAYS, maxIter=EARLY_STOP_TREES))
+    r2, score = md.score(md.predict(fitted.model, m.where(LATE_DAYS)), "demand", "pred")
+    return spark.createDataFrame([(fitted.n_trees, fitted.n_fitted, r2, score)], "n_trees int, n_fitted int, valid_r2 double, valid_score double")
 
 
 @register("meta_models")
@@ -135,7 +134,8 @@ def q_final_predictions(spark, sf):
     """Refit on the labelled rows of both periods, predict the unlabelled ids, clip to [0, 1]."""
     m = model_frame(spark, sf)
     train, test = lookup_samples(m)
-    p = md.fit_predict(md.gbt(FEATURES, "demand", "gbt_a"), train, test, "p")
+    fitted = FitPlan(train).fit(preset_fit("gbt_a", "true"))
+    p = md.predict(fitted.model, test, "p")
     return p.select("idx", clip("p", 0.0, 1.0).alias("demand"))
 
 
@@ -170,45 +170,29 @@ def q_adversarial_auc(spark, sf):
 
 @register("validation_gap")
 def q_validation_gap(spark, sf):
-    """V8: mean R^2 of 5 CV folds on the reference period vs the time-holdout score; gap flag > 0.02."""
+    """V8: mean R^2 of 5 CV folds on the reference period vs the time-holdout score; gap flag > 0.02.
+
+    Both sides stop by patience on the rows that they are scored on, so that like is compared with like."""
     m = model_frame(spark, sf)
     ref = materialize(sp.target_decile_folds(ref_of(m), "demand", "idx"), "folds")
-    oof, _ = md.cv_oof(ref, "fold", "idx", md.gbt(FEATURES, "demand", "gbt_b"), "demand")
+    oof, _ = md.cv_oof(FitPlan(ref), "fold", "idx", FEATURES, "demand", md.GBT_PRESETS["gbt_b"])
     cv_r2 = mt.r2_score(oof, "demand", "oof", by=["fold"]).agg(F.avg("r2").alias("m")).first()["m"]
-    ho_r2, _ = md.score(md.fit_predict(md.gbt(FEATURES, "demand", "gbt_b"), ref_of(m), tgt_of(m)), "demand", "pred")
+    holdout = FitPlan(m).fit(preset_fit("gbt_b", valid=TGT))
+    ho_r2, _ = md.score(md.predict(holdout.model, tgt_of(m)), "demand", "pred")
     gap = cv_r2 - ho_r2
     return spark.createDataFrame([(cv_r2, ho_r2, gap, int(gap > 0.02))],
                                  "cv_r2 double, holdout_r2 double, gap double, leaky int")
 
 
-@register("ablation")
-def q_ablation(spark, sf):
-    """Score with and without each feature block (geohash statistics, time,
-    categories) in points of 100 * raw R^2; a block is kept when it adds more than 0.1 points."""
-    m = model_frame(spark, sf)
-    ref, tgt = ref_of(m), tgt_of(m)
-    blocks = {"geohash": GEO_FEATURES, "time": TIME_FEATURES, "categories": CAT_FEATURES}
-
-    def score_of(feats):
-        return md.points(md.fit_predict(md.gbt(feats, "demand", "gbt_b"), ref, tgt), "demand", "pred")
-
-    variants = {"all": FEATURES, **{b: [f for f in FEATURES if f not in fs] for b, fs in blocks.items()}}
-    with ThreadPoolExecutor(max_workers=4) as ex:  # independent fits
-        scores = dict(zip(variants, ex.map(score_of, variants.values())))
-    rows = [(b, scores["all"], scores[b], scores["all"] - scores[b], int(scores["all"] - scores[b] > 0.1))
-            for b in blocks]
-    return spark.createDataFrame(rows, "block string, score_with double, score_without double, diff double, keep int")
-
-
 @register("target_experiment")
 def q_target_experiment(spark, sf):
     """M7 + F19: raw vs log1p target (predictions expm1'd and clipped), both scored; the verdict
     compares points of raw R^2, +-0.5 being no difference."""
-    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
-    ref, tgt = ref_of(m), tgt_of(m)
-    raw = md.fit_predict(md.gbt(FEATURES, "demand", "gbt_b"), ref, tgt).withColumn("p", clip("pred", 0.0, 1.0))
-    lg = md.fit_predict(md.gbt(FEATURES, "log_demand", "gbt_b"), ref, tgt) \
-        .withColumn("p", clip(exp_target("pred"), 0.0, 1.0))
+    m = model_frame(spark, sf)
+    tgt = tgt_of(m)
+    by_raw, by_log = FitPlan(m).run([preset_fit("gbt_b"), preset_fit("gbt_b", label="log_demand")])
+    raw = md.predict(by_raw.model, tgt).withColumn("p", clip("pred", 0.0, 1.0))
+    lg = md.predict(by_log.model, tgt).withColumn("p", clip(exp_target("pred"), 0.0, 1.0))
     r_raw, s_raw = md.score(raw, "demand", "p")
     r_log, s_log = md.score(lg, "demand", "p")
     d = 100.0 * (r_log - r_raw)
@@ -235,10 +219,10 @@ def q_ts_forecast(spark, sf):
     med = materialize(feat.fit_imputer(f, feats), "ts-medians")
     f = materialize(feat.apply_imputer(f, med, feats), "ts-features")
     ahead = feat.apply_imputer(frame(unlabelled, F.lit(None).cast("double").alias("demand")), med, feats)
-    model, n_trees = md.early_stopping_fit(f.where(F.col("slot") <= 5), f.where(F.col("slot") > 5), feats,
-                                           "demand", "gbt_b", max_iter=EARLY_STOP_TREES)
-    final = md.gbt(feats, "demand", "gbt_b", maxIter=max(1, int(n_trees))).fit(f)
-    return md.predict(final, ahead, "forecast").select("idx", "forecast", F.lit(int(n_trees)).alias("n_trees"))
+    plan = FitPlan(f)
+    n_trees = plan.fit(preset_fit("gbt_b", "slot <= 5", features=feats, valid="slot > 5", maxIter=EARLY_STOP_TREES)).n_trees
+    final = plan.fit(preset_fit("gbt_b", "true", features=feats, maxIter=n_trees))
+    return md.predict(final.model, ahead, "forecast").select("idx", "forecast", F.lit(n_trees).alias("n_trees"))
 
 
 @register("encoding_bakeoff_model")
@@ -247,23 +231,19 @@ def q_encoding_bakeoff_model(spark, sf):
     with the geohash encoding swapped between mean, median and smoothed (all fit on
     the reference period), log target, predictions expm1'd and clipped, scored on
     the target period; best by raw R^2 (name tie-break)."""
-    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
+    m = model_frame(spark, sf)
     ref = ref_of(m)
     variants = {"mean": enc.fit_mean(ref, ["geohash"], "demand"),
                 "median": enc.fit_median(ref, ["geohash"], "demand"),
                 "smoothed": enc.fit_smoothed(ref, ["geohash"], "demand", alpha=10.0)}
     base = [f for f in FEATURES if f != "te_geohash"]
-
-    def run(item):
-        name, fitted = item
-        d = enc.apply_mean(m, fitted, ["geohash"], "encoded_demand")
-        p = md.fit_predict(md.gbt([*base, "encoded_demand"], "log_demand", "gbt_b"), ref_of(d), tgt_of(d))
-        p = p.withColumn("p", clip(exp_target("pred"), 0.0, 1.0))
-        r2, score = md.score(p, "demand", "p")
-        return name, r2, score
-
-    with ThreadPoolExecutor(max_workers=3) as ex:
-        rows = list(ex.map(run, variants.items()))
+    for name, fitted in variants.items():
+        m = enc.apply_mean(m, fitted, ["geohash"], f"by_{name}")
+    m = materialize(m, "encoded-frame")
+    fits = FitPlan(m).run([preset_fit("gbt_b", label="log_demand", features=[*base, f"by_{v}"]) for v in variants])
+    rows = []
+    for name, x in zip(variants, fits, strict=True):
+        rows.append((name, *md.score(md.predict(x.model, tgt_of(m)).withColumn("p", _demand_of("pred")), "demand", "p")))
     scores = spark.createDataFrame(rows, "encoding string, r2 double, score double")
     return ens.rank_scores(scores, "r2", "encoding")
 
@@ -318,22 +298,17 @@ def q_native_categories(spark, sf):
 def q_gain_importance(spark, sf):
     """Gain importances of a boosted model, sorted."""
     m = model_frame(spark, sf)
-    model = md.gbt(FEATURES, "demand", "gbt_a").fit(ref_of(m))
+    model = FitPlan(m).fit(preset_fit("gbt_a")).model
     rows = [(f, v, i + 1) for i, (f, v) in enumerate(md.feature_importances(model, FEATURES))]
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
-def _demand_of(prediction):
-    """The demand that a log-target prediction stands for."""
-    return clip(exp_target(prediction), 0.0, 1.0)
-
-
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
     """Permutation importance (3 seeded repeats) on the target period, in points of the
     clipped prediction of a log-target model."""
-    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
-    model = md.gbt(FEATURES, "log_demand", "gbt_a").fit(ref_of(m))
+    m = model_frame(spark, sf)
+    model = FitPlan(m).fit(preset_fit("gbt_a", label="log_demand")).model
     return imp.permutation_importance(model, tgt_of(m), FEATURES, "demand", "idx", points_of=_demand_of)
 
 
@@ -341,7 +316,7 @@ def q_permutation_importance(spark, sf):
 def q_shapley_importance(spark, sf):
     """Mean |Shapley| per feature from sampled permutations (2,000 rows x 4 orders)."""
     m = model_frame(spark, sf)
-    model = md.gbt(FEATURES, "demand", "gbt_a").fit(ref_of(m))
+    model = FitPlan(m).fit(preset_fit("gbt_a")).model
     sample = sp.hash_sample(tgt_of(m), "idx", SHAPLEY_ROWS)
     background = ref_of(m).agg(*[F.avg(f).alias(f) for f in FEATURES])
     return imp.shapley_importance(model, sample, background, FEATURES, "idx", n_perms=4)
@@ -351,9 +326,9 @@ def q_shapley_importance(spark, sf):
 def q_feature_elimination(spark, sf):
     """Drop features whose permutation importance is <= 0.001 points, refit, keep the
     reduced set only if it wins by more than 0.05 points (log target, clipped predictions)."""
-    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
-    ref, tgt = ref_of(m), tgt_of(m)
-    model = md.gbt(FEATURES, "log_demand", "gbt_b").fit(ref)
+    m = model_frame(spark, sf)
+    tgt, plan = tgt_of(m), FitPlan(m)
+    model = plan.fit(preset_fit("gbt_b", label="log_demand")).model
     pi = imp.permutation_importance(model, tgt, FEATURES, "demand", "idx", points_of=_demand_of)
     weak = [r["feature"] for r in pi.where(F.col("importance_mean") <= 0.001).collect()]  # <= one row per feature
     kept = [f for f in FEATURES if f not in weak] or FEATURES
@@ -361,7 +336,7 @@ def q_feature_elimination(spark, sf):
         return md.points(pred.withColumn("p", _demand_of("pred")), "demand", "p")
 
     s_all = points(md.predict(model, tgt))
-    s_red = points(md.fit_predict(md.gbt(kept, "log_demand", "gbt_b"), ref, tgt))
+    s_red = points(md.predict(plan.fit(preset_fit("gbt_b", label="log_demand", features=kept)).model, tgt))
     return spark.createDataFrame([(json.dumps(weak), len(kept), s_all, s_red, int(s_red - s_all > 0.05))],
                                  "dropped string, n_kept int, score_all double, score_reduced double, keep_reduced int")
 
@@ -370,39 +345,30 @@ def q_feature_elimination(spark, sf):
 def q_stacking(spark, sf):
     """Rolling pseudo-OOF of three boosted presets (log target) on the reference
     period -> meta regressions -> applied to the target-period predictions of the
-    same presets fit on the whole reference period -> clipped -> scored."""
-    m = model_frame(spark, sf).withColumn("log_demand", log_target("demand"))
+    same presets fit on the whole reference period -> clipped -> scored.
+
+    The presets' tree counts are tuned first: stopped by patience on the last days of the reference period."""
+    m = model_frame(spark, sf)
     ref, tgt = ref_of(m), tgt_of(m)
     # expanding folds as ranges of the row position, which is attached (and written) once
     numbered = global_row_number(ref, ["day", "slot", "idx"], "_rn")
     n_rows = numbered.count()
     size = n_rows // 6
     names = list(md.GBT_PRESETS)
-
-    def run(task):
-        i, n = task
-        start = n_rows - (5 - i) * size
-        tr = numbered.where(F.col("_rn") <= start)
-        va = numbered.where((F.col("_rn") > start) & (F.col("_rn") <= start + size))
-        return md.fit_predict(md.gbt(FEATURES, "log_demand", n), tr, va, "p").select(
-            "idx", F.lit(n).alias("model"), clip(exp_target("p"), 0.0, 1.0).alias("pred"))
-
-    # 15 independent (fold, preset) fits, submitted 4 at a time
-    with ThreadPoolExecutor(max_workers=4) as ex:
-        parts = list(ex.map(run, [(i, n) for i in range(5) for n in names]))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
+    plan = FitPlan(numbered)
+    tuned = plan.run([preset_fit(n, "day <= 15", label="log_demand", valid=LATE_DAYS) for n in names])
+    trees = {n: x.n_trees for n, x in zip(names, tuned, strict=True)}
+    starts = [n_rows - (5 - i) * size for i in range(5)]
+    jobs = [(f"_rn <= {at}", f"_rn > {at} and _rn <= {at + size}", n) for at in starts for n in names] + [("true", None, n) for n in names]
+    fits = plan.run([preset_fit(n, rows, label="log_demand", maxIter=trees[n]) for rows, _, n in jobs])
+    oof, tgt_preds = None, tgt
+    for (_, held, n), x in zip(jobs, fits, strict=True):
+        if held is None:
+            tgt_preds = md.predict(x.model, tgt_preds, "p").withColumn(n, _demand_of("p")).drop("p")
+        else:
+            part = md.predict(x.model, numbered.where(held), "p").select("idx", F.lit(n).alias("model"), _demand_of("p").alias("pred"))
+            oof = part if oof is None else oof.unionByName(part)
     meta_x = ens.align(oof, "idx", names).join(ref.select("idx", "demand"), "idx")
-    def full(n):  # each preset refit on the whole reference period
-        return md.fit_predict(md.gbt(FEATURES, "log_demand", n), ref, tgt, "p").select(
-            "idx", clip(exp_target("p"), 0.0, 1.0).alias(n))
-
-    with ThreadPoolExecutor(max_workers=3) as ex:
-        fulls = list(ex.map(full, names))
-    tgt_preds = tgt.select("idx", "demand")
-    for p in fulls:
-        tgt_preds = tgt_preds.join(p, "idx")
     rows = []
     for name, model in md.meta_models(meta_x, names, "demand").items():
         pr = model.transform(tgt_preds).withColumn("p", clip("prediction", 0.0, 1.0))
@@ -448,7 +414,7 @@ def q_weights_roundtrip(spark, sf):
 def q_model_roundtrip(spark, sf):
     """IO6: save a fitted pipeline, load it, compare predictions and parameters."""
     m = model_frame(spark, sf)
-    model = md.gbt(FEATURES, "demand", "gbt_b").fit(ref_of(m))
+    model = FitPlan(m).fit(preset_fit("gbt_b")).model
     path = io.scratch_path(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
