@@ -14,15 +14,18 @@ SIX_TIERS = [["day", "geohash", "timestamp", "road"], ["day", "geohash", "timest
              ["geohash", "timestamp", "road"], ["geohash", "timestamp"], ["geohash"]]
 FOUR_TIERS = [["geohash", "timestamp", "road"], ["geohash", "timestamp"], ["geohash"]]
 
+# The mean from an exact sum: decimals added in any order, divided once (as the operator does)
+_MEAN = "(cast(sum(cast(demand AS decimal(28, 9))) AS double) / count(demand))"
+
 _SAMPLES = [
     "tr AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE idx % 5 <> 0)",
     "te AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE idx % 5 = 0)",
-    "l1 AS (SELECT day, geohash, timestamp, road, avg(demand) AS m FROM tr GROUP BY day, geohash, timestamp, road)",
-    "l2 AS (SELECT day, geohash, timestamp, avg(demand) AS m FROM tr GROUP BY day, geohash, timestamp)",
-    "l3 AS (SELECT geohash, timestamp, road, avg(demand) AS m FROM tr GROUP BY geohash, timestamp, road)",
-    "l4 AS (SELECT geohash, timestamp, avg(demand) AS m FROM tr GROUP BY geohash, timestamp)",
-    "l5 AS (SELECT geohash, avg(demand) AS m FROM tr GROUP BY geohash)",
-    "gm AS (SELECT avg(demand) AS g FROM tr)",
+    f"l1 AS (SELECT day, geohash, timestamp, road, {_MEAN} AS m FROM tr GROUP BY day, geohash, timestamp, road)",
+    f"l2 AS (SELECT day, geohash, timestamp, {_MEAN} AS m FROM tr GROUP BY day, geohash, timestamp)",
+    f"l3 AS (SELECT geohash, timestamp, road, {_MEAN} AS m FROM tr GROUP BY geohash, timestamp, road)",
+    f"l4 AS (SELECT geohash, timestamp, {_MEAN} AS m FROM tr GROUP BY geohash, timestamp)",
+    f"l5 AS (SELECT geohash, {_MEAN} AS m FROM tr GROUP BY geohash)",
+    f"gm AS (SELECT {_MEAN} AS g FROM tr)",
     """lk AS (SELECT te.idx, coalesce(l1.m, l2.m, l3.m, l4.m, l5.m, gm.g) AS pred,
        CASE WHEN l1.m IS NOT NULL THEN 1 WHEN l2.m IS NOT NULL THEN 2 WHEN l3.m IS NOT NULL THEN 3
             WHEN l4.m IS NOT NULL THEN 4 WHEN l5.m IS NOT NULL THEN 5 ELSE 6 END AS tier
@@ -59,12 +62,12 @@ SELECT count(*) AS n, {R('1 - sum((demand - p) * (demand - p)) / (var_pop(demand
        {R('greatest(0.0, 100 * (1 - sum((demand - p) * (demand - p)) / (var_pop(demand) * count(*))))')} AS score
 FROM (SELECT t.demand, coalesce(a.m, b.m, c.m, g.g) AS p
       FROM tg t
-      LEFT JOIN (SELECT geohash, timestamp, road, avg(demand) AS m FROM rf GROUP BY geohash, timestamp, road) a
+      LEFT JOIN (SELECT geohash, timestamp, road, {_MEAN} AS m FROM rf GROUP BY geohash, timestamp, road) a
         USING (geohash, timestamp, road)
-      LEFT JOIN (SELECT geohash, timestamp, avg(demand) AS m FROM rf GROUP BY geohash, timestamp) b
+      LEFT JOIN (SELECT geohash, timestamp, {_MEAN} AS m FROM rf GROUP BY geohash, timestamp) b
         USING (geohash, timestamp)
-      LEFT JOIN (SELECT geohash, avg(demand) AS m FROM rf GROUP BY geohash) c USING (geohash)
-      CROSS JOIN (SELECT avg(demand) AS g FROM rf) g) s""",
+      LEFT JOIN (SELECT geohash, {_MEAN} AS m FROM rf GROUP BY geohash) c USING (geohash)
+      CROSS JOIN (SELECT {_MEAN} AS g FROM rf) g) s""",
     "rf AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE day <= 20)",
     "tg AS (SELECT *, coalesce(road_type, 'MISSING') AS road FROM obs WHERE day > 20)"))
 def q_tiered_lookup_score(spark, sf):
