@@ -1,5 +1,5 @@
 """Query catalogue, one module per operator family (importing registers)."""
 
 from demandflow.plans.catalog import (  # noqa: F401
-    encoding, ensemble, features, forecast, io, lookup, metrics, models, order, profile, splits,
+    ablation, encoding, ensemble, features, forecast, io, lookup, metrics, models, order, profile, splits, tuning,
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demandflow.functions.numeric import round_doubles
 from demandflow.operators import splits as sp
+from demandflow.operators.leakage import leakage_audit
 from demandflow.plans.catalog.order import QBIN_SQL
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
 from demandflow.plans.registry import R, register, with_obs
@@ -102,6 +103,46 @@ def q_leakage_report(spark, sf):
     return round_doubles(rep)
 
 
+_AUDIT_PAIRS = {"folds": ("fold_train", "fold_valid"), "train_test": ("train", "test")}
+_CATEGORIES = ["road_type", "weather"]
+
+
+def _audit_sql() -> str:
+    """Every part of the audit by plain set and count queries over the samples."""
+    parts = []
+    for name, (a, b) in _AUDIT_PAIRS.items():
+        for item, key in _KEYSETS:
+            one = _cov_sql(item, key, a, b)
+            parts.append(f"SELECT 'overlap' AS part, '{name}' AS comparison, key AS item, NULL AS level, n_a, n_b, n_shared, pct_shared AS pct_a, pct_unseen AS pct_b, "
+                         f"CASE WHEN pct_shared >= 10 THEN 'high_overlap' ELSE 'low_overlap' END AS verdict FROM ({one}) x")
+        for c in _CATEGORIES:
+            def share(t, c=c):
+                return f"(SELECT {c} AS v, count(*) AS n, count(*) * 100.0 / (SELECT count({c}) FROM {t}) AS pct FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})"
+            parts.append(f"SELECT 'share', '{name}', '{c}', coalesce(x.v, y.v), coalesce(x.n, 0), coalesce(y.n, 0), least(coalesce(x.n, 0), coalesce(y.n, 0)), "
+                         f"{R('coalesce(x.pct, 0.0)')}, {R('coalesce(y.pct, 0.0)')}, CASE WHEN abs(coalesce(x.pct, 0.0) - coalesce(y.pct, 0.0)) > 5 THEN 'shifted' ELSE 'alike' END "
+                         f"FROM {share(a)} x FULL JOIN {share(b)} y ON x.v = y.v")
+    parts.append(f"SELECT 'repeated', 'train', 'geohash+timestamp', NULL, cast(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS bigint), count(*) FILTER (WHERE n > 1), 0, "
+                 f"{R('sum(CASE WHEN n > 1 THEN n ELSE 0 END) * 100.0 / sum(n)')}, {R('count(*) FILTER (WHERE n > 1) * 100.0 / count(*)')}, "
+                 "CASE WHEN max(n) > 1 THEN 'repeated' ELSE 'unique' END FROM (SELECT count(*) AS n FROM train WHERE geohash IS NOT NULL AND timestamp IS NOT NULL GROUP BY geohash, timestamp) k")
+    for item, key in _KEYSETS:
+        f, t = (f"(SELECT pct_shared FROM ({_cov_sql(item, key, a, b)}) x)" for a, b in _AUDIT_PAIRS.values())
+        parts.append(f"SELECT 'verdict', 'folds/train_test', '{item}', NULL, NULL, NULL, NULL, {f}, {t}, "
+                     f"CASE WHEN {f} < 10 THEN 'safe' WHEN {t} < 10 THEN 'folds_leak' ELSE 'known_keys' END")
+    samples = {"train": "idx % 5 <> 0", "test": "idx % 5 = 0", "fold_train": "idx % 5 <> 0 AND fold <> 0", "fold_valid": "idx % 5 <> 0 AND fold = 0"}
+    return with_obs(" UNION ALL ".join(parts), QBIN_SQL, FOLDS_SQL, *[f"{n} AS (SELECT * FROM fo WHERE {w})" for n, w in samples.items()])
+
+
+@register("leakage_audit", _audit_sql())
+def q_leakage_audit(spark, sf):
+    """V7: key overlaps, category shares, repeated keys and verdicts of fold 0 against the other folds and of the labelled against
+    the unlabelled rows, from one aggregate."""
+    f = sp.target_decile_folds(obs(spark, sf), "demand", "idx")
+    train = F.col("idx") % 5 != 0
+    samples = {"train": train, "test": ~train, "fold_train": train & (F.col("fold") != 0), "fold_valid": train & (F.col("fold") == 0)}
+    return round_doubles(leakage_audit(f, samples, _AUDIT_PAIRS, {"geohash": ["geohash"], "timestamp": ["timestamp"], "geohash+timestamp": ["geohash", "timestamp"]},
+                                       _CATEGORIES, ("train", "geohash+timestamp")))
+
+
 @register("union_flagged", with_obs("""
 SELECT idx, 0 AS is_test FROM obs WHERE day <= 20 UNION ALL SELECT idx, 1 AS is_test FROM obs WHERE day > 20"""))
 def q_union_flagged(spark, sf):
