@@ -131,6 +131,20 @@ def fit_level_mix(df: DataFrame, key: str, col: str, levels: dict | None = None,
     return _nonnull(df, [key]).groupBy(key).agg(*aggs)
 
 
+def observed_level_mix(df: DataFrame, key: str, col: str, prefix: str) -> DataFrame:
+    """F21 + E7: one-hot by the levels that are observed, then the mean per ``key``: columns ``<prefix>_<level>``.
+
+    A missing level counts in the denominator only.  Levels come from one aggregate (Spark's pivot refuses more than
+    ``spark.sql.pivotMaxValues``), shares from counts per (key, level)."""
+    per = _nonnull(df, [key]).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
+    levels = [r[0] for r in per.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(
+        int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000")) + 1).collect()]
+    wide = per.groupBy(key).pivot(col, levels).agg(F.sum("_c")) if levels else per.select(key).distinct()
+    total = per.groupBy(F.col(key).alias("_k")).agg(F.sum("_c").alias("_n"))
+    j = wide.join(total, F.col(key) == F.col("_k"))
+    return j.select(key, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) / F.col("_n")).alias(f"{prefix}_{v}") for v in levels])
+
+
 # --- E8 / E9 stats -------------------------------------------------------------------
 def fit_group_stats(df: DataFrame, key: str, value: str, prefix: str,
                     stats=("mean", "std", "min", "max"), std_null_as_zero: bool = False) -> DataFrame:

@@ -31,6 +31,11 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
+def column_types(df: DataFrame) -> DataFrame:
+    """Column list with positions (from 1) and types; read from the schema, no pass over the rows."""
+    return df.sparkSession.createDataFrame([(i + 1, c, t) for i, (c, t) in enumerate(df.dtypes)], "position int, column string, dtype string")
+
+
 def missing_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Null count and percent (2 dp) per column; only columns with nulls."""
     cols = cols or df.columns
@@ -119,11 +124,6 @@ def distribution_compare(a: DataFrame, b: DataFrame, cols, names=("a", "b"), dp:
                     round_dp(share[1], dp).alias(f"share_{names[1]}"))
 
 
-def histogram(df: DataFrame, col: str, bins: int, series: str | None = None) -> DataFrame:
-    """Equal-width histogram over [min, max], last bin closed."""
-    return histograms(df, {series or col: (col, bins)})
-
-
 def histograms(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
     """P9 for several series in two passes total: one aggregate of every range,
     then one melted pass that bins and counts all series together."""

@@ -112,6 +112,18 @@ def q_geo_weather_mix(spark, sf):
     return round_doubles(out.select("idx", *[f"geo_weather_{i}" for i in (0, 1, 2, 3, "other")]))
 
 
+@register("geo_weather_onehot", with_obs(
+    "SELECT t.idx, " + ", ".join(f"{R(f'm.w_{w}')} AS geo_weather_{w}" for w in ("Cloudy", "Rainy", "Snowy", "Sunny")) + """
+FROM tgt t LEFT JOIN (SELECT geohash, """ + ", ".join(
+        f"sum(CASE WHEN weather = '{w}' THEN 1 ELSE 0 END) / cast(count(*) AS double) AS w_{w}" for w in ("Cloudy", "Rainy", "Snowy", "Sunny"))
+    + " FROM ref GROUP BY geohash) m ON t.geohash = m.geohash", _REF, _TGT))
+def q_geo_weather_onehot(spark, sf):
+    """one-hot by the levels that the reference period shows, mean per geohash, left-joined."""
+    o = obs(spark, sf)
+    mix = enc.observed_level_mix(ref_of(o), "geohash", "weather", "geo_weather")
+    return round_doubles(tgt_of(o).select("idx", "geohash").join(mix, on="geohash", how="left").drop("geohash"))
+
+
 _FILLED_ALL = """filled AS (SELECT o.*, coalesce(temperature, (SELECT quantile_cont(temperature, 0.5) FROM obs)) AS tf,
   coalesce(number_of_lanes, (SELECT quantile_cont(number_of_lanes, 0.5) FROM obs)) AS lf FROM obs_t o)"""
 

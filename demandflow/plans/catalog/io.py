@@ -10,6 +10,7 @@ from demandflow.plans.catalog.forecast import _TS
 from demandflow.plans.common import obs, obs_t, ref_of, tgt_of
 from demandflow.plans.registry import R, register, with_obs
 from demandflow.sources import io
+from demandflow.sources.observations import OBS_COLUMNS
 
 
 @register("read_observations", with_obs(
@@ -47,3 +48,18 @@ def q_output_contract(spark, sf):
     ref, tgt = ref_of(o), tgt_of(o)
     preds = fc.ts_features(tgt, fc.fit_templates(ref, tgt)).select("idx", "heuristic_demand")
     return round_doubles(io.check_output(preds, tgt.select("idx"), "idx", "heuristic_demand"))
+
+
+@register("ingest_report", with_obs(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) AS n_rows, cast(sum(cast({c} IS NULL AS int)) AS bigint) AS n_missing, "
+        f"cast({'sum(cast(idx % 7 = 0 AS int))' if c == 'number_of_lanes' else '0'} AS bigint) AS n_malformed FROM "
+        f"(SELECT * REPLACE (CASE WHEN idx % 7 = 0 THEN 0.0 ELSE number_of_lanes END AS number_of_lanes) FROM obs) o"
+        for c in OBS_COLUMNS) + ") x"))
+def q_ingest_report(spark, sf):
+    """IO1 + P2: the observation table as a CSV in which every seventh row has a text for a number, read in one pass with counters."""
+    o = obs(spark, sf)
+    lanes = F.when(F.col("idx") % 7 == 0, "many").otherwise(F.col("number_of_lanes").cast("string"))
+    path = io.write_table(o.withColumn("number_of_lanes", lanes), io.scratch_path(spark, "spoilt-csv"), "csv")
+    c = io.ingest_observations(spark, path).counts
+    return spark.createDataFrame([(n, c["rows"], c[f"missing_{n}"], c[f"malformed_{n}"]) for n in OBS_COLUMNS], "column string, n_rows long, n_missing long, n_malformed long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from demandflow.functions.numeric import round_doubles
 from demandflow.operators import profile as pr
 from demandflow.plans.common import obs, ref_of, tgt_of
@@ -22,6 +24,16 @@ def q_table_shape(spark, sf):
     return pr.table_shape(obs(spark, sf))
 
 
+_TYPE_NAMES = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE t END"
+
+
+@register("column_types", with_obs(" UNION ALL ".join(
+    f"SELECT {i + 1} AS position, '{c}' AS column, {_TYPE_NAMES} AS dtype FROM (SELECT typeof({c}) AS t FROM obs LIMIT 1) x{i}" for i, c in enumerate(OBS_COLUMNS))))
+def q_column_types(spark, sf):
+    """Columns and types of the observation table."""
+    return pr.column_types(obs(spark, sf))
+
+
 @register("missing_report", with_obs(
     "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column, cast(sum(cast({c} IS NULL AS int)) AS bigint) AS missing_count, "
@@ -109,6 +121,15 @@ def q_histogram(spark, sf):
     return pr.histograms(obs(spark, sf), {c: (c, n) for c, n in _HIST})
 
 
+@register("histogram_log", with_obs(
+    "SELECT cast(CASE WHEN mx = mn THEN 0 ELSE least(floor((v - mn) / (mx - mn) * 100), 99) END AS int) AS bin, count(*) AS n, 'log1p_demand' AS series "
+    "FROM (SELECT ln(1 + demand) AS v FROM obs WHERE demand IS NOT NULL) o CROSS JOIN (SELECT min(ln(1 + demand)) AS mn, max(ln(1 + demand)) AS mx FROM obs) r GROUP BY 1"))
+def q_histogram_log(spark, sf):
+    """The histogram of the log target beside the raw one (ln(1 + x), 100 bins)."""
+    o = obs(spark, sf).withColumn("log1p_demand", F.log(F.lit(1.0) + F.col("demand")))
+    return pr.histograms(o, {"log1p_demand": ("log1p_demand", 100)})
+
+
 _MISS_COLS = ["road_type", "number_of_lanes", "temperature", "weather"]
 
 
