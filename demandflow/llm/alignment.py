@@ -5,11 +5,11 @@ ends cut the text into groups; every token of one tokenizer is linked with every
 
 Counting (in how many documents an id pair is linked) goes by a minimal perfect hash:
 
-1. tasks give the distinct pairs of their documents, Spark makes them distinct over the corpus;
+1. tasks give the pairs of their documents, each with its number of documents; Spark makes them distinct over the corpus;
 2. pairs are dealt to slices by a hash; a task per slice builds its minimal perfect hash (levels of bit arrays: a pair that is
    alone at its place of a level stays there, the others go on to the next; a pair's number is the rank of its bit), and
    puts the pairs in this order, the keys against which each look-up is verified;
-3. per chunk of slices (a bounded number of pairs), tasks count their documents into a dense vector indexed by the hash;
+3. per chunk of slices (a bounded number of pairs), tasks add those numbers up in a dense vector indexed by the hash;
    the vectors are summed slice by slice in a tree, so that no task ever gets more than ``FAN`` vectors of a slice;
 4. a second pass aligns the documents again and looks the counts up.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,15 @@ CHUNK_PAIRS = 1 << 22
 #: Distinct pairs that a task holds before it gives them away
 HELD_PAIRS = 1 << 22
 FAN = 8
-#: Ids of this many bytes go to one leaf of the tree of sums, if there are enough leaves for all cores
-LEAF_BYTES = 1 << 28
+#: Rows of task counts that go to one leaf of the tree of sums, if there are enough leaves for all cores
+LEAF_ROWS = 1 << 24
 CELLS = 1 << 16
 #: Bits per key of a level
 GAMMA = 2
+#: Marked words whose B ids a Python worker keeps, and the longest of them; when there are more, all are forgotten and encoded as they come
+MEMORY, KEPT_CHARS = 300_000, 64
+#: A run of spaces and the other characters after it
+MARKED = re.compile(" +[^ ]*")
 
 
 # --- tokenizers ------------------------------------------------------------------------------------
@@ -111,25 +116,48 @@ class Pair:
             self.b_raw = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
                           for i in range(self.n_b)]
             self.len_a, self.len_b = np.array([len(x) for x in self.a_raw]), np.array([len(x) for x in self.b_raw])
+            # where no piece has a space after another character, no merge crosses the start of a run of spaces, and a text's ids are
+            # those of its marked words
+            self.by_words = all("▁" not in b.id_to_piece(i).lstrip("▁") for i in range(self.n_b) if not b.is_control(i) and not b.is_unknown(i))
+            self.mark, self.words, self.misspelt = b.piece_to_id("▁"), {}, set()
             Pair._open = {self.key: self}
         return Pair._open[self.key]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(A ids, B ids) of each text; none where one of them does not spell space + text."""
-        none = np.zeros(0, np.uint16)
+    @property
+    def width(self):
+        return np.uint16 if max(self.n_a, self.n_b) <= 1 << 16 else np.uint32
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Keeps the ids of marked words, and which of them their pieces do not spell."""
+        ids = self.b.encode([w[1:] for w in words], num_threads=1)
+        for w, x in zip(words, ids, strict=True):
+            x = x or [self.mark]  # a single space: the library adds none to an empty text
+            self.words[w] = np.array(x, self.width).tobytes()
+            if b"".join(map(self.b_raw.__getitem__, x)) != w.encode():
+                self.misspelt.add(w)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(A ids, B ids) of each text, as numbers of ``width``; none where one of them does not spell space + text."""
+        marked = [MARKED.findall(" " + t) if t else [] for t in texts] if self.by_words else [[" " + t] if t else [] for t in texts]
+        if len(self.words) > MEMORY:
+            self.words, self.misspelt = {}, set()
+        self._encode_words(list({w for ws in marked for w in ws}.difference(self.words)))
         out = []
-        for t, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            raw = (" " + t).encode()
-            a = self.a.encode_to_numpy(" " + t, disallowed_special=()) if t else none
-            ok = t and b"".join(map(self.b_raw.__getitem__, b)) == raw and b"".join(map(self.a_raw.__getitem__, a.tolist())) == raw
-            out.append((a, np.array(b)) if ok else (none, none))
+        for t, ws in zip(texts, marked, strict=True):
+            b = b"".join(map(self.words.__getitem__, ws))
+            a = self.a.encode_to_numpy(" " + t, disallowed_special=()) if t else np.zeros(0, np.int64)
+            # every byte is a token of A, so that its tokens spell any text; the length is looked at all the same
+            ok = t and (not self.misspelt or self.misspelt.isdisjoint(ws)) and int(self.len_a[a].sum()) == len(t.encode()) + 1
+            out.append((a.astype(self.width).tobytes(), b) if ok else (b"", b""))
+        for w in [w for w in self.words if len(w) > KEPT_CHARS]:
+            del self.words[w]
+            self.misspelt.discard(w)
         return out
 
 
 def encode_both(docs: DataFrame, pair: Pair) -> DataFrame:
     """_row (a number of its own for each row), doc_id, a, b: the ids of docs' texts, 16 or 32 bits each, written once."""
     known = docs.sparkSession.sparkContext.broadcast(pair)
-    width = np.uint16 if max(pair.n_a, pair.n_b) <= 1 << 16 else np.uint32
     kind = dict(docs.dtypes)["doc_id"]
 
     def go(it):
@@ -137,7 +165,7 @@ def encode_both(docs: DataFrame, pair: Pair) -> DataFrame:
         for batch in batches_of(TEXT_BYTES)(it):
             ids = p.encode(frame(batch, "text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [frame(batch, "_row"), frame(batch, "doc_id"), *[pa.array([x[k].astype(width).tobytes() for x in ids], pa.binary()) for k in (0, 1)]],
+                [frame(batch, "_row"), frame(batch, "doc_id"), *[pa.array([x[k] for x in ids], pa.binary()) for k in (0, 1)]],
                 names=["_row", "doc_id", "a", "b"])
 
     path = scratch_path(docs.sparkSession, "tokens")
@@ -164,9 +192,8 @@ class Aligned:
 
     def __init__(self, batch: pa.RecordBatch, pair: Pair, step_links: int = STEP_LINKS, big_group: int = BIG_GROUP):
         self.pair, self.step_links, self.big_group = pair, step_links, big_group
-        width = np.uint16 if max(pair.n_a, pair.n_b) <= 1 << 16 else np.uint32
-        self.a, self.n_a = ids_of(frame(batch, "a"), width)
-        self.b, self.n_b = ids_of(frame(batch, "b"), width)
+        self.a, self.n_a = ids_of(frame(batch, "a"), pair.width)
+        self.b, self.n_b = ids_of(frame(batch, "b"), pair.width)
         end_a, end_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         size = int(end_a[-1]) if len(end_a) else 0  # both spell the same bytes
         cut = np.zeros(size + 1, bool)
@@ -218,8 +245,8 @@ class Aligned:
             lo = hi
         return merge_counts(keys, times) if len(keys) != 1 else (keys[0], times[0])
 
-    def digests(self, strings: list[bytes]) -> list[str]:
-        """groups_sha256 of each document; strings: every id of A and B with each of its two following marks."""
+    def digests(self, written: tuple[np.ndarray, np.ndarray]) -> list[str]:
+        """groups_sha256 of each document; written: ``written_ids``."""
         if not len(self.a):
             return [""] * len(self.n_a)
         before_b = np.searchsorted(self.group_b, self.group_a)
@@ -230,12 +257,20 @@ class Aligned:
         order = np.zeros(len(self.a) + len(self.b), np.int64)
         order[np.arange(len(self.a)) + before_b] = self.a + np.where(last_a, na, 0)
         order[np.arange(len(self.b)) + upto_a] = self.b + 2 * na + np.where(last_b, nb, 0)
-        at = np.r_[0, np.cumsum(self.n_a + self.n_b)].tolist()
-        out = []
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            text = b"".join(map(strings.__getitem__, order[lo:hi].tolist()))
-            out.append(hashlib.sha256(text[:-1]).hexdigest() if hi > lo else "")
-        return out
+        letters, size = written
+        length = size[order]
+        text = letters[order][np.arange(letters.shape[1]) < length[:, None]].tobytes()
+        ends = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(self.n_a + self.n_b)]].tolist()
+        return [hashlib.sha256(text[lo:hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def written_ids(pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, lengths) of every id of A with a comma, with a bar, and of every id of B with a comma, with a semicolon."""
+    text = [f"{i}{mark}".encode() for size, marks in ((pair.n_a, ",|"), (pair.n_b, ",;")) for mark in marks for i in range(size)]
+    size = np.array([len(t) for t in text])
+    letters = np.zeros((len(text), int(size.max())), np.uint8)
+    letters[np.arange(letters.shape[1]) < size[:, None]] = np.frombuffer(b"".join(text), np.uint8)
+    return letters, size
 
 
 def whole_sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -345,7 +380,8 @@ class PairCounts:
     def __init__(self, tokens: DataFrame, pair: Pair, slice_pairs: int = SLICE_PAIRS, chunk_pairs: int = CHUNK_PAIRS, fan: int = FAN):
         self.spark, self.pair = tokens.sparkSession, pair
         self.known = self.spark.sparkContext.broadcast(pair)
-        distinct = _save(distinct_pairs(tokens, self.known), "pairs")
+        sparse = _save(task_counts(tokens, self.known), "task_counts")
+        distinct = _save(sparse.select("cell", "pair").distinct(), "pairs")
         total = distinct.count()
         self.n_slices = max(1, min(CELLS, -(-total // slice_pairs)))
         self.slices = _save(hash_slices(distinct, self.n_slices), "pair_hash")
@@ -359,7 +395,7 @@ class PairCounts:
         self.chunks.append((lo, self.n_slices))
         counts = None
         for chunk in self.chunks:
-            one = _save(tree_sums(leaf_counts(tokens, self.known, self.hash(chunk)), leaves(tokens), fan), "pair_counts")
+            one = _save(tree_sums(leaf_counts(sparse, self.hash(chunk)), leaves(sparse), fan), "pair_counts")
             counts = one if counts is None else counts.unionByName(one)
         self.counts = counts
 
@@ -402,24 +438,25 @@ def _save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def distinct_pairs(tokens: DataFrame, known) -> DataFrame:
-    """(cell, pair): distinct pairs linked anywhere."""
+def task_counts(tokens: DataFrame, known) -> DataFrame:
+    """(cell, pair, n): the pairs linked in a task's documents, with the number of these documents."""
     def go(it):
         p = known.value.open()
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def give(pairs):
-            return pa.RecordBatch.from_arrays([pa.array(cells(pairs).astype(np.int32)), pa.array(pairs)], names=["cell", "pair"])
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(cells(held[0]).astype(np.int32)), pa.array(held[0]), pa.array(held[1])], names=["cell", "pair", "n"])
 
-        held = np.zeros(0, np.int64)
         for piece in token_pieces(it):
             pair = Aligned(piece, p).doc_pairs()[0]
-            held = np.union1d(held, pair)
-            if len(held) > HELD_PAIRS:
-                yield give(held)
-                held = held[:0]
-        yield give(held)
+            starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else pair
+            held = merge_counts([held[0], pair[starts]], [held[1], np.diff(np.r_[starts, len(pair)])])
+            if len(held[0]) > HELD_PAIRS:
+                yield given()
+                held = (held[0][:0], held[1][:0])
+        yield given()
 
-    return tokens.select("a", "b").mapInArrow(go, "cell int, pair long").distinct()
+    return tokens.select("a", "b").mapInArrow(go, "cell int, pair long, n long")
 
 
 def hash_slices(distinct: DataFrame, n_slices: int) -> DataFrame:
@@ -433,24 +470,21 @@ def hash_slices(distinct: DataFrame, n_slices: int) -> DataFrame:
     return named.groupBy("slice").applyInArrow(go, "slice int, sizes array<int>, bits binary, keys binary")
 
 
-def leaves(tokens: DataFrame) -> int:
-    """Leaves of the tree of sums: two for each core, more where these would get more than LEAF_BYTES of ids."""
-    size = int(tokens.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0)
-    return max(2 * tokens.sparkSession.sparkContext.defaultParallelism, -(-size // LEAF_BYTES))
+def leaves(sparse: DataFrame) -> int:
+    """Leaves of the tree of sums: one for each core, more where these would get more than LEAF_ROWS rows."""
+    return max(sparse.sparkSession.sparkContext.defaultParallelism, -(-sparse.count() // LEAF_ROWS))
 
 
-def leaf_counts(tokens: DataFrame, known, pair_hash: PairHash) -> DataFrame:
-    """(slice, node, counts): each task's dense vector of document counts, cut by slice."""
-    held = tokens.sparkSession.sparkContext.broadcast(pair_hash)
+def leaf_counts(sparse: DataFrame, pair_hash: PairHash) -> DataFrame:
+    """(slice, node, counts): each leaf's dense vector of document counts, cut by slice."""
+    held = sparse.sparkSession.sparkContext.broadcast(pair_hash)
 
     def go(it):
-        p, h = known.value.open(), held.value
+        h = held.value
         total = np.zeros(len(h.keys), np.int64)
-        for piece in token_pieces(it):
-            pair = Aligned(piece, p).doc_pairs()[0]
-            starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else pair
-            mine, slot = h.slots(pair[starts])
-            total[slot] += np.diff(np.r_[starts, len(pair)])[mine]
+        for b in it:
+            mine, slot = h.slots(frame(b, "pair").to_numpy())
+            np.add.at(total, slot, frame(b, "n").to_numpy()[mine])
         node = TaskContext.get().partitionId()
         for s in range(h.hi - h.lo):
             part = total[h.slice_first[s]:h.slice_first[s + 1]]
@@ -458,7 +492,7 @@ def leaf_counts(tokens: DataFrame, known, pair_hash: PairHash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([h.lo + s], pa.int32()), pa.array([node], pa.int32()), pa.array([narrow(part)], pa.binary())],
                                                  names=["slice", "node", "counts"])
 
-    return tokens.select("a", "b").coalesce(leaves(tokens)).mapInArrow(go, "slice int, node int, counts binary")
+    return sparse.select("pair", "n").coalesce(leaves(sparse)).mapInArrow(go, "slice int, node int, counts binary")
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -502,7 +536,7 @@ def look_up(tokens: DataFrame, counts: PairCounts, chunk, best, whole: bool) ->
 
     def go(it):
         p, (h, count, top) = known.value.open(), held.value
-        strings = None
+        written = None
         for piece in token_pieces(it):
             x = Aligned(piece, p)
             pair, doc, times = x.doc_pairs()
@@ -517,11 +551,11 @@ def look_up(tokens: DataFrame, counts: PairCounts, chunk, best, whole: bool) ->
             out = {"_row": frame(piece, "_row"), "n_best": pa.array(whole_sums(doc, np.where(is_best[run], times, 0), docs)),
                    "count_sum": pa.array(whole_sums(doc, n[run] * times, docs))}
             if whole:
-                if strings is None:
-                    strings = [f"{i}{mark}".encode() for size, marks in ((p.n_a, ",|"), (p.n_b, ",;")) for mark in marks for i in range(size)]
+                if written is None:
+                    written = written_ids(p)
                 out |= {"doc_id": frame(piece, "doc_id"), "n_a": pa.array(x.n_a.astype(np.int64)), "n_b": pa.array(x.n_b.astype(np.int64)),
                         "n_groups": pa.array(x.n_groups.astype(np.int64)), "n_links": pa.array(x.n_links),
-                        "groups_sha256": pa.array(x.digests(strings), pa.string())}
+                        "groups_sha256": pa.array(x.digests(written), pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     schema = "_row long, n_best long, count_sum long"
