@@ -2,18 +2,16 @@
 
 The boosted-tree libraries of the reference are re-aimed on MLlib trees: a
 few named presets of ``GBTRegressor`` stand in for the distinct boosted
-models, ``RandomForestRegressor`` for extra-trees.  Fits are distributed jobs;
-only fitted parameters, scores and trial tables reach the driver.
+models.  Fits are distributed jobs; only fitted parameters, scores and trial tables reach the driver.
 """
 
 from __future__ import annotations
 
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +31,6 @@ GBT_PRESETS = {
                   featureSubsetStrategy="sqrt", seed=42),
 }
 
-FOREST_PRESET = dict(numTrees=40, maxDepth=10, featureSubsetStrategy="onethird", subsamplingRate=1.0,
-                     bootstrap=False, seed=42)
-
 
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error")
@@ -46,11 +41,6 @@ def gbt(features: list[str], label: str, preset: str = "gbt_a", **over) -> Pipel
     return Pipeline(stages=[assembler(features), GBTRegressor(featuresCol="features", labelCol=label, **params)])
 
 
-def forest(features: list[str], label: str, **over) -> Pipeline:
-    return Pipeline(stages=[assembler(features),
-                            RandomForestRegressor(featuresCol="features", labelCol=label, **{**FOREST_PRESET, **over})])
-
-
 def predict(model: PipelineModel, df: DataFrame, out: str = "pred") -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", out).drop("features")
 

@@ -24,6 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandflow.operators.quantiles import quantile_numbers
 from demandflow.session import ensure_checkpoint_dir, materialize
 
 _UNBOUNDED = Window.unboundedPreceding
@@ -219,6 +220,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     ``y * (1 - f) + y_next * f``; the sizes of the data never change the formula.
     """
     by = list(by)
+    if not by and n_buckets is None:
+        numbers = quantile_numbers(df, {value: probs}, weights, _small_limit(df))[value]
+        rows = [(i, float(q), y) for i, (q, y) in enumerate(zip(probs, numbers, strict=True)) if y is not None]
+        return _spark(df).createDataFrame(rows, f"q_index int, q double, `{value}` double")  # one row per probability
     pos = value_positions(df, value, by, n_buckets=n_buckets, with_next=True)
     groups = pos.select(*by, "n").distinct()
     qs = _spark(df).createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_index int, q double")
@@ -234,35 +239,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
                    names: dict[tuple[str, int], str] | None = None) -> DataFrame:
-    """One row with an exact quantile column per (column, probability).
-
-    One HyperLogLog pass sizes every column; columns whose distinct count is
-    under the limit share a single ``percentile`` aggregate (bounded value maps),
-    the others go through the bucketed :func:`exact_quantiles`.
-    """
+    """One row with an exact quantile column per (column, probability); all columns share the passes of
+    :func:`quantile_numbers`."""
     names = names or {(c, i): f"{c}__q{i}" for c in cols for i in range(len(probs))}
-    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    est = casted.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
-    limit = _small_limit(df)
-    small = [c for c in cols if (est[c] or 0) * 1.2 <= limit]
-    big = [c for c in cols if c not in small]
-    out = None
-    if small:
-        ps = [float(p) for p in probs]
-        row = casted.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), ps).alias(c) for c in small])
-        out = row.select(*[F.col(c).getItem(i).alias(names[(c, i)]) for c in small for i in range(len(probs))])
-    for c in big:
-        q = exact_quantiles(casted.select(c), c, probs, n_buckets=_default_buckets(df), weights=True)
-        r = q.groupBy().pivot("q_index", list(range(len(probs)))).agg(F.first(c)) \
-             .toDF(*[names[(c, i)] for i in range(len(probs))])
-        out = r if out is None else out.crossJoin(r)
-    return out
-
-
-def quantile_row(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
-    """One-row frame with one exact-quantile column per probability (global)."""
-    names = names or [f"q{i}" for i in range(len(probs))]
-    return quantiles_wide(df, [value], probs, {(value, i): n for i, n in enumerate(names)})
+    numbers = quantile_numbers(df, {c: [float(p) for p in probs] for c in cols}, True, _small_limit(df))
+    keys = [(c, i) for c in cols for i in range(len(probs))]
+    return _spark(df).createDataFrame([tuple(numbers[c][i] for c, i in keys)], ", ".join(f"`{names[k]}` double" for k in keys))
 
 
 def median_row(df: DataFrame, cols: list[str], suffix: str = "_median") -> DataFrame:
@@ -273,15 +255,11 @@ def median_row(df: DataFrame, cols: list[str], suffix: str = "_median") -> DataF
 def quantile_bins(df: DataFrame, value: str, q: int = 10, out: str = "bin") -> DataFrame:
     """``pd.qcut(x, q, labels=False, duplicates='drop')`` -- exact edges, duplicate
     edges dropped, bin = number of interior edges strictly below the value."""
-    probs = [i / q for i in range(q + 1)]
-    edges = exact_quantiles(df.select(value), value, probs).agg(F.array_sort(F.collect_set(value)).alias("_edges"))
-    # <= q+1 numbers: a proven bound, safe to broadcast.
-    joined = df.crossJoin(F.broadcast(edges))
-    interior = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
+    numbers = quantile_numbers(df.select(value), {value: [i / q for i in range(q + 1)]}, limit=_small_limit(df))[value]
+    edges = sorted({y for y in numbers if y is not None})  # at most q + 1 numbers
     x = F.col(value).cast("double")
-    nbin = F.size(F.filter(interior, lambda e: x > e))
-    res = F.when(x.isNull(), F.lit(None)).otherwise(nbin)
-    return joined.withColumn(out, res.cast("int")).drop("_edges")
+    interior = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")
+    return df.withColumn(out, F.when(x.isNotNull(), F.size(F.filter(interior, lambda e: x > e))).cast("int"))
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",

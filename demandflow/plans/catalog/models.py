@@ -22,6 +22,7 @@ from demandflow.operators import importance as imp
 from demandflow.operators import metrics as mt
 from demandflow.operators import models as md
 from demandflow.operators import splits as sp
+from demandflow.operators.extra_trees import ExtraTrees
 from demandflow.operators.fits import Fit, FitPlan
 from demandflow.operators.order import global_row_number
 from demandflow.plans.catalog.ensemble import _GRID
@@ -37,8 +38,8 @@ CAT_FEATURES = ["road_type_encoded", "weather_encoded", "large_vehicles_encoded"
 NUM_FEATURES = ["temperature", "number_of_lanes", "n_missing"]
 GEO_FEATURES = ["te_geohash", "geohash_count"]
 FEATURES = TIME_FEATURES + CAT_FEATURES + NUM_FEATURES + GEO_FEATURES
-# Rows that Shapley values are taken of, trees that early stopping may reach
-SHAPLEY_ROWS, EARLY_STOP_TREES = 2000, 500
+# Rows that Shapley values are taken of, trees that early stopping may reach, trees of the randomised forest
+SHAPLEY_ROWS, EARLY_STOP_TREES, EXTRA_TREES = 2000, 500, 50
 # Predicates of the periods, and of the reference days that tuning fits stop by
 REF, TGT, LATE_DAYS = "day <= 20", "day > 20", "day > 15 and day <= 20"
 
@@ -87,9 +88,10 @@ def q_gbt_predictions(spark, sf):
 
 @register("forest_predictions")
 def q_forest_predictions(spark, sf):
-    """L2: randomised forest (extra-trees stand-in) predictions for the target period."""
+    """L2: extremely randomised trees (random thresholds per tree), target-period predictions."""
     m = model_frame(spark, sf)
-    return md.fit_predict(md.forest(FEATURES, "demand"), ref_of(m), tgt_of(m), "forest").select("idx", "forest")
+    trees = ExtraTrees(FEATURES, "demand", n_trees=EXTRA_TREES).fit(ref_of(m))
+    return trees.predict(tgt_of(m), "forest").select("idx", "forest")
 
 
 @register("cv_oof")

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from demandflow.operators import fits, native, search
 from demandflow.operators.crosses import pair_gains
 from demandflow.operators.encoders import observed_level_mix
+from demandflow.operators.extra_trees import ExtraTrees
 from demandflow.operators.leakage import leakage_audit
 from demandflow.operators.lookup import tiered_lookup
+from demandflow.operators.quantiles import quantile_numbers
 from demandflow.plans.catalog.tuning import deal_by_softmax, seven_approaches
 
 PARAMS = dict(maxIter=24, maxDepth=3, stepSize=0.3, seed=7)
@@ -231,3 +233,47 @@ def test_seven_approaches(spark):
     best = max(by.values(), key=lambda x: x.r2)
     assert best.is_best == 1 and by["optimized"].r2 >= max(by[m].r2 for m in ("a", "b", "c", "equal")) - 1e-9
     assert preds.count() == 20 and preds.where(F.col(best.approach).isNull()).isEmpty()
+
+
+@pytest.mark.parametrize("limit,accuracy", [(10**6, 20_000), (40, 50), (1, 200)])
+def test_quantiles_by_bracket(spark, limit, accuracy):
+    """Any width of the brackets gives numpy's quantiles: ties, hot values, missing ones, columns of one value or none."""
+    r = np.random.default_rng(8)
+    cols = {"even": r.random(700), "ties": r.integers(0, 5, 700).astype(float), "hot": np.where(r.random(700) < 0.9, 3.5, r.random(700)), "one": np.full(700, -2.0),
+            "few": np.r_[[0.0, -1.5, 7.0], np.full(697, np.nan)], "none": np.full(700, np.nan), "signed": r.normal(size=700) * 1e9}
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for v in row) for i, row in enumerate(zip(*cols.values(), strict=True))],
+                               ", ".join(f"{c} double" for c in cols)).repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.7, 0.999, 1.0]
+    for weights in (False, True):
+        got = quantile_numbers(df, {c: probs for c in cols}, weights, limit, accuracy)
+        for c, v in cols.items():
+            v = v[~np.isnan(v)]
+            if len(v):
+                assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12, atol=1e-12), c
+            else:
+                assert got[c] == [None] * len(probs)
+
+
+def test_extra_trees_split_at_random_thresholds(frame):
+    df = frame.withColumn("c", F.lit(1.0))
+    make = lambda seed: ExtraTrees(["a", "b", "c"], "y", n_trees=6, max_depth=4, cuts=5, feature_share="all", seed=seed).fit(df)
+    one, same, other = make(1), make(1), make(2)
+    assert [t.cuts for t in one.trees] == [t.cuts for t in same.trees] != [t.cuts for t in other.trees]
+    assert len({tuple(t.cuts[0]) for t in one.trees}) == 6 and all(t.cuts[2] == [] for t in one.trees)
+    rows = one.predict(df).orderBy("idx").collect()
+    again = [r.pred for r in same.predict(df).orderBy("idx").collect()]
+    assert [r.pred for r in rows] == again
+    # each tree is constant between its own cut points, and the forest is the mean of its trees
+    singles = []
+    for t in one.trees:
+        alone = ExtraTrees(["a", "b", "c"], "y")
+        alone.trees = [t]
+        p = alone.predict(df).orderBy("idx").collect()
+        cells = {}
+        for r in p:
+            cells.setdefault((sum(r.a > x for x in t.cuts[0]), sum(r.b > x for x in t.cuts[1])), set()).add(r.pred)
+        assert all(len(v) == 1 for v in cells.values())
+        singles.append([r.pred for r in p])
+    assert np.allclose(np.mean(singles, axis=0), [r.pred for r in rows])
+    y = np.array([r.y for r in rows])
+    assert 1 - ((y - [r.pred for r in rows]) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.3
