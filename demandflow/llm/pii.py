@@ -3,8 +3,9 @@
 The patterns give the base spans.  The tagger is trained in numpy on a bounded sample of documents, from the spans
 that the patterns label there and from the same spans in disguises that the patterns miss (an address
 with ``(at)`` or a bare ``at`` and ``dot``, a phone number without its plus, card groups parted by dots, an address part by
-part), and from places without personal data.  It reads every text from its first character to its last in
-overlapping windows.  The windows' tag scores are joined with weights that fall towards a window's edges, and the
+part), and from places without personal data.  Its gates are piecewise linear (clipped lines in place of the logistic and the
+hyperbolic functions), in training and scoring alike.  It reads every text from its first character to its last in
+overlapping windows.  Where two windows overlap, their tag scores are joined with weights that pass from one to the other, and the
 best path through the CRF transitions is found for each text as a whole: places that are on no path but the
 "none" path part it into runs, which Viterbi decodes.  Spans found that way are added where no base span lies.
 Scoring is one narrow pass.
@@ -25,13 +26,12 @@ from pyspark.sql import functions as F
 from demandflow.llm.common import batches_of, frame, schema_with, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base patterns (fixed)
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+#: Base patterns (fixed), cut so that each is found in linear time: an e-mail's host after its @, runs of dotted numbers
+HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A text without this character has no base span of the kind
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 DIGIT = re.compile("[0-9]")
@@ -40,15 +40,21 @@ CUE = re.compile(r"[0-9@]|[\[(] ?[Aa][Tt] ?[\])]")
 
 #: Bounds of the training sample: documents, characters of each that may count, windows around cues and as many without
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS = 600, 20_000, 1000
-WINDOW, STRIDE = 96, 48
+#: Characters of a training window, and of a scored one, which shares SHARED with the next
+TRAIN_WINDOW, TRAIN_APART = 96, 48
+WINDOW, SHARED = 512, 48
+STRIDE = WINDOW - SHARED
+#: A text's last window is filled up to a multiple of this
+ROUND = 128
 EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 10, 50, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 #: Mean probability (of the CRF), over its places, that an added span is in some span
 SURE = 0.8
 #: Fewest and most digits of an added span (a card's pass Luhn, too)
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
-PIECE_BYTES = 2 << 20
-ROWS = 1024
+PIECE_BYTES = 4 << 20
+#: Windows scored at once, and windows whose scores are held at once
+ROWS, HELD = 1024, 4096
 
 
 def luhn(digits: str) -> bool:
@@ -72,13 +78,41 @@ def _valid(kind: str, found: str) -> bool:
     return True
 
 
+def _emails(text: str):
+    """Leftmost e-mails: from each @ to the left as far as names go (or the last e-mail), to the right by the host."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        lo = at
+        while lo > end and text[lo - 1] in NAME:
+            lo -= 1
+        host = HOST.match(text, at + 1) if lo < at else None
+        if host:
+            end = host.end()
+            yield lo, end
+        at = text.find("@", max(at + 1, end))
+
+
+def _addresses(text: str):
+    """Leftmost runs of four dotted numbers."""
+    for m in DOTTED.finditer(text):
+        lo, parts = m.start(), m[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            n = sum(map(len, parts[i:i + 4])) + 3
+            yield lo, lo + n
+            lo += n + 1
+
+
+FINDERS = {"email": _emails, "ip": _addresses, "card": lambda text: (m.span() for m in CARD.finditer(text)),
+           "phone": lambda text: (m.span() for m in PHONE.finditer(text))}
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Base spans by kind as listed, then start."""
+    """Base spans by kind as listed, then start; in time linear in the text."""
     out = []
     has_digit = DIGIT.search(text) is not None
     for kind in KINDS:
         if (has_digit or kind == "email") and NEEDS[kind] in text:
-            out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+            out += [(kind, lo, hi) for lo, hi in FINDERS[kind](text) if _valid(kind, text[lo:hi])]
     return out
 
 
@@ -105,8 +139,14 @@ def digits_of(text: str) -> str:
     return "".join(DIGIT.findall(text)) if text.isascii() else "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _gate(x):
+    """The clipped line that stands for the logistic function."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _new(x):
+    """The clipped line that stands for the hyperbolic tangent."""
+    return np.clip(x, -1, 1)
 
 
 def new_model(seed: int = 3) -> dict[str, np.ndarray]:
@@ -127,11 +167,11 @@ def _lstm(x, wx, wh, b):
     out = np.empty((t, n, HIDDEN), x.dtype)
     for i in range(t):
         a = z[i] + h @ wh
-        g = _sigmoid(a[:, :3 * HIDDEN])
-        u = np.tanh(a[:, 3 * HIDDEN:])
+        g = _gate(a[:, :3 * HIDDEN])
+        u = _new(a[:, 3 * HIDDEN:])
         before = c
         c = g[:, HIDDEN:2 * HIDDEN] * c + g[:, :HIDDEN] * u
-        s = np.tanh(c)
+        s = _new(c)
         keep.append((h, before, g, u, s))
         h = g[:, 2 * HIDDEN:] * s
         out[i] = h
@@ -147,8 +187,9 @@ def _lstm_back(x, wx, wh, keep, dout):
         h, before, g, u, s = keep[i]
         gi, gf, go = g[:, :HIDDEN], g[:, HIDDEN:2 * HIDDEN], g[:, 2 * HIDDEN:]
         dh = dh + dout[i]
-        dc = dc + dh * go * (1 - s * s)
-        da = np.concatenate([dc * u * gi * (1 - gi), dc * before * gf * (1 - gf), dh * s * go * (1 - go), dc * gi * (1 - u * u)], axis=1)
+        dc = dc + dh * go * (np.abs(s) < 1)
+        slope = 0.25 * ((g > 0) & (g < 1))
+        da = np.concatenate([np.concatenate([dc * u, dc * before, dh * s], axis=1) * slope, dc * gi * (np.abs(u) < 1)], axis=1)
         dz[i] = da
         dwh += h.T @ da
         dh, dc = da @ wh.T, dc * gf
@@ -217,7 +258,7 @@ def gradient(m: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
 
 
 def train(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> dict:
-    m, r, step = {k: v.astype(np.float32) for k, v in new_model(seed).items()}, np.random.default_rng(seed), 0
+    m, r, step = new_model(seed), np.random.default_rng(seed), 0
     mean = {k: np.zeros_like(v) for k, v in m.items()}
     var = {k: np.zeros_like(v) for k, v in m.items()}
     for epoch in range(epochs):
@@ -269,11 +310,11 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 3
     with_cue, made, without = [], [], []
 
     def cut(sym, tag, place, to):
-        lo = max(0, place - int(r.integers(8, WINDOW - 8)))
+        lo = max(0, place - int(r.integers(8, TRAIN_WINDOW - 8)))
         if r.random() < 0.2:  # as at a text's first character
             lo = max(0, place - int(r.integers(0, 24)))
-        n = min(WINDOW, len(sym) - lo)
-        to.append((np.pad(sym[lo:lo + n], (0, WINDOW - n), constant_values=130), np.pad(tag[lo:lo + n], (0, WINDOW - n))))
+        n = min(TRAIN_WINDOW, len(sym) - lo)
+        to.append((np.pad(sym[lo:lo + n], (0, TRAIN_WINDOW - n), constant_values=130), np.pad(tag[lo:lo + n], (0, TRAIN_WINDOW - n))))
 
     mails = [text[lo:hi] for text in texts for kind, lo, hi in base_spans(text) if kind == "email"]
     for text in texts:
@@ -294,14 +335,14 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 3
                 at = hi
             whole = "".join([*out, text[at:]])
             tag = np.concatenate([*tag, np.zeros(len(text) - at, np.int64)])
-            sym, last = symbols(whole), -WINDOW
+            sym, last = symbols(whole), -TRAIN_WINDOW
             for place in sorted({*begins, *(m.start() for m in CUE.finditer(whole))}):
-                if place >= last + STRIDE:
+                if place >= last + TRAIN_APART:
                     last = place
                     cut(sym, tag, place, with_cue)
         words = re.findall("[A-Za-z]{2,12}", text)
         for _ in range(2 if mails and words else 0):  # an e-mail under made-up names between two words
-            near = re.sub("[0-9@]", "", text[(at := int(r.integers(len(text)))):at + WINDOW]).split(" ") if r.random() < 0.85 else []
+            near = re.sub("[0-9@]", "", text[(at := int(r.integers(len(text)))):at + TRAIN_WINDOW]).split(" ") if r.random() < 0.85 else []
             k = int(r.integers(len(near) + 1))
             head, mail, tail = " ".join([*near[:k], ""]) if k else "", disguise("email", mails[r.integers(len(mails))], r, words), " ".join(["", *near[k:]]) if near[k:] else ""
             k = 1 + 2 * KINDS.index("email")
@@ -319,16 +360,16 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 3
             continue
         places = r.integers(0, len(bare), 3).tolist() + [min(p, len(bare) - 1) for p in places]
         for i, place in enumerate(places):
-            lo = max(0, place - WINDOW)
-            piece = bare[lo:place + WINDOW]
+            lo = max(0, place - TRAIN_WINDOW)
+            piece = bare[lo:place + TRAIN_WINDOW]
             if i % 8 == 0:  # one word or two, again and again
                 again = re.findall(r"\S{2,12}", piece)[:1 + int(r.integers(2))]
-                piece = " ".join(again * WINDOW)[:2 * WINDOW] or piece
+                piece = " ".join(again * TRAIN_WINDOW)[:2 * TRAIN_WINDOW] or piece
             elif i % 2:
                 piece = re.sub(" ", lambda _: (" ", " ", " ", " ", " ", " at ", " dot ", ". ")[r.integers(8)], piece)
             cut(symbols(piece), np.zeros(len(piece), np.int64), min(place - lo, len(piece) - 1), without)
     if not with_cue and not made and not without:
-        return np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
+        return np.zeros((0, TRAIN_WINDOW), np.int64), np.zeros((0, TRAIN_WINDOW), np.int64)
     picked = [w[i] for w in (with_cue, made, without) for i in r.permutation(len(w))[:limit]]
     return np.stack([x for x, _ in picked]), np.stack([y for _, y in picked])
 
@@ -348,21 +389,21 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Weight of a window's scores by place: falls towards both edges
-WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / WINDOW
+#: Weight of a window's scores where it shares places with the one before; the other's is what is left to 1
+RAMP = np.arange(1, SHARED + 1) / (SHARED + 1)
 
 
 def scorer(m: dict):
-    """``emissions`` without the backward pass's keepings, in single precision and one product per step.
-
-    All four gates come from one tanh: 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2.
-    """
-    half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]
+    """``emissions`` without the backward pass's keepings, in single precision and one product per step, with the gates'
+    slopes taken into the weights."""
+    slope = np.r_[np.full(3 * HIDDEN, 0.25), np.ones(HIDDEN)]
     both = []
     for d, part in (("f", m["Wo"][:HIDDEN]), ("b", m["Wo"][HIDDEN:])):
-        w = np.concatenate([m["Wh" + d], m["Wx" + d], m["b" + d][None]]) * half
+        w = np.concatenate([m["Wh" + d], m["Wx" + d], m["b" + d][None]]) * slope
+        w[-1, :3 * HIDDEN] += 0.5
         both.append((np.ascontiguousarray(w.T, np.float32), np.ascontiguousarray(part.T, np.float32)))
     embed, bias = np.ascontiguousarray(m["E"].T, np.float32), m["bo"].astype(np.float32)[:, None]
+    floor = np.r_[np.zeros(3 * HIDDEN), np.full(HIDDEN, -1)].astype(np.float32)[:, None]
 
     def score(ids: np.ndarray) -> np.ndarray:
         """Tag scores (time, tag, window) of windows of symbols (window, time)."""
@@ -370,8 +411,8 @@ def scorer(m: dict):
         col = np.ascontiguousarray(ids.T).astype(np.intp)
         e = np.empty((t, TAGS, n), np.float32)
         e[:] = bias
-        a, g, c, u = np.empty((4 * HIDDEN, n), np.float32), None, np.empty((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
-        g, new = a[:3 * HIDDEN], a[3 * HIDDEN:]
+        a, c, u, given = (np.empty((rows, n), np.float32) for rows in (4 * HIDDEN, HIDDEN, HIDDEN, TAGS))
+        high, low = np.ones_like(a), np.repeat(floor, n, axis=1)  # whole arrays: several times as fast as scalars
         for (w, wo), steps in zip(both, (range(t), range(t - 1, -1, -1)), strict=True):
             x = np.ones((HIDDEN + EMBED + 1, n), np.float32)
             x[:HIDDEN], c[:] = 0, 0
@@ -379,15 +420,15 @@ def scorer(m: dict):
             for i in steps:
                 np.take(embed, col[i], axis=1, out=x[HIDDEN:-1], mode="clip")
                 np.matmul(w, x, out=a)
-                np.tanh(a, out=a)
-                g *= 0.5
-                g += 0.5
-                c *= g[HIDDEN:2 * HIDDEN]
-                np.multiply(g[:HIDDEN], new, out=u)
+                np.minimum(a, high, out=a)
+                np.maximum(a, low, out=a)
+                c *= a[HIDDEN:2 * HIDDEN]
+                np.multiply(a[:HIDDEN], a[3 * HIDDEN:], out=u)
                 c += u
-                np.tanh(c, out=u)
-                np.multiply(g[2 * HIDDEN:], u, out=h)
-                e[i] += wo @ h
+                np.minimum(c, high[:HIDDEN], out=u)
+                np.maximum(u, low[3 * HIDDEN:], out=u)
+                np.multiply(a[2 * HIDDEN:3 * HIDDEN], u, out=h)
+                e[i] += np.matmul(wo, h, out=given)
         return e
 
     return score
@@ -411,42 +452,68 @@ def possible(place: np.ndarray, score: np.ndarray, trans: np.ndarray) -> np.ndar
     return (before + after - gain)[at] >= inner + none - enter - leave - 1e-3
 
 
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first character) of every window: one each STRIDE characters, but for ends that the window before covers."""
+    n = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)
+    text = np.repeat(np.arange(len(lengths)), n)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+
+
+def unsure_places(m: dict, texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, tag scores) where the score of "none" does not lead by more than any transitions can give back: all other places
+    are on no other path.  Places of text d are numbered from first[d]."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    sym = symbols("".join(texts))
+    text, at = windows_of(lengths)
+    size = np.minimum(WINDOW, lengths[text] - at)
+    base = (np.cumsum(lengths) - lengths)[text] + at
+    follows = at > 0
+    shown = np.where(np.r_[follows[1:], False], STRIDE, size)  # the rest is given by the next window
+    trans = m["T"]
+    back = ((trans - trans[:, :1]).max(axis=0) + (trans - trans[:1]).max(axis=1))[1:].astype(np.float32)
+    score, ramp = scorer(m), RAMP[:, None, None].astype(np.float32)
+    carry = np.zeros((SHARED, TAGS), np.float32)
+    places, scores = [np.zeros(0, np.int64)], [np.zeros((0, TAGS), np.float32)]
+
+    def take(e, w, inside):
+        """Keeps the unsure ones of the scores e (time, tag, window) of windows w where ``inside`` (time, window)."""
+        j, i = np.nonzero((e[:, 1:] + back[:, None] >= e[:, :1]).any(axis=1) & inside)
+        places.append(first[text[w[i]]] + at[w[i]] + j)
+        scores.append(e[j, :, i])
+
+    for lo in range(0, len(text), HELD):
+        some = np.arange(lo, min(lo + HELD, len(text)))
+        filled = -(-size[some] // ROUND) * ROUND
+        heads, tails = (np.zeros((SHARED, TAGS, len(some)), np.float32) for _ in range(2))
+        for n in np.unique(filled).tolist():  # a window's scores depend on its own length only
+            like = some[filled == n]
+            step = np.arange(n)[:, None]
+            for k in range(0, len(like), ROWS):
+                w = like[k:k + ROWS]
+                ids = sym[np.minimum(base[w] + step, len(sym) - 1)]
+                e = score(np.where(step < size[w], ids, 130).T)
+                heads[:min(n, SHARED), :, w - lo] = e[:SHARED]
+                if n == WINDOW:
+                    tails[:, :, w - lo] = e[STRIDE:]
+                take(e, w, (step >= np.where(follows[w], SHARED, 0)) & (step < shown[w]))
+        before = np.concatenate([carry[:, :, None], tails[:, :, :-1]], axis=2)
+        carry = tails[:, :, -1].copy()
+        later = np.flatnonzero(follows[some])
+        take(ramp * heads[:, :, later] + (1 - ramp) * before[:, :, later], some[later], np.arange(SHARED)[:, None] < shown[some[later]])
+    place, score_of = np.concatenate(places), np.concatenate(scores)
+    order = np.argsort(place)
+    return place[order], score_of[order]
+
+
 def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) that the tagger finds in each text; windows cover every character of it."""
     found: list[list] = [[] for _ in texts]
-    # a text's blocks of STRIDE characters and an empty one; a window is a block and the next one
-    n_blocks = np.array([-(-len(t) // STRIDE) + 1 if t else 0 for t in texts], np.int64)
-    first = np.r_[0, np.cumsum(n_blocks)]
-    if not first[-1]:
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(lengths + 1) - lengths - 1  # with one free place between texts
+    if not lengths.sum():
         return found
-    blocks = np.full((first[-1], STRIDE), 130, np.uint8)
-    real = np.zeros((first[-1], STRIDE), bool)
-    starts, ends = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
-    for d, text in enumerate(texts):
-        if text:
-            at = first[d] * STRIDE
-            blocks.reshape(-1)[at:at + len(text)] = symbols(text)
-            real.reshape(-1)[at:at + len(text)] = True
-            starts[first[d]] = ends[first[d + 1] - 1] = True
-    # a place whose score of "none" leads by more than any transitions can give back is on no other path
     trans = m["T"]
-    back = (trans - trans[:, :1]).max(axis=0) + (trans - trans[:1]).max(axis=1)
-    back = back[1:, None].astype(np.float32)
-    score, ahead, behind = scorer(m), WEIGHT[:STRIDE, None, None], WEIGHT[STRIDE:, None, None]
-    ahead, behind = (ahead / (ahead + behind)).astype(np.float32), (behind / (ahead + behind)).astype(np.float32)
-    windows, carry = np.flatnonzero(~ends), np.zeros((STRIDE, TAGS, 1), np.float32)
-    places, scores = [], []
-    for at in range(0, len(windows), ROWS):
-        w = windows[at:at + ROWS]
-        e = score(np.concatenate([blocks[w], blocks[w + 1]], axis=1))
-        before = np.concatenate([carry, e[STRIDE:, :, :-1]], axis=2)
-        carry = e[STRIDE:, :, -1:]
-        joined = np.where(starts[w], e[:STRIDE], ahead * e[:STRIDE] + behind * before)
-        unsure = (joined[:, 1:] + back >= joined[:, :1]).any(axis=1).T & real[w]  # (window, time)
-        i, j = np.nonzero(unsure)
-        places.append(w[i] * STRIDE + j)
-        scores.append(joined[j, :, i])
-    place, score = np.concatenate(places), np.concatenate(scores)
+    place, score = unsure_places(m, texts, first)
     if not len(place):
         return found
     keep = possible(place, score, trans)
@@ -472,8 +539,8 @@ def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         for at_hit, i in enumerate(hits.tolist()):
             n, at = int(length[group[i]]), int(lo[group[i]])
             t, p = tags[:n, i], inside_span[:n, at_hit]
-            d = int(np.searchsorted(first, place[at] // STRIDE, "right")) - 1
-            shift = int(place[at]) - int(first[d]) * STRIDE
+            d = int(np.searchsorted(first, place[at], "right")) - 1
+            shift = int(place[at]) - int(first[d])
             kind = (t + 1) // 2
             new = np.r_[True, (kind[1:] != kind[:-1]) | ((t[1:] % 2 == 1) & (t[1:] > 0))]
             begin = np.flatnonzero(new)
