@@ -25,11 +25,16 @@ MAX_LANGUAGES = 256
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 PIECE_BYTES = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 #: ASCII characters other than letters count as spaces
 FOLDED = np.array([c if chr(c).isalpha() else 0x20 for c in range(128)], np.uint64)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (Unicode's letters: no numbers such as ½ or Ⅷ)."""
+    return ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Buckets of the n-grams that start at each character, one array per size (-1 where the text ends
     before), and where each text's characters begin."""
@@ -105,7 +110,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
         logp = np.vstack([logp, np.zeros((1, logp.shape[1]), np.float32)])  # -1: no n-gram
         for b in batches_of(PIECE_BYTES)(it):
             texts = frame(b, "text").fill_null("").to_pylist()
-            letters = np.array([LETTER.search(t) is not None for t in texts], bool)
+            letters = np.array([has_letter(t) for t in texts], bool)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if langs and letters.any():
                 some = np.flatnonzero(letters)

@@ -17,6 +17,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from demandflow.llm.common import ascii_lower, row_key, save, scratch_path, table
 
@@ -24,6 +25,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+#: Ids that the bounds of the batches are taken of, where ids are not numbers
+BOUND_IDS = 4000
 #: Distinct keys of a run that one bucket should hold
 KEYS_PER_BUCKET = 1_000_000
 
@@ -82,12 +85,26 @@ class LineRuns:
         self.tables = []
 
 
+def batch_bounds(docs: DataFrame, batches: int) -> list:
+    """Ids that part the documents into batches of about equal size, rising; ids of any type that has an order.  The bounds only tell
+    how large batches are, never a result."""
+    shares = [i / batches for i in range(1, batches)]
+    ids = docs.where("doc_id is not null").select("doc_id")
+    if not shares:
+        return []
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        return sorted(set(ids.approxQuantile("doc_id", shares, 0.01)))
+    n = ids.count()
+    bound = min(2**63 - 1, -(2**63) + int(min(1.0, BOUND_IDS / max(n, 1)) * 2**64))
+    some = [r.doc_id for r in ids.where(F.xxhash64("doc_id") <= F.lit(bound)).orderBy("doc_id").limit(2 * BOUND_IDS).collect()]
+    return list(dict.fromkeys(some[int(s * len(some))] for s in shares)) if some else []
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES,
                   fanout: int = FANOUT) -> DataFrame:
     """(_k1, _k2, pos): the lines to drop, by row key and place."""
     spark = docs.sparkSession
-    shares = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.01))) if shares else []
+    cuts = batch_bounds(docs, batches)
     batch = F.lit(0)
     for c in cuts:  # ids without a value come last
         batch = batch + F.when(F.isnull("doc_id") | (F.col("doc_id") > F.lit(c)), 1).otherwise(0)
@@ -122,7 +139,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; keys of fewer than
     ``min_chars`` code points never count.  Null or empty text: one empty line, kept_text ''.  Rows of
     one doc_id are one document: a line that they share stays in all of them.  Rows without doc_id are
-    one document that comes after all others.  Equal rows get equal results.  No rows: no rows.
+    one document that comes after all others.  Ids may be of any type that has an order.  Equal rows get equal results.
+    No rows: no rows.  ``batches`` does not grow with the documents: it is how often the runs are merged, not how large a
+    task is.
     """
     own = set(docs.columns)
     if clash := own & {"kept_text", "n_lines", "n_dropped", "_k1", "_k2", "_drop", "_lines"}:

@@ -45,6 +45,16 @@ def test_lines_of_odd_documents(odd_docs):
     assert kept[(8, "this is a line")] == "" and kept[(5, None)] == ""
 
 
+def test_lines_under_text_ids(spark, odd_docs):
+    """Ids that are texts or dates give what numbers in the same order give."""
+    docs = odd_docs.select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, f"This is a line\nown line of {i // 2}") for i in range(40)], "doc_id long, text string"))
+    want = sorted((r.text or "", r.kept_text, r.n_dropped) for r in linededup.dedup_lines(docs, batches=3).collect())
+    for other in (F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int"))):
+        named = docs.withColumn("doc_id", other)
+        assert sorted((r.text or "", r.kept_text, r.n_dropped) for r in linededup.dedup_lines(named, batches=3).collect()) == want
+
+
 def test_stars_in_blocks(spark, edge_dir):
     """Large stars dealt out as pairs of blocks give the same components."""
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
