@@ -8,8 +8,8 @@ words start with the same ``HEAD`` code points, or before it, so that both end i
 therefore goes to two groups, one by its start and one by its (reversed) end, and each pair is met in exactly one.  A
 group is the part of the composition that starts in one pair of equal states: those that the shared code points lead to.
 Groups of more than ``GROUP_WORDS`` words are dealt anew by narrower ranges of edit places (both sides of the range are
-then shared), down to one place, where a group has no more words than the alphabet has letters, and one.  No group
-is cut, capped or dropped.
+then shared), down to one place, where a group has at most as many words as the alphabet has letters (the shorter length: one free
+code point) and pairs of letters (the longer: two).  No group is cut, capped or dropped.
 
 **In a task** the groups of a bucket make up one minimised acyclic acceptor (equal right languages are merged from the
 leaves up), whose arcs know how many words precede them, so that a path is a word's number.  The composition is walked in
