@@ -1,9 +1,9 @@
-"""L2: extremely randomised trees on Spark ML.
+"""L2: extremely randomised trees.
 
-Spark's forests look for the best of the same quantile thresholds in every tree.  Here each tree sees every feature through cut points
-of its own, drawn evenly between the feature's least and largest value from the tree's seed: the feature is replaced by the number of cut
-points below it, and a tree of that (all rows, a random share of the features at each node) can only split at those random
-thresholds.  One aggregate gives all ranges; the trees are independent fits, submitted many at a time; a prediction is their mean.
+Spark's forests look for the best of the same quantile thresholds in every tree.  Here each tree has cut points of its own, drawn evenly
+between a feature's least and largest value from the tree's seed, and can only split at those (all rows, a random share of the features
+at each node).  One aggregate gives all ranges; the trees are grown from histograms (``histogram_trees``), groups of them
+side by side; together they are an MLlib forest, whose prediction is their mean.
 """
 
 from __future__ import annotations
@@ -12,25 +12,21 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandflow.operators.fits import PER_CORE, ROWS_PER_TASK
-from demandflow.session import materialize
-
-#: Trees that one pass of a prediction adds up
-AT_ONCE = 10
+from demandflow.operators.histogram_trees import as_model, grow_trees, share_out, slots
 
 
 @dataclass
 class Tree:
-    """cuts: each feature's cut points, rising; model: a forest of the one tree."""
+    """cuts: each feature's cut points, rising; nodes: what ``grow_trees`` gives."""
 
     cuts: list[list[float]]
-    model: RandomForestRegressionModel
-
+    nodes: list
 
 
 def draw_cuts(ranges: list[tuple[float, float]], n: int, rng: random.Random) -> list[list[float]]:
@@ -38,14 +34,6 @@ def draw_cuts(ranges: list[tuple[float, float]], n: int, rng: random.Random) ->
     return [sorted({rng.uniform(lo, hi) for _ in range(n)}) if lo < hi else [] for lo, hi in ranges]
 
 
-def binned(features: list[str], cuts: list[list[float]]) -> Column:
-    """The vector of the numbers of cut points below each feature."""
-    def one(f, points):
-        return F.size(F.filter(F.array(*[F.lit(c) for c in points]).cast("array<double>"), lambda c: F.col(f) > c)).cast("double")
-
-    return array_to_vector(F.array(*[one(f, points) for f, points in zip(features, cuts, strict=True)]))
-
-
 class ExtraTrees:
     """Regression by randomised trees: ``fit`` and ``predict``; features must not be null."""
 
@@ -59,34 +47,23 @@ class ExtraTrees:
         spark = train.sparkSession
         row = train.agg(F.count(F.lit(1)).alias("n"), *[e for i, f in enumerate(self.features) for e in (F.min(f).alias(f"lo{i}"), F.max(f).alias(f"hi{i}"))]).first()
         ranges = [(float(row[f"lo{i}"] or 0.0), float(row[f"hi{i}"] or 0.0)) for i in range(len(self.features))]
-        tasks = max(1, -(-int(row.n) // ROWS_PER_TASK))
-        rows = train.select(*self.features, self.label).coalesce(tasks)
+        places = slots(spark)
+        tasks, at_a_time = share_out(int(row.n), self.n_trees, places)
+        cuts = [draw_cuts(ranges, self.cuts, random.Random(f"{self.seed}/{t}")) for t in range(self.n_trees)]
 
-        def one(t: int) -> Tree:
-            cuts = draw_cuts(ranges, self.cuts, random.Random(f"{self.seed}/{t}"))
-            data = rows.select(binned(self.features, cuts).alias("features"), self.label)
-            forest = RandomForestRegressor(featuresCol="features", labelCol=self.label, numTrees=1, maxDepth=self.max_depth, bootstrap=False, subsamplingRate=1.0,
-                                           featureSubsetStrategy=self.feature_share, minInstancesPerNode=self.min_rows, maxBins=max(2, self.cuts + 1), seed=self.seed + t)
-            return Tree(cuts, forest.fit(data))
+        def some(numbers):
+            return grow_trees(train, None, self.features, self.label, tasks, loss="forest", numbers=numbers, cuts=[cuts[t] for t in numbers], depth=self.max_depth,
+                              share=self.feature_share, min_rows=self.min_rows, seed=self.seed)[0]
 
-        at_a_time = max(1, PER_CORE * spark.sparkContext.defaultParallelism // tasks)
+        groups = [list(range(at, self.n_trees, at_a_time)) for at in range(min(at_a_time, self.n_trees))]
         with ThreadPoolExecutor(max_workers=at_a_time) as pool:
-            self.trees = list(pool.map(one, range(self.n_trees)))
+            grown = {t: nodes for numbers, trees in zip(groups, pool.map(some, groups), strict=True) for t, nodes in zip(numbers, trees, strict=True)}
+        self.trees = [Tree(cuts[t], grown[t]) for t in range(self.n_trees)]
         return self
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        """df plus the mean of the trees' predictions (added in the trees' order), ``AT_ONCE`` trees a pass; sums are written between passes."""
-        keep = df.columns
-        df = df.withColumn("_sum", F.lit(0.0))
-        for at in range(0, len(self.trees), AT_ONCE):
-            some = self.trees[at:at + AT_ONCE]
-            df = df.select("*", *[binned(self.features, t.cuts).alias(f"_x{i}") for i, t in enumerate(some)])
-            for i, t in enumerate(some):
-                df = t.model.copy({t.model.featuresCol: f"_x{i}", t.model.predictionCol: f"_p{i}"}).transform(df)
-            total = F.col("_sum")
-            for i in range(len(some)):
-                total = total + F.col(f"_p{i}")
-            df = df.select(*keep, total.alias("_sum"))
-            if at + AT_ONCE < len(self.trees):
-                df = materialize(df, "extra-trees")
-        return df.withColumn(out, F.col("_sum") / F.lit(float(max(1, len(self.trees))))).drop("_sum")
+        """df plus the mean of the trees' predictions."""
+        assemble = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="error")
+        forest = as_model(df.sparkSession, RandomForestRegressionModel, [t.nodes for t in self.trees], [1.0] * len(self.trees), len(self.features),
+                          {"numTrees": len(self.trees), "featuresCol": "_features", "predictionCol": out})
+        return PipelineModel([assemble, forest]).transform(df).drop("_features")
