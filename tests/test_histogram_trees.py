@@ -5,11 +5,12 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from demandflow.operators import fits, histogram_trees
+from demandflow.operators import fits, histogram_trees, models
 from demandflow.operators.extra_trees import ExtraTrees
 
 
@@ -49,6 +50,24 @@ def test_blocks_stop_where_one_task_does(frame):
     assert one.n_trees == many.n_trees < 36 and one.error == pytest.approx(many.error) and one.n_fitted == many.n_fitted == one.n_trees + 4
 
 
+def test_boosted_classifier_is_mllibs(frame):
+    pipe = models.gbt_classifier(["a", "b"], "one", maxIter=6)
+    want = pipe.fit(frame)
+    assert isinstance(pipe.getStages()[-1], GBTClassifier)
+    for tasks in (1, 2):
+        got = models.positive_probability(models.fit_classifier(pipe, frame, tasks), frame)
+        p = np.array([r.proba for r in got.orderBy("idx").collect()])
+        assert np.allclose(p, [r.probability[1] for r in want.transform(frame).orderBy("idx").collect()])
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_forest_classifier_tells_the_classes(frame, tasks):
+    model = models.fit_classifier(models.forest_classifier(["a", "b"], "one", numTrees=12), frame, tasks)
+    p = np.array([r.proba for r in models.positive_probability(model, frame).orderBy("idx").collect()])
+    one = np.array([r.one for r in frame.orderBy("idx").collect()])
+    assert model.stages[-1].getNumTrees == 12 and 0 <= p.min() and p.max() <= 1 and ((p > 0.5) == one).mean() > 0.75
+
+
 def test_randomised_trees_do_not_depend_on_blocks(frame, monkeypatch):
     make = lambda: ExtraTrees(["a", "b"], "y", n_trees=4, max_depth=4, cuts=6, feature_share="all").fit(frame)
     one = make()
