@@ -49,6 +49,8 @@ class ExtraTrees:
         ranges = [(float(row[f"lo{i}"] or 0.0), float(row[f"hi{i}"] or 0.0)) for i in range(len(self.features))]
         places = slots(spark)
         tasks, at_a_time = share_out(int(row.n), self.n_trees, places)
+        if tasks > 1:  # blocks keep the values themselves here: smaller ones, of one group at a time
+            tasks, at_a_time = tasks * 8, 1
         cuts = [draw_cuts(ranges, self.cuts, random.Random(f"{self.seed}/{t}")) for t in range(self.n_trees)]
 
         def some(numbers):
