@@ -1,5 +1,6 @@
 """Trees grown from histograms: MLlib's own trees, one block or many, nominal columns, classifiers, forests."""
 
+import pickle
 import random
 
 import numpy as np
@@ -80,3 +81,55 @@ def test_missing_values_and_no_rows(frame):
     for bad in (frame.withColumn("a", F.when(F.col("idx") > 3, F.col("a"))), frame.where("idx < 0")):
         with pytest.raises(Exception, match="null|no rows"):
             fits.fit_with_patience(bad, None, ["a"], "y", dict(maxIter=2), 5)
+
+
+@pytest.mark.parametrize("limit", [1, 12, 2048])
+def test_joined_features_count_as_each_by_itself(limit, monkeypatch):
+    """Rows of all nodes or picked and weighted ones; a row is counted once for a group of features."""
+    r = np.random.default_rng(5)
+    splits = [np.arange(k - 1) + 0.5 for k in (3, 1, 7, 2, 4)]
+    sizes = np.array([len(s) + 1 for s in splits])
+    x, g, w = [r.integers(0, k, 500).astype(float) for k in sizes], r.normal(size=500), r.poisson(1.0, 500).astype(float)
+    groups = histogram_trees.joined_features(sizes, limit)
+    assert sorted(f for group in groups for f in group) == list(range(5)) and (len(groups) == 1) == (limit == 2048)
+    codes = histogram_trees.joined_codes(x, splits, groups)
+    monkeypatch.setattr(histogram_trees, "PIECE", 64)
+    rows, node = np.flatnonzero(r.random(500) < 0.6), None
+    for some, weight, m in ((None, None, 1), (rows, w, 3)):
+        node = None if m == 1 else r.integers(0, m, len(rows))
+        got = histogram_trees._histogram(some, node, m, codes, groups, sizes, g, weight)
+        each, place, v = (np.arange(500), np.zeros(500, int), np.ones(500)) if m == 1 else (rows, node, w[rows])
+        want = np.zeros_like(got)
+        for f, at in enumerate(np.cumsum(sizes) - sizes):
+            np.add.at(want[:, :, 0], (place, at + x[f][each].astype(int)), g[each] * v)
+            np.add.at(want[:, :, 1], (place, at + x[f][each].astype(int)), v)
+        assert np.allclose(got, want) and (got[:, :, 1] == want[:, :, 1]).all()
+
+
+def test_validation_takes_no_pass_of_its_own():
+    """A stopped fit asks the blocks once a level, and the first tree's root; the block after a tree is that of a route from the root."""
+    r = np.random.default_rng(3)
+    x, y = [r.random(300), r.integers(0, 4, 300).astype(float)], r.normal(size=300)
+    spec = dict(loss="squared", n_trees=6, depth=3, step=0.3, subsample=0.7, max_bins=16, min_rows=1, min_gain=0.0, share="all", seed=1, patience=9, held=True, arity=[0, 0],
+                bootstrap=False, cuts=None)
+    splits = histogram_trees._splits([histogram_trees._told(x, 200, spec)], spec)
+
+    class Counted(histogram_trees._Alone):
+        asked = 0
+
+        def ask(self, what):
+            self.asked += 1
+            return super().ask(what)
+
+    class Afresh(Counted):
+        """Every step on a block as another job gets it."""
+
+        def ask(self, what):
+            self.asked += 1
+            return what(pickle.loads(pickle.dumps(self.block)))
+
+    crews = [c(histogram_trees._Block(x, y, 200, 0, splits, spec)) for c in (Counted, Afresh)]
+    (trees, errors), (same, again) = (histogram_trees._boost(c, splits, spec) for c in crews)
+    assert trees == same and errors == again and len(errors) == 6
+    assert all(c.asked == 6 * 3 + 1 for c in crews)
+    assert np.allclose(crews[0].block.margin, crews[1].block.margin)
