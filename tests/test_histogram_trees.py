@@ -133,3 +133,21 @@ def test_validation_takes_no_pass_of_its_own():
     assert trees == same and errors == again and len(errors) == 6
     assert all(c.asked == 6 * 3 + 1 for c in crews)
     assert np.allclose(crews[0].block.margin, crews[1].block.margin)
+
+
+def test_thresholds_are_told_by_pieces_without_blocks(frame, monkeypatch):
+    """Summaries of a few rows each give the split points of one task, and only the blocks are shuffled."""
+    sizes, shuffles = [], []
+    told, again = histogram_trees._splits, type(frame).repartition
+    monkeypatch.setattr(histogram_trees, "_splits", lambda t, spec: sizes.extend(n for n, _ in t) or told(t, spec))
+    monkeypatch.setattr(type(frame), "repartition", lambda df, *a: shuffles.append(a) or again(df, *a))
+    grown = lambda tasks: histogram_trees.grow_trees(frame, None, ["a", "b"], "y", tasks, n_trees=3, depth=3)[0]
+    monkeypatch.setattr(histogram_trees, "ROWS_PER_TASK", 100)
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        many = grown(2)
+    finally:
+        frame.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes == [100] * 6 and shuffles == [(2,)]
+    for a, b in zip(grown(1), many, strict=True):
+        assert len(a) == len(b) and all(np.allclose(p[:3], q[:3]) and p[3:6] == q[3:6] and np.allclose(p[6], q[6]) for p, q in zip(a, b, strict=True))
