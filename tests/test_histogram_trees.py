@@ -151,3 +151,17 @@ def test_thresholds_are_told_by_pieces_without_blocks(frame, monkeypatch):
     assert sizes == [100] * 6 and shuffles == [(2,)]
     for a, b in zip(grown(1), many, strict=True):
         assert len(a) == len(b) and all(np.allclose(p[:3], q[:3]) and p[3:6] == q[3:6] and np.allclose(p[6], q[6]) for p, q in zip(a, b, strict=True))
+
+
+def test_few_rows_are_summed_feature_by_feature(monkeypatch):
+    """Where splits tie, the order of the sums decides: a small block adds up every feature by itself, a large one joins them."""
+    r = np.random.default_rng(8)
+    x, y = [r.integers(0, 4, 400).astype(float) for _ in range(3)], r.normal(size=400)
+    splits, spec = [np.arange(3) + 0.5] * 3, dict(loss="squared")
+    small = histogram_trees._Block(list(x), y, 400, 0, splits, spec)
+    monkeypatch.setattr(histogram_trees, "JOINT_ROWS", 400)
+    large = histogram_trees._Block(list(x), y, 400, 0, splits, spec)
+    assert len(small.groups) == 3 and len(large.groups) == 1
+    got = histogram_trees._histogram(None, None, 1, small.codes, small.groups, small.sizes, y, None)
+    for f in range(3):
+        assert (got[0, 4 * f:4 * f + 4, 0] == np.bincount(x[f].astype(int), y)).all()
