@@ -53,8 +53,8 @@ SURE = 0.8
 #: Fewest and most digits of an added span (a card's pass Luhn, too)
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 PIECE_BYTES = 4 << 20
-#: Windows scored at once, and windows whose scores are held at once
-ROWS, HELD = 1024, 4096
+#: Windows scored at once, windows whose scores are held at once (more if one text has more), and steps of a window that are sifted at once
+ROWS, HELD, STEPS = 1024, 4096, 16
 
 
 def luhn(digits: str) -> bool:
@@ -434,14 +434,14 @@ def scorer(m: dict):
     return score
 
 
-def possible(place: np.ndarray, score: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Which places can lie in a span of the best path, all others being "none".
+def possible(place: np.ndarray, lead: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which places can lie in a span of the best path, all others being "none"; ``lead`` is the best tag's over "none".
 
     A span from i to j gains at most the best tags' leads over "none" plus the best transitions in, within and out,
     less those of "none"; a place is possible if a stretch of its run that holds it does not lose by that measure.
     """
     enter, inner, leave, none = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max(), trans[0, 0]
-    lead = score[:, 1:].max(axis=1).astype(float) - score[:, 0] + inner - none
+    lead = lead + inner - none
     run = np.cumsum(np.r_[True, np.diff(place) > 1])
     at = np.arange(len(place)) + run  # one wall before each run
     gain = np.full(len(place) + run[-1] + 1, -1e4)
@@ -459,50 +459,89 @@ def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
 
 
-def unsure_places(m: dict, texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, tag scores) where the score of "none" does not lead by more than any transitions can give back: all other places
-    are on no other path.  Places of text d are numbered from first[d]."""
+def open_places(m: dict, texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, tag scores) of the places that can lie in a span, rising; places of text d are numbered from first[d].
+
+    Whole texts are read together, as many as have HELD windows.
+    """
+    score, windows = scorer(m), np.cumsum(np.bincount(windows_of(np.array([len(t) for t in texts], np.int64))[0], minlength=len(texts)))
+    places, scores, lo = [np.zeros(0, np.int64)], [np.zeros((0, TAGS), np.float32)], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(windows, (windows[lo - 1] if lo else 0) + HELD, "right")))
+        place, found = _open_places(m["T"], score, texts[lo:hi], first[lo:hi] - first[lo])
+        places.append(first[lo] + place)
+        scores.append(found)
+        lo = hi
+    return np.concatenate(places), np.concatenate(scores)
+
+
+def _open_places(trans: np.ndarray, score, texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``open_places`` of a few texts, all of whose scores are held.
+
+    Of every place only the lead over "none" goes into the bound; the scores of all tags are taken where it leaves a place open.
+    A place is shut at once where "none" leads by more than any transitions can give back: it is on no other path.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
-    sym = symbols("".join(texts))
     text, at = windows_of(lengths)
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros((0, TAGS), np.float32)
+    sym = np.r_[symbols("".join(texts)), np.full(WINDOW, 130, np.uint8)]
     size = np.minimum(WINDOW, lengths[text] - at)
     base = (np.cumsum(lengths) - lengths)[text] + at
+    where = first[text] + at
     follows = at > 0
     shown = np.where(np.r_[follows[1:], False], STRIDE, size)  # the rest is given by the next window
-    trans = m["T"]
     back = ((trans - trans[:, :1]).max(axis=0) + (trans - trans[:1]).max(axis=1))[1:].astype(np.float32)
-    score, ramp = scorer(m), RAMP[:, None, None].astype(np.float32)
-    carry = np.zeros((SHARED, TAGS), np.float32)
-    places, scores = [np.zeros(0, np.int64)], [np.zeros((0, TAGS), np.float32)]
-
-    def take(e, w, inside):
-        """Keeps the unsure ones of the scores e (time, tag, window) of windows w where ``inside`` (time, window)."""
-        j, i = np.nonzero((e[:, 1:] + back[:, None] >= e[:, :1]).any(axis=1) & inside)
-        places.append(first[text[w[i]]] + at[w[i]] + j)
-        scores.append(e[j, :, i])
-
-    for lo in range(0, len(text), HELD):
-        some = np.arange(lo, min(lo + HELD, len(text)))
-        filled = -(-size[some] // ROUND) * ROUND
-        heads, tails = (np.zeros((SHARED, TAGS, len(some)), np.float32) for _ in range(2))
-        for n in np.unique(filled).tolist():  # a window's scores depend on its own length only
-            like = some[filled == n]
-            step = np.arange(n)[:, None]
-            for k in range(0, len(like), ROWS):
-                w = like[k:k + ROWS]
-                ids = sym[np.minimum(base[w] + step, len(sym) - 1)]
-                e = score(np.where(step < size[w], ids, 130).T)
-                heads[:min(n, SHARED), :, w - lo] = e[:SHARED]
-                if n == WINDOW:
-                    tails[:, :, w - lo] = e[STRIDE:]
-                take(e, w, (step >= np.where(follows[w], SHARED, 0)) & (step < shown[w]))
-        before = np.concatenate([carry[:, :, None], tails[:, :, :-1]], axis=2)
-        carry = tails[:, :, -1].copy()
-        later = np.flatnonzero(follows[some])
-        take(ramp * heads[:, :, later] + (1 - ramp) * before[:, :, later], some[later], np.arange(SHARED)[:, None] < shown[some[later]])
-    place, score_of = np.concatenate(places), np.concatenate(scores)
-    order = np.argsort(place)
-    return place[order], score_of[order]
+    ramp = RAMP[:, None, None].astype(np.float32)
+    lead = np.full(int(first[-1] + lengths[-1]), -np.inf)
+    heads, tails = (np.zeros((SHARED, TAGS, len(text)), np.float32) for _ in range(2))
+    batches, batch, column = [], np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+
+    def sift(e, w, inside):
+        """Notes the leads of the scores e (time, tag, window) of windows w where ``inside`` (time, window)."""
+        for k in range(0, len(e), STEPS):  # what a few steps need stays in the processor's cache
+            part = e[k:k + STEPS]
+            top, most = part[:, 1].copy(), part[:, 1] + back[0]
+            for tag in range(2, TAGS):
+                np.maximum(top, part[:, tag], out=top)
+                np.maximum(most, part[:, tag] + back[tag - 1], out=most)
+            j, i = np.nonzero((most >= part[:, 0]) & inside[k:k + STEPS])
+            lead[where[w[i]] + j + k] = top[j, i].astype(float) - part[j, 0, i]
+
+    filled = -(-size // ROUND) * ROUND
+    for n in np.unique(filled).tolist():  # a window's scores depend on its own length only
+        like, step = np.flatnonzero(filled == n), np.arange(n)[:, None]
+        for k in range(0, len(like), ROWS):
+            w = like[k:k + ROWS]
+            ids = np.lib.stride_tricks.sliding_window_view(sym, n)[base[w]]
+            short = np.flatnonzero(size[w] < n)
+            ids[short] = np.where(step.T < size[w[short], None], ids[short], 130)
+            e = score(ids)
+            heads[:, :, w] = e[:SHARED]
+            if n == WINDOW:
+                tails[:, :, w] = e[STRIDE:]
+            sift(e, w, (step >= np.where(follows[w], SHARED, 0)) & (step < shown[w]))
+            batch[w], column[w] = len(batches), np.arange(len(w))
+            batches.append(e)
+    later = np.flatnonzero(follows)
+    for k in range(0, len(later), ROWS):
+        w = later[k:k + ROWS]
+        sift(ramp * heads[:, :, w] + (1 - ramp) * tails[:, :, w - 1], w, np.arange(SHARED)[:, None] < shown[w])
+    place = np.flatnonzero(lead > -np.inf)
+    if len(place):
+        place = place[possible(place, lead[place], trans)]
+    # the window that shows a place, and the place in it
+    windows = np.bincount(text, minlength=len(texts))
+    d = np.searchsorted(first, place, "right") - 1
+    nth = np.minimum((place - first[d]) // STRIDE, windows[d] - 1)
+    w, j = (np.cumsum(windows) - windows)[d] + nth, place - first[d] - nth * STRIDE
+    out, joined = np.empty((len(place), TAGS), np.float32), (nth > 0) & (j < SHARED)
+    for b, e in enumerate(batches):
+        some = np.flatnonzero((batch[w] == b) & ~joined)
+        out[some] = e[j[some], :, column[w[some]]]
+    w, j = w[joined], j[joined]
+    out[joined] = ramp[j, 0] * heads[j, :, w] + (1 - ramp[j, 0]) * tails[j, :, w - 1]
+    return place, out
 
 
 def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -513,11 +552,7 @@ def tag_texts(m: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     if not lengths.sum():
         return found
     trans = m["T"]
-    place, score = unsure_places(m, texts, first)
-    if not len(place):
-        return found
-    keep = possible(place, score, trans)
-    place, score = place[keep], score[keep]
+    place, score = open_places(m, texts, first)
     if not len(place):
         return found
     lo = np.r_[0, np.flatnonzero(np.diff(place) > 1) + 1]

@@ -233,6 +233,24 @@ def test_base_spans_take_linear_time():
     assert time.time() - begin < 60
 
 
+def test_only_open_places_keep_their_scores():
+    r, m = np.random.default_rng(6), pii.new_model()
+    m["bo"] = np.r_[0.3, np.zeros(pii.TAGS - 1)]
+    texts = ["".join(chr(c) for c in r.integers(32, 127, n)) for n in (0, 300, 0, 513, 2000, 40, 0)]
+    first = np.cumsum([len(t) + 1 for t in texts]) - [len(t) + 1 for t in texts]
+    place, score = pii.open_places(m, texts, first)
+    assert 0 < len(place) < sum(map(len, texts)) and (np.diff(place) > 0).all()
+    alone = pii.scorer(m)(np.pad(pii.symbols(texts[1]), (0, 84), constant_values=130)[None])[:, :, 0]  # a text of one window
+    mine = (place >= first[1]) & (place < first[2])
+    assert mine.any() and np.allclose(score[mine], alone[place[mine] - first[1]], atol=1e-5)
+    held, pii.HELD = pii.HELD, 2
+    try:
+        again = pii.open_places(m, texts, first)
+    finally:
+        pii.HELD = held
+    assert (again[0] == place).all() and np.allclose(again[1], score, atol=1e-5)
+
+
 def test_pii_query_keeps_base_spans(spark, edge_dir, odd_docs):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
