@@ -51,21 +51,26 @@ def permutation_importance(model, df: DataFrame, features: list[str], label: str
     A permutation is a pairing of row positions in ``key`` order with row
     positions in a seeded-hash order (both from the distributed row numbering),
     so the shuffled column is produced by one equi-join, not a driver shuffle.
-    There is one join per repeat; its rows are then exploded to one variant per feature and all
-    are scored with a single ``transform`` + grouped R^2.
+    There is one join per repeat; a tree regression scores all variants of a joined row together (``tree_scores``), for any other
+    model its rows are exploded to one variant per feature and scored with a single ``transform``; then a grouped R^2.
     """
+    from demandflow.operators import tree_scores
     from demandflow.operators.metrics import r2_expr
     from demandflow.operators.order import global_row_number
 
     base = df.select(key, label, *features)
     points_of = points_of or F.col
+    ensemble = tree_scores.ensemble_of(model, base)
+    if ensemble is not None and model.stages[0].getInputCols() != list(features):
+        ensemble = None
 
     def points(scored, *by):
         scored = scored.withColumn("_p", points_of("prediction"))
         agg = (F.lit(100.0) * r2_expr(label, "_p")).alias("_points")
         return scored.groupBy(*by).agg(agg) if by else scored.agg(agg)
 
-    base_points = points(model.transform(base)).withColumnRenamed("_points", "_base")
+    whole = model.transform(base) if ensemble is None else tree_scores.predict(model, base, "prediction")
+    base_points = points(whole).withColumnRenamed("_points", "_base")
     numbered = global_row_number(base, [key], "_pos")
     variants = None
     for r in range(repeats):
@@ -74,9 +79,16 @@ def permutation_importance(model, df: DataFrame, features: list[str], label: str
             "_pos", *[F.col(f).alias(f"_d_{f}") for f in features])
         joined = numbered.join(donor, "_pos").withColumn("_rep", F.lit(r))
         variants = joined if variants is None else variants.unionByName(joined)
-    variants = variants.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
-        label, "_rep", "_feature", *[F.when(F.col("_feature") == g, F.col(f"_d_{g}")).otherwise(F.col(g)).alias(g) for g in features])
-    scored = points(model.transform(variants), "_feature", "_rep")
+    if ensemble is None:
+        variants = variants.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
+            label, "_rep", "_feature", *[F.when(F.col("_feature") == g, F.col(f"_d_{g}")).otherwise(F.col(g)).alias(g) for g in features])
+        scored = points(model.transform(variants), "_feature", "_rep")
+    else:
+        variants = tree_scores.predict_replaced(model, variants, [f"_d_{f}" for f in features], "_each")
+        variants = variants.select(label, "_rep", *[points_of(F.col("_each")[i]).alias(f"_p{i}") for i in range(len(features))])
+        wide = variants.groupBy("_rep").agg(*[(F.lit(100.0) * r2_expr(label, f"_p{i}")).alias(f"_r{i}") for i in range(len(features))])
+        each = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f"_r{i}").alias("_points")) for i, f in enumerate(features)])
+        scored = wide.select("_rep", F.inline(each))
     drops = scored.crossJoin(F.broadcast(base_points)).withColumn("_drop", F.col("_base") - F.col("_points"))
     return drops.groupBy(F.col("_feature").alias("feature")).agg(
         F.avg("_drop").alias("importance_mean"), F.stddev_pop("_drop").alias("importance_std"))
