@@ -9,7 +9,7 @@ import pytest
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
-from demandflow.operators import fits, histogram_trees
+from demandflow.operators import fits, histogram_trees, models
 from demandflow.operators.histogram_trees import grow_together, grow_trees
 
 
@@ -95,3 +95,16 @@ def test_plan_grows_large_fits_together(frame, monkeypatch):
     for x, y in zip(got, want, strict=False):
         p, q = (np.array([r.prediction for r in m.model.transform(some).orderBy("idx").collect()]) for m in (x, y))
         assert np.allclose(p, q)
+
+
+def test_classifiers_of_folds_grow_together(frame, monkeypatch):
+    """Boosted ones are those of each fold alone; all folds' fits are one reading."""
+    f = frame.withColumn("one", (F.col("y") > 0.4).cast("double"))
+    pipe, folds = models.gbt_classifier(["a", "b"], "one", maxIter=4), [f"idx % 3 <> {i}" for i in range(3)]
+    want = models.fit_classifiers(pipe, f, folds, 1, 3)
+    monkeypatch.setattr(models, "grow_trees", None)
+    for x, y in zip(models.fit_classifiers(pipe, f, folds, 2), want, strict=True):
+        p, q = (np.array([r.proba for r in models.positive_probability(m, f).orderBy("idx").collect()]) for m in (x, y))
+        assert np.allclose(p, q)
+    forests = models.fit_classifiers(models.forest_classifier(["a", "b"], "one", numTrees=6), f, folds, 2)
+    assert [m.stages[-1].getNumTrees for m in forests] == [6] * 3
